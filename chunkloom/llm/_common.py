@@ -29,10 +29,10 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def table(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    def table(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         """Write df and read it again: this cuts the lineage, and lost executors cost no more than their own tasks."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", codec).parquet(path)
+        df.write.mode("overwrite").option("compression", codec).option("parquet.block.size", 16 << 20).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str | None = None) -> None:

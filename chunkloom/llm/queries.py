@@ -7,10 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm import langid, shard, url_filter
+from chunkloom.llm import bpe, langid, shard, toxicity, url_filter
 from chunkloom.llm._common import read
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = toxicity.held_out()
+    # Labelled rows are as many as documents can be; ids and labels only are joined to the texts of the training rows.
+    labelled = docs.select("doc_id", "text").filter(~out).join(read(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    lexicon = toxicity.fit_lexicon(labelled)
+    scored = toxicity.score_toxicity(docs.withColumn("held_out", out), lexicon, keep=["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     out = langid.held_out()
@@ -36,6 +52,8 @@ def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bpe": op2_bpe,
+    "op3_toxicity": op3_toxicity,
     "op6_language_id": op6_language_id,
     "op9_url_filter": op9_url_filter,
     "op10_external_shuffle": op10_external_shuffle,
