@@ -20,9 +20,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     out = toxicity.held_out()
-    # Labelled rows are as many as documents can be; ids and labels only are joined to the texts of the training rows.
-    labelled = docs.select("doc_id", "text").filter(~out).join(read(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
-    lexicon = toxicity.fit_lexicon(labelled)
+    lexicon = toxicity.fit_lexicon(docs, read(spark, sf_dir, "labels").filter(~out))
     scored = toxicity.score_toxicity(docs.withColumn("held_out", out), lexicon, keep=["doc_id", "held_out"])
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 

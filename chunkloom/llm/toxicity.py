@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm._common import fold_of
+from chunkloom.llm._common import Scratch, fold_of
 
 DOCS_PER_LABEL = 8_000
 MIN_CONTEXTS = 3  # different contexts in toxic texts that a term needs
@@ -118,15 +118,17 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(fold_of(F.col(id_col), 4) == 2, F.lit(False))
 
 
-def fit_lexicon(labelled: DataFrame, *, docs_per_label: int = DOCS_PER_LABEL, exceptions: Sequence[str] = EXCEPTIONS) -> Lexicon:
-    """labelled: doc_id, text and toxic (0 or 1) of training rows only."""
-    rows = labelled.filter(F.col("toxic").isin(0, 1) & F.col("text").isNotNull()).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+def fit_lexicon(docs: DataFrame, labels: DataFrame, *, docs_per_label: int = DOCS_PER_LABEL, exceptions: Sequence[str] = EXCEPTIONS) -> Lexicon:
+    """docs: doc_id and text. labels: doc_id and toxic (0 or 1) of training rows only."""
+    marked = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    counts = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     if not counts.get(1):
         return Lexicon({}, tuple(exceptions))
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, docs_per_label / counts[1]))).otherwise(F.lit(min(1.0, docs_per_label / max(1, counts.get(0, 0)))))
     spread = F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.lit(1_000_000)) / F.lit(1e6)
-    sample = rows.filter(spread < share)
+    # About 2 * docs_per_label pairs of numbers whatever the input's size: texts are found without moving any of them.
+    chosen = F.broadcast(marked.filter(spread < share))
+    sample = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -149,7 +151,9 @@ def fit_lexicon(labelled: DataFrame, *, docs_per_label: int = DOCS_PER_LABEL, ex
             )
 
     # Words of toxic texts are the only ones that can become terms: the others are not sent around.
+    scratch = Scratch(docs.sparkSession, "toxicity")
     toxic = sample.filter("toxic = 1").mapInArrow(contexts, "word string, toxic int, contexts array<int>, docs long")
+    toxic = scratch.table(toxic, "toxic-words")
     terms = (
         toxic.withColumn("c", F.explode("contexts")).groupBy("word").agg(F.count_distinct("c").alias("contexts"))
         .join(toxic.groupBy("word").agg(F.sum("docs").alias("docs")), "word")
