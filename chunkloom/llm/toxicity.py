@@ -131,7 +131,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, *, docs_per_label: int = DOC
     sample = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(i, 300) for x in batches for i in range(0, len(x), 300)):
             found: dict[tuple[str, int], list] = {}
             seen: set[tuple[str, int]] = set()
             for text, toxic in zip(b["text"].to_pylist(), b["toxic"].to_pylist()):
