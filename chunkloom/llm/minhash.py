@@ -4,7 +4,7 @@
    trees x depth minima. Documents with equal sets are one class from here on; one signature for each class.
 2. Forest: each tree puts the classes in the order of its ``depth`` minima. Regions of a common prefix of ``least_depth``
    minima with more than ``region`` classes are split by the next minimum, and so on (adaptive depth). Neighbours in the
-   order whose longest common prefix reaches their region's depth are candidates: at most one for each class and tree.
+   order whose longest common prefix reaches their region's depth are candidates: at most ``window`` on either side for each class and tree.
    Orders are range-partitioned, so a region may span tasks and no task holds more than its range.
 3. Candidates' components are cut into blocks of at most ``block`` classes that lie next to each other in a tree's order.
    Each block is confirmed on full sets, all its classes with one another; a text is sent once. What remains are candidates
@@ -38,6 +38,7 @@ WORDS = 5
 PERCENT = 75
 TREES, DEPTH, LEAST_DEPTH = 24, 6, 3
 REGION = 64
+WINDOW = 6  # neighbours on either side in an order
 BLOCK = 48
 SEED = 8_191
 HASHED_AT_ONCE = 1 << 21  # minima computed in one numpy call
@@ -91,7 +92,7 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, trees: int = TREES, depth: int = DEPTH, least_depth: int = LEAST_DEPTH, region: int = REGION, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, trees: int = TREES, depth: int = DEPTH, least_depth: int = LEAST_DEPTH, region: int = REGION, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     scratch = Scratch(docs.sparkSession, "minhash")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -114,7 +115,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # The signature is a function of the digest, so any of a class's will do.
     classes = scratch.table(linkable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
 
-    edges = scratch.table(_forest(classes, trees, depth, least_depth, region), "candidates")
+    edges = scratch.table(_forest(classes, trees, depth, least_depth, region, window), "candidates")
     groups = components(edges, scratch, "candidates-cc")
     texts = _texts(rows, groups, classes, scratch)
     confirmed = _confirm(texts, edges, groups, scratch, words, percent, block)
@@ -132,7 +133,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 
 
-def _forest(classes: DataFrame, trees: int, depth: int, least: int, region: int) -> DataFrame:
+def _forest(classes: DataFrame, trees: int, depth: int, least: int, region: int, window: int) -> DataFrame:
     """Candidates (a, b, block order of a and b in the first tree is given by the key later)."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,9 +167,13 @@ def _forest(classes: DataFrame, trees: int, depth: int, least: int, region: int)
             run = np.concatenate(([0], np.cumsum(lcp < d)))
             size = np.bincount(run)[run]
             wanted[size[:-1] <= region] = d
-        chosen = lcp >= wanted
-        a, b = rep[:-1][chosen], rep[1:][chosen]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(lcp[chosen].astype(np.int64))], names=["a", "b", "lcp"])
+        shared, need = lcp, wanted
+        for step in range(1, min(window, n - 1) + 1):  # the next one, the one after it, and so on within a region
+            if step > 1:
+                shared, need = np.minimum(shared[:-1], lcp[step - 1 :]), np.maximum(need[:-1], wanted[step - 1 :])
+            chosen = shared >= need
+            a, b = rep[:-step][chosen], rep[step:][chosen]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(shared[chosen].astype(np.int64))], names=["a", "b", "lcp"])
 
     pairs = ordered.mapInArrow(neighbours, "a long, b long, lcp long").filter("a <> b")
     return pairs.groupBy("a", "b").agg(F.sum("lcp").alias("weight"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm import bpe, langid, shard, toxicity, url_filter
+from chunkloom.llm import bpe, langid, minhash, shard, toxicity, url_filter
 from chunkloom.llm._common import read
 
 
@@ -32,6 +32,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(docs.withColumn("held_out", out), profiles, keep=["doc_id", "held_out"])
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_toxicity": op3_toxicity,
     "op6_language_id": op6_language_id,
+    "op8_minhash_dedup": op8_minhash_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_external_shuffle": op10_external_shuffle,
 }
