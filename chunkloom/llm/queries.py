@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm import bpe, langid, minhash, shard, toxicity, url_filter
+from chunkloom.llm import bpe, langid, metric_join, minhash, rabitq, shard, toxicity, url_filter
 from chunkloom.llm._common import read
 
 
@@ -25,6 +25,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def op5_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabitq.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     out = langid.held_out()
@@ -32,6 +36,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(docs.withColumn("held_out", out), profiles, keep=["doc_id", "held_out"])
 
 
+def op7_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.metric_join(read(spark, sf_dir, "embeddings"))
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -56,7 +64,9 @@ def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_toxicity": op3_toxicity,
+    "op5_rabitq": op5_rabitq,
     "op6_language_id": op6_language_id,
+    "op7_metric_join": op7_metric_join,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_external_shuffle": op10_external_shuffle,
