@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm import bpe, langid, metric_join, minhash, rabitq, shard, toxicity, url_filter
+from chunkloom.llm import bpe, langid, metric_join, minhash, packing, rabitq, shard, toxicity, url_filter
 from chunkloom.llm._common import read
 
 
@@ -25,6 +25,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op5_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rabitq.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -64,6 +68,7 @@ def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_toxicity": op3_toxicity,
+    "op4_best_fit": op4_best_fit,
     "op5_rabitq": op5_rabitq,
     "op6_language_id": op6_language_id,
     "op7_metric_join": op7_metric_join,
