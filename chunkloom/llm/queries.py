@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm import bpe, langid, metric_join, minhash, packing, rabitq, shard, toxicity, url_filter
+from chunkloom.llm import bpe, extract, langid, metric_join, minhash, packing, rabitq, shard, toxicity, url_filter
 from chunkloom.llm._common import read
 
 
+def op1_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_main_text(read(spark, sf_dir, "pages"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,6 +70,7 @@ def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_host_suffix_array": op1_host_suffix_array,
     "op2_bpe": op2_bpe,
     "op3_toxicity": op3_toxicity,
     "op4_best_fit": op4_best_fit,
