@@ -72,13 +72,13 @@ def _permutations(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Minima of the seeded hashes, as 32-bit numbers."""
+    """Minima of the seeded hashes, their middle 16 bits: 3 of them tell 2^48 regions apart."""
     step = max(1, HASHED_AT_ONCE // len(a))
     out = None
     for i in range(0, len(hashes), step):
         part = ((hashes[i : i + step, None] * a + b) >> np.uint64(32)).min(axis=0)
         out = part if out is None else np.minimum(out, part)
-    return out.astype(np.uint32)
+    return (out >> np.uint64(8)).astype(np.uint16)
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
@@ -107,7 +107,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     s = shingles(t.as_py(), words)
                     n.append(len(s))
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                    signatures.append(signature(s, a, b).astype(">u4").tobytes() if len(s) else None)
+                    signatures.append(signature(s, a, b).astype(">u2").tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], names=["doc_id", "n_shingles", "digest", "signature"])
 
     known = scratch.table(rows.mapInArrow(sets, "doc_id long, n_shingles long, digest binary, signature binary"), "sets")
@@ -117,8 +117,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     edges = scratch.table(_forest(classes, trees, depth, least_depth, region, window), "candidates")
     groups = components(edges, scratch, "candidates-cc")
-    texts = _texts(rows, groups, classes, scratch)
-    confirmed = _confirm(texts, edges, groups, scratch, words, percent, block)
+    texts = _texts(rows, groups, classes, scratch, block)
+    confirmed = _confirm(texts, edges, scratch, words, percent, block)
 
     # Rows of one doc_id with different texts are one document.
     of_class = linkable.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest").select("doc_id", "rep")
@@ -137,7 +137,7 @@ def _forest(classes: DataFrame, trees: int, depth: int, least: int, region: int,
     """Candidates (a, b, block order of a and b in the first tree is given by the key later)."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = 4 * depth
+        width = 2 * depth
         for x in batches:
             for i in range(0, len(x), 1_000):
                 part = x.slice(i, 1_000)
@@ -158,7 +158,7 @@ def _forest(classes: DataFrame, trees: int, depth: int, least: int, region: int,
         if n < 2:
             return
         # Longest common prefix with the next one, in minima; -1 across trees.
-        same = key[:-1, 1:].reshape(n - 1, depth, 4) == key[1:, 1:].reshape(n - 1, depth, 4)
+        same = key[:-1, 1:].reshape(n - 1, depth, 2) == key[1:, 1:].reshape(n - 1, depth, 2)
         lcp = np.cumprod(same.all(axis=2), axis=1).sum(axis=1)
         lcp[key[:-1, 0] != key[1:, 0]] = -1
         # The depth at which a pair's region has at most `region` classes.
@@ -179,26 +179,27 @@ def _forest(classes: DataFrame, trees: int, depth: int, least: int, region: int,
     return pairs.groupBy("a", "b").agg(F.sum("lcp").alias("weight"))
 
 
-def _texts(rows: DataFrame, groups: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Texts of the classes that have candidates, in the first tree's order by ``place``: rep, group, place, text."""
-    ids = groups.select(F.col("id").alias("doc_id"), F.col("component").alias("group"))
-    chosen = rows.join(ids, "doc_id")
-    place = classes.select(F.col("rep").alias("doc_id"), F.substring("signature", 1, 12).alias("place"))
-    out = chosen.join(place, "doc_id").select(F.col("doc_id").alias("rep"), "group", "place", "text")
+def _texts(rows: DataFrame, groups: DataFrame, classes: DataFrame, scratch: Scratch, block: int) -> DataFrame:
+    """Texts of the classes that have candidates: rep, group, block, place (in the first tree's order), text.
+
+    Group and block are settled on ids, before any text moves. A large group is cut by the leading minimum, which near
+    neighbours share, hashed into as many blocks as it needs.
+    """
+    place = classes.select(F.col("rep").alias("id"), F.substring("signature", 1, 6).alias("place"))
+    sized = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    cut = F.pmod(F.xxhash64(F.substring("place", 1, 2)), 2 * F.ceil(F.col("size") / F.lit(block)).cast("long"))
+    narrow = groups.join(sized, "component").join(place, "id").withColumn("block", F.when(F.col("size") <= block, F.lit(0)).otherwise(cut))
+    narrow = narrow.select(F.col("id").alias("doc_id"), F.col("component").alias("group"), "block", "place")
+    # The ids grow with the input: a sort-merge join at every size, never a broadcast that fits small inputs only.
+    out = rows.join(narrow.hint("merge"), "doc_id").select(F.col("doc_id").alias("rep"), "group", "block", "place", "text")
     return scratch.table(out, "texts")
 
 
-def _confirm(texts: DataFrame, edges: DataFrame, groups: DataFrame, scratch: Scratch, words: int, percent: int, block: int) -> DataFrame:
+def _confirm(texts: DataFrame, edges: DataFrame, scratch: Scratch, words: int, percent: int, block: int) -> DataFrame:
     """Confirmed links (a, b) that connect what the candidates connect."""
-    # Blocks of neighbours: row numbers within a group come from counts of slices, so that a hot group is not one task's.
-    sized = texts.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
-    slices = F.ceil(F.col("size") / F.lit(block)).cast("long")
-    # A large group is cut by the leading minimum, which neighbours share, hashed into as many blocks as it needs.
-    blocks = texts.join(sized, "group").withColumn("block", F.when(F.col("size") <= block, F.lit(0)).otherwise(F.pmod(F.xxhash64(F.substring("place", 1, 4)), 2 * slices)))
-
     def check(key: tuple, t: pa.Table) -> pa.Table:
         reps = t["rep"].to_numpy()
-        order = np.lexsort((reps, np.array(t["place"].to_pylist(), dtype="S12")))
+        order = np.lexsort((reps, np.array(t["place"].to_pylist(), dtype="S6")))
         at: list[int] = []
         to: list[int] = []
         column = t["text"]
@@ -214,7 +215,7 @@ def _confirm(texts: DataFrame, edges: DataFrame, groups: DataFrame, scratch: Scr
                         group[group == group[j]] = group[i]
         return pa.table({"a": pa.array(at, pa.int64()), "b": pa.array(to, pa.int64())})
 
-    confirmed = scratch.table(blocks.select("group", "block", "rep", "place", "text").groupBy("group", "block").applyInArrow(check, "a long, b long"), "confirmed-0")
+    confirmed = scratch.table(texts.groupBy("group", "block").applyInArrow(check, "a long, b long"), "confirmed-0")
     left = edges
     for turn in (1, 2, 3):
         now = components(confirmed, scratch, f"confirmed-cc-{turn}")
