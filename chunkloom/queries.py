@@ -297,10 +297,10 @@ def corpus_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.running_total(docs, "doc_id", "n_bytes", "corpus_offset")
 
 
-PROBES_SQL = ", probes AS (SELECT doc_id, unnest(range(500, octet_length(encode(text)), 1000))::BIGINT AS at FROM documents)"
+PROBES_SQL = ', probes AS (SELECT doc_id, unnest(range(500, octet_length(encode(text)), 1000))::BIGINT AS "at" FROM documents)'
 
 
-@query(FIXED + PROBES_SQL + ' SELECT p.doc_id, at, chunk_i, at - "offset" AS pos FROM probes p JOIN fixed c ON c.doc_id = p.doc_id AND at >= "offset" AND at < "offset" + size')
+@query(FIXED + PROBES_SQL + ' SELECT p.doc_id, "at", chunk_i, "at" - "offset" AS pos FROM probes p JOIN fixed c ON c.doc_id = p.doc_id AND "at" >= "offset" AND "at" < "offset" + size')
 def offset_to_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = streams(spark, sf_dir).filter(F.octet_length("data") > 500)
     probes = s.select("stream_id", F.explode(F.sequence(F.lit(500).cast("long"), F.octet_length("data").cast("long") - 1, F.lit(1000).cast("long"))).alias("at"))
