@@ -150,7 +150,7 @@ def metric_join(vectors: DataFrame, *, cosine: float = COSINE, id_col: str = "ve
 
     found = scratch.table(pairs.groupBy("label", "dims", "cell", "i", "j").applyInArrow(join, "rep long, links long, root long"), "found")
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    of_copies = usable.select("vec_id", "k1", "k2").join(classes.select("k1", "k2", "rep", "copies"), ["k1", "k2"]).join(counted, "rep", "left")
+    of_copies = usable.select("vec_id", "k1", "k2").distinct().join(classes.select("k1", "k2", "rep", "copies"), ["k1", "k2"]).join(counted, "rep", "left")
     per_id = of_copies.groupBy("vec_id").agg(F.sum(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.min("rep").alias("rep"), F.max("rep").alias("last"))
     same = per_id.filter("rep <> last").select(F.col("rep").alias("a"), F.col("last").alias("b"))
     graph = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(same), scratch)
