@@ -38,41 +38,41 @@ def _letters() -> np.ndarray:
     return _LETTERS[0]
 
 
-def _grams(points: np.ndarray) -> np.ndarray:
-    """Keys of the 1-, 2- and 3-grams; code points packed by 21 bits, a blank (0) around and between words."""
-    a, b, c = points[:-2], points[1:-1], points[2:]
-    one = points[points != 0]
-    two = ((a << 21) | b)[(a != 0) | (b != 0)]
-    three = ((a << 42) | (b << 21) | c)[b != 0]
-    return np.concatenate((one, two, three))
+BLANK = 1  # no letter, and not 0, so that packed n-grams of different lengths differ
+
+
+def _grams(points: np.ndarray, start: int, stop: int) -> np.ndarray:
+    """Keys of the 1-, 2- and 3-grams that start in [start, stop): code points packed by 21 bits, a blank around and between words."""
+    one = points[start:stop]
+    a, b = points[start:stop][: len(points) - 1 - start], points[start + 1 : stop + 1]
+    two = (a << 21) | b
+    a, b, c = points[start:stop][: max(0, len(points) - 2 - start)], points[start + 1 : stop + 1], points[start + 2 : stop + 2]
+    three = ((a << 42) | (b[: len(a)] << 21) | c[: len(a)])[b[: len(a)] != BLANK]
+    return np.concatenate((one[one != BLANK], two, three))
 
 
 def count_grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram keys in ascending order, and their counts."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-    points = np.where(_letters()[points], points, 0)
+    points = np.where(_letters()[points], points, BLANK)
     keep = np.ones(len(points), dtype=bool)
-    keep[1:] = (points[1:] != 0) | (points[:-1] != 0)  # one blank between words
-    points = np.concatenate(([0], points[keep], [0]))
+    keep[1:] = (points[1:] != BLANK) | (points[:-1] != BLANK)  # one blank between words
+    points = points[keep]
+    points = points[int(points[0] == BLANK) :] if len(points) else points
+    points = points[: len(points) - 1] if len(points) and points[-1] == BLANK else points
+    if not len(points):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    points = np.concatenate(([BLANK], points, [BLANK]))
     if len(points) <= SLICE:
-        return np.unique(_grams(points), return_counts=True)
-    # Slices overlap by two code points. 3-grams start in one slice only; 1- and 2-grams are cut the same way.
+        return np.unique(_grams(points, 0, len(points)), return_counts=True)
     keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-    for i in range(0, len(points) - 2, SLICE):
-        k, n = np.unique(_slice_grams(points, i, min(i + SLICE, len(points) - 2), i == 0), return_counts=True)
+    for i in range(0, len(points), SLICE):  # each n-gram starts in one slice
+        k, n = np.unique(_grams(points, i, min(i + SLICE, len(points))), return_counts=True)
         keys, where = np.unique(np.concatenate((keys, k)), return_inverse=True)
-        counts = np.bincount(where, np.concatenate((counts, n))).astype(np.int64)
+        counts = np.bincount(where, np.concatenate((counts, n)), len(keys)).astype(np.int64)
     return keys, counts
 
 
-def _slice_grams(points: np.ndarray, start: int, stop: int, first: bool) -> np.ndarray:
-    part = points[start : stop + 2]
-    a, b, c = part[:-2], part[1:-1], part[2:]
-    last = stop == len(points) - 2
-    one = part[: len(part) if last else stop - start]
-    return np.concatenate((one[one != 0], ((a << 21) | b)[(a != 0) | (b != 0)], ((a << 42) | (b << 21) | c)[b != 0]))
-
-
 def top(keys: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     """The most frequent keys, most frequent first, ties by key."""
     if len(keys) > 4 * size:  # drop what cannot be among the first, before sorting
