@@ -1,14 +1,16 @@
 """Toxicity by a weighted lexicon.
 
 Texts are folded first: compatibility forms and accents go, look-alike letters of other scripts become Latin, digits and
-signs used as letters are read as letters, and i, l and 1 count as one. An Aho-Corasick automaton over the folded lexicon finds the
-terms; a hit counts if it is a whole word and does not lie in an exception phrase. The summed weights are divided by a
-slowly growing function of the text's length, and 1 - exp(-that) is the score.
+signs used as letters are read as letters, and i, l and 1 count as one. An Aho-Corasick automaton over the folded lexicon
+finds the terms, whole words and stems that words begin with; a word counts by its heaviest term, unless it lies in an
+exception phrase. The score is a logistic function of the logarithms of the summed weights and of the text's length, so a hit in
+a long text counts for less, and what innocent texts hold by chance is not enough. A text without a hit scores 0.
 
 Fit. Terms and weights come from labelled training rows: a sample bounded by ``docs_per_label`` for each label (chosen by
-a hash of doc_id). Evidence is counted in different *contexts* (the words on both sides) of different texts, so that a
-group of copies with one label cannot make its own words toxic. A term's weight is the smoothed log ratio of its shares
-of toxic and other contexts.
+a hash of doc_id). A term's weight is the smoothed log ratio of its occurrences for each toxic and each other text. It needs more
+evidence in numbers of texts than chance gives any of the words tried, and different *contexts* (the words on both sides), so
+that a group of copies with one label cannot make its own words toxic. The logistic function's three numbers are fitted to
+the sample's sums, held near ``PRIOR`` where the sample is small.
 
 Defined results. Null, empty and letterless texts score 0. Repeated rows score alike. Texts of any length are scored
 whole. With no toxic training row, or with an empty table, the lexicon is empty and all scores are 0. Conflicting labels
@@ -21,10 +23,12 @@ import math
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,11 +36,16 @@ from pyspark.sql import functions as F
 from chunkloom.llm._common import Scratch, fold_of
 
 DOCS_PER_LABEL = 8_000
-MIN_CONTEXTS = 3  # different contexts in toxic texts that a term needs
+MIN_DOCS = 3  # toxic texts that a term needs
 CONTEXT_SHARE = 0.3  # different contexts for each toxic text with the term: copies have far fewer
 MIN_WEIGHT = 2.5  # least log ratio of a term
-MIN_EVIDENCE = 30.0  # least G statistic of a term: rare words are toxic by chance, and there are many of them
+MAX_WEIGHT = 10.0
+STEMS = range(4, 9)  # letters of a stem
+CHANCE_TERMS = 0.5  # terms that may pass by chance: the more are tried, the more evidence each needs
+MAX_TRIED = 100_000  # words and stems of most toxic texts that are tried
 MAX_TERMS = 5_000
+PRIOR = (-7.2, 4.4, -0.8)  # of the score: constant, factor of log(1 + weights), factor of log(1 + words / LENGTH_AT)
+HOLD = (0.05, 0.5, 0.5)  # how strongly the fit is held near them
 LENGTH_AT = 200.0  # words from which the length counts
 THRESHOLD = 0.3
 
@@ -80,7 +89,7 @@ class Lexicon:
 
     weights: dict[str, float]
     exceptions: tuple[str, ...] = EXCEPTIONS
-    length_at: float = LENGTH_AT
+    curve: tuple[float, float, float] = PRIOR
     _automaton: object = field(default=None, repr=False, compare=False)
 
     def automaton(self):
@@ -95,23 +104,58 @@ class Lexicon:
             self._automaton = a
         return self._automaton
 
-    def score(self, text: str | None) -> float:
+    def weigh(self, text: str | None) -> tuple[float, int]:
+        """Summed weights and number of words."""
         if not text or not self.weights:
-            return 0.0
+            return 0.0, 0
         folded = fold(text)
         if len(folded) < 3:
-            return 0.0
-        hits, spared = [], []
+            return 0.0, 0
+        heaviest: dict[int, tuple[int, float]] = {}  # by the word's start
+        spared = []
         for end, (size, w) in self.automaton().iter(folded):
-            (spared if w is None else hits).append((end + 1 - size, end + 1, w))
-        total = 0.0
-        for start, stop, w in hits:
-            if not any(a <= start and stop <= b for a, b, _ in spared):
-                total += w
+            start = end + 1 - size
+            if w is None:
+                spared.append((start, end + 1))
+            elif start not in heaviest or heaviest[start][1] < w:
+                heaviest[start] = (end + 1, w)
+        total = sum(w for start, (stop, w) in heaviest.items() if not any(a <= start and stop <= b for a, b in spared))
+        return total, folded.count(" ") - 1
+
+    def score(self, text: str | None) -> float:
+        total, words = self.weigh(text)
         if not total:
             return 0.0
-        length = 1.0 + math.log1p(folded.count(" ") / self.length_at)
-        return 1.0 - math.exp(-max(0.0, total) / length)
+        z = float(np.dot(self.curve, _shape(total, words)))
+        return 1.0 / (1.0 + math.exp(-max(-700.0, z)))
+
+
+def _shape(total, words):
+    """What the score's logistic function takes."""
+    return np.array([np.ones_like(total, dtype=float), np.log1p(total), np.log1p(np.asarray(words) / LENGTH_AT)])
+
+
+def fit_curve(total: np.ndarray, words: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
+    """Logistic regression of labels on weights and lengths by Newton's method, drawn towards PRIOR."""
+    x, prior, hold = _shape(total, words).T, np.array(PRIOR), np.array(HOLD)
+    theta = prior.copy()
+
+    def loss(t):
+        z = x @ t
+        return float((weight * (np.logaddexp(0, z) - toxic * z)).sum() + 0.5 * (hold * (t - prior) ** 2).sum())
+
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -500, 500)))
+        grad = x.T @ (weight * (p - toxic)) + hold * (theta - prior)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(hold), grad)
+        size = 1.0
+        while size > 1e-6 and loss(theta - size * step) > loss(theta):
+            size /= 2
+        theta = theta - size * step
+        if np.abs(step).max() * size < 1e-9:
+            break
+    # More weight never lowers a score, and a longer text never raises it.
+    return float(theta[0]), max(0.0, float(theta[1])), min(0.0, float(theta[2]))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -130,62 +174,90 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, *, docs_per_label: int = DOC
     chosen = F.broadcast(marked.filter(spread < share))
     sample = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic")
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (x.slice(i, 300) for x in batches for i in range(0, len(x), 300)):
-            found: dict[tuple[str, int], list] = {}
-            seen: set[tuple[str, int]] = set()
-            for text, toxic in zip(b["text"].to_pylist(), b["toxic"].to_pylist()):
-                if (text, toxic) in seen:
-                    continue
-                seen.add((text, toxic))
-                words = fold(text).split()
-                for left, word, right in zip(["", *words], words, [*words[1:], ""]):
-                    if 3 <= len(word) <= 24:
-                        at = found.setdefault((word, toxic), [set(), 0, -1])
-                        at[0].add(hash_of(left + " " + right))
-                        if at[2] != len(seen):
-                            at[1], at[2] = at[1] + 1, len(seen)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int32()), pa.array([sorted(v[0]) for v in found.values()], pa.list_(pa.int32())), pa.array([v[1] for v in found.values()], pa.int64())],
-                names=["word", "toxic", "contexts", "docs"],
-            )
-
-    # Words of toxic texts are the only ones that can become terms: the others are not sent around.
     scratch = Scratch(docs.sparkSession, "toxicity")
-    toxic = sample.filter("toxic = 1").mapInArrow(contexts, "word string, toxic int, contexts array<int>, docs long")
-    toxic = scratch.table(toxic, "toxic-words")
-    terms = (
-        toxic.withColumn("c", F.explode("contexts")).groupBy("word").agg(F.count_distinct("c").alias("contexts"))
-        .join(toxic.groupBy("word").agg(F.sum("docs").alias("docs")), "word")
-        .filter((F.col("contexts") >= MIN_CONTEXTS) & (F.col("contexts") >= F.col("docs") * CONTEXT_SHARE))
-        .orderBy(F.desc("contexts"), "word")
-        .limit(20 * MAX_TERMS)
-        .collect()
-    )  # at most 100,000 words of the bounded sample
-    if not terms:
+    bad, fine = sample.filter("toxic = 1").select("text"), sample.filter("toxic = 0").select("text")
+    numbers = "term string, docs long, times long"
+
+    def counter(wanted: frozenset[str] | None):
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in (x.slice(i, 500) for x in batches for i in range(0, len(x), 500)):
+                times: Counter[str] = Counter()
+                seen: Counter[str] = Counter()
+                for text in set(b["text"].to_pylist()):
+                    own = Counter(f for w in fold(text).split() for f in terms_of(w) if wanted is None or f in wanted)
+                    times.update(own)
+                    seen.update(own.keys())
+                yield pa.RecordBatch.from_arrays([pa.array(list(times), pa.string()), pa.array([seen[f] for f in times], pa.int64()), pa.array(list(times.values()), pa.int64())], names=["term", "docs", "times"])
+
+        return count
+
+    total = lambda df: df.groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("times").alias("times"))
+    counted = scratch.table(total(bad.mapInArrow(counter(None), numbers)).filter(F.col("docs") >= MIN_DOCS), "terms")
+    tried = counted.count()
+    # Bounded by MAX_TRIED rows, and by the sample.
+    wanted = {r["term"]: (r["docs"], r["times"]) for r in counted.orderBy(F.desc("docs"), "term").limit(MAX_TRIED).collect()}
+    n_toxic, n_clean = min(counts[1], docs_per_label), max(1, min(counts.get(0, 0), docs_per_label))
+    base = n_toxic / (n_toxic + n_clean)
+    least = 2 * math.log(max(1.0, tried / CHANCE_TERMS))  # of the G statistic, whose chance is about exp(-G / 2)
+    wanted = {f: v for f, v in wanted.items() if evidence(v[0], v[0], base) >= least}
+    others = {r["term"]: (r["docs"], r["times"]) for r in total(fine.mapInArrow(counter(frozenset(wanted)), numbers)).collect()} if wanted else {}
+    chosen: dict[str, float] = {}
+    for f, (n, times) in wanted.items():
+        n0, times0 = others.get(f, (0, 0))
+        ratio = math.log((times + 0.1) / n_toxic) - math.log((times0 + 0.1) / n_clean)
+        if ratio >= MIN_WEIGHT and evidence(n, n + n0, base) >= least:
+            chosen[f] = min(MAX_WEIGHT, ratio)
+    if not chosen:
         return Lexicon({}, tuple(exceptions))
-    wanted = {r["word"]: (r["contexts"], r["docs"]) for r in terms}
 
-    def clean_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(i, 500) for x in batches for i in range(0, len(x), 500)):
+            found = set()
+            for text in set(b["text"].to_pylist()):
+                words = fold(text).split()
+                for left, word, right in zip(["", *words], words, [*words[1:], ""]):
+                    around = zlib.crc32(f"{left} {right}".encode())
+                    found.update((f, around) for f in terms_of(word) if f in chosen)
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.string()), pa.array([c for _, c in found], pa.int64())], names=["term", "around"])
+
+    spread_ = bad.mapInArrow(contexts, "term string, around long").groupBy("term").agg(F.count_distinct("around").alias("n"))
+    different = {r["term"]: r["n"] for r in spread_.collect()}  # as many rows as chosen
+    for f in list(chosen):
+        n, n0 = wanted[f][0], others.get(f, (0, 0))[0]
+        k = min(n, different.get(f, 0))
+        if k < MIN_DOCS or k < n * CONTEXT_SHARE or evidence(k, k + n0, base) < least:
+            del chosen[f]
+    # A stem is no better than a longer term with nearly all of its texts.
+    children: dict[str, int] = {}
+    for f in chosen:
+        for k in range(1 + STEMS[0], len(f)):
+            children[f[:k]] = max(children.get(f[:k], 0), wanted[f][0])
+    kept = [f for f in chosen if f.endswith(" ") or children.get(f, 0) < 0.95 * wanted[f][0]]
+    best = sorted(kept, key=lambda f: (-wanted[f][0], f))[:MAX_TERMS]
+    lexicon = Lexicon({f: chosen[f] for f in best}, tuple(exceptions))
+    weights, phrases = lexicon.weights, lexicon.exceptions
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = Lexicon(weights, phrases)
         for b in batches:
-            n: dict[str, int] = {}
-            for text in b["text"].to_pylist():
-                for w in set(fold(text).split()) & wanted.keys():
-                    n[w] = n.get(w, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "docs"])
-
-    clean = sample.filter("toxic = 0").select("text").mapInArrow(clean_counts, "word string, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
-    others = {r["word"]: r["docs"] for r in clean.collect()}  # at most as many words as wanted
-    n_toxic, n_clean = min(counts[1], docs_per_label), max(1, min(counts.get(0, 0), docs_per_label))
-    base = n_toxic / (n_toxic + n_clean)
-    weights = {}
-    for word, (contexts_, docs_) in wanted.items():
-        k, others_ = min(docs_, contexts_), others.get(word, 0)
-        ratio = math.log((k + 0.1) / n_toxic) - math.log((others_ + 0.1) / n_clean)
-        if ratio >= MIN_WEIGHT and evidence(k, k + others_, base) >= MIN_EVIDENCE:
-            weights[f" {word} "] = (ratio, contexts_)
-    best = sorted(weights, key=lambda t: (-weights[t][1], t))[:MAX_TERMS]
-    return Lexicon({t: weights[t][0] for t in best}, tuple(exceptions))
+            found = [lex.weigh(t.as_py()) for t in b["text"]]
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64()), b["toxic"]], names=["total", "words", "toxic"])
+
+    # Three numbers for each text of the bounded sample that has a hit.
+    sums = sample.mapInArrow(weigh, "total double, words long, toxic int").filter("total > 0").orderBy("total", "words", "toxic").toPandas()
+    label = sums["toxic"].to_numpy(dtype=float)
+    clean_share = min(1.0, docs_per_label / max(1, counts.get(0, 0)))
+    toxic_share = min(1.0, docs_per_label / counts[1])
+    rare = np.where(label > 0, toxic_share, clean_share)
+    lexicon.curve = fit_curve(sums["total"].to_numpy(dtype=float), sums["words"].to_numpy(dtype=float), label, rare.min(initial=1.0) / rare)
+    return lexicon
+
+
+def terms_of(word: str) -> list[str]:
+    """The word and its stems as they stand in folded text."""
+    if not 3 <= len(word) <= 24:
+        return []
+    return [f" {word} ", *(f" {word[:k]}" for k in STEMS if k < len(word))]
 
 
 def evidence(k: int, n: int, base: float) -> float:
@@ -194,11 +266,6 @@ def evidence(k: int, n: int, base: float) -> float:
     return out + (2 * (n - k) * math.log((n - k) / (n * (1 - base))) if n > k else 0.0)
 
 
-def hash_of(text: str) -> int:
-    """A 31-bit hash that is the same in every process."""
-    return zlib.crc32(text.encode("utf-8", "surrogatepass")) & 0x7FFFFFFF
-
-
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, *, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """keep and score, one row per row of docs."""
     from pyspark.sql import types as T
@@ -207,10 +274,10 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, *, text_col: str = "text",
     if clash := {"score", "_text"} & {c.lower() for c in kept}:
         raise ValueError(f"columns that the scoring adds: {sorted(clash)}")
     schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("score", T.DoubleType())])
-    weights, exceptions, length_at = lexicon.weights, lexicon.exceptions, lexicon.length_at
+    weights, exceptions, curve = lexicon.weights, lexicon.exceptions, lexicon.curve
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = Lexicon(weights, exceptions, length_at)
+        lex = Lexicon(weights, exceptions, curve)
         for b in batches:
             scores = pa.array([lex.score(t.as_py()) for t in b["_text"]], pa.float64())
             yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), scores], names=[*kept, "score"])
