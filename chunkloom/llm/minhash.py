@@ -183,12 +183,15 @@ def _texts(rows: DataFrame, groups: DataFrame, classes: DataFrame, scratch: Scra
     """Texts of the classes that have candidates: rep, group, block, place (in the first tree's order), text.
 
     Group and block are settled on ids, before any text moves. A large group is cut by the leading minimum, which near
-    neighbours share, hashed into as many blocks as it needs.
+    neighbours share; what shares it in large numbers, as near copies do, is dealt on by a hash of the id. So no block, and no
+    task, grows with a group.
     """
     place = classes.select(F.col("rep").alias("id"), F.substring("signature", 1, 6).alias("place"))
     sized = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     cut = F.pmod(F.xxhash64(F.substring("place", 1, 2)), 2 * F.ceil(F.col("size") / F.lit(block)).cast("long"))
-    narrow = groups.join(sized, "component").join(place, "id").withColumn("block", F.when(F.col("size") <= block, F.lit(0)).otherwise(cut))
+    narrow = groups.join(sized, "component").join(place, "id").withColumn("cut", F.when(F.col("size") <= block, F.lit(0)).otherwise(cut))
+    shared = narrow.groupBy("component", "cut").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("long").alias("parts"))
+    narrow = narrow.join(shared, ["component", "cut"]).withColumn("block", F.col("cut") + (F.pmod(F.xxhash64(F.lit(4), "id"), F.col("parts")) * F.lit(1 << 40)))
     narrow = narrow.select(F.col("id").alias("doc_id"), F.col("component").alias("group"), "block", "place")
     # The ids grow with the input: a sort-merge join at every size, never a broadcast that fits small inputs only.
     out = rows.join(narrow.hint("merge"), "doc_id").select(F.col("doc_id").alias("rep"), "group", "block", "place", "text")
