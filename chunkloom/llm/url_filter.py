@@ -150,3 +150,38 @@ def judge_urls(
     return judged.join(of_shape, ["host", "shape"], "left").select(
         "page_id", "host", "path", "rule", F.coalesce("says", method).alias("verdict"), "template", "purity"
     )
+
+
+def oracle(rules: Sequence[tuple[str, str]] = RULES) -> str:
+    """The same judgement as SQL for another engine, over the view pages."""
+    order = sorted(rules, key=lambda r: (len(r[0]), [-ord(c) for c in r[0]]), reverse=True)
+
+    def fits(text: str) -> str:
+        name, _, tail = text.partition("/")
+        return f"(host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{'/' + tail if '/' in text else ''}')"
+
+    rule = "CASE " + " ".join(f"WHEN {fits(text)} THEN '{text}'" for text, _ in order) + " END"
+    says = "CASE rule " + " ".join(f"WHEN '{text}' THEN '{verdict}'" for text, verdict in order) + " END"
+    shape = "CASE " + " ".join(f"WHEN regexp_matches(s, '{pattern}') THEN '{name}'" for pattern, name in SHAPES) + " ELSE s END"
+    levels = []
+    for k in range(1, MAX_DEPTH + 1):
+        before = f"t{k - 1}"
+        levels.append(f"""
+k{k} AS MATERIALIZED (SELECT host, template, count(*) > {MIN_CHILDREN} AND sum(n) <= count(*) * {MAX_ROWS_PER_CHILD} AS wide FROM (SELECT host, template, seg[{k}] AS kid, sum(n) AS n FROM {before} WHERE len(seg) >= {k} GROUP BY ALL) GROUP BY ALL),
+t{k} AS MATERIALIZED (SELECT host, shape, n, n_block, n_label, seg, CASE WHEN len(seg) < {k} THEN template ELSE template || '/' || CASE WHEN wide AND NOT starts_with(seg[{k}], '{{') THEN '{{*}}' ELSE seg[{k}] END END AS template FROM {before} LEFT JOIN k{k} USING (host, template))""")
+    return f"""
+WITH parsed AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+ruled AS (SELECT *, {rule} AS rule FROM parsed),
+judged AS MATERIALIZED (SELECT *, {says} AS says, string_split(regexp_replace(path, '^/', ''), '/') AS segs FROM ruled),
+shaped AS MATERIALIZED (SELECT *, array_to_string(list_concat(list_transform(segs[1:{MAX_DEPTH}], lambda s: {shape}), CASE WHEN len(segs) > {MAX_DEPTH} THEN ['{{**}}'] ELSE [] END), '/') AS shape FROM judged),
+t0 AS MATERIALIZED (SELECT host, shape, count(*) AS n, count(*) FILTER (WHERE says = 'block') AS n_block, count(says) AS n_label, string_split(shape, '/') AS seg, '' AS template FROM shaped GROUP BY host, shape),{",".join(levels)},
+tree AS MATERIALIZED (SELECT host, shape, n, n_block, n_label, CASE WHEN len(seg) > {MAX_DEPTH} THEN template || '/{{**}}' ELSE template END AS template FROM t{MAX_DEPTH}),
+leaves AS MATERIALIZED (SELECT host, template, regexp_replace(template, '/[^/]*$', '') AS parent, regexp_extract(template, '[^/]*$', 0) AS last, sum(n_block) AS n_block, sum(n_label) AS n_label FROM tree GROUP BY ALL),
+up AS (SELECT host, parent, coalesce(sum(n_block) / nullif(sum(n_label), 0), 0) AS share FROM leaves GROUP BY ALL),
+branches AS MATERIALIZED (SELECT l.*, CASE WHEN n_label > 0 AND abs(n_block - n_label * share) > {Z_SIMILAR} * sqrt(n_label * share * (1 - share)) + 0.5 THEN last ELSE '{{merged}}' END AS branch FROM leaves l JOIN up USING (host, parent)),
+merged AS (SELECT host, parent, branch, sum(n_block) AS b_block, sum(n_label) AS b_label FROM branches GROUP BY ALL),
+overall AS (SELECT coalesce(sum(n_block) / nullif(sum(n_label), 0), 0) AS base FROM leaves),
+everywhere AS (SELECT template, sum(n_block) AS t_block, sum(n_label) AS t_label FROM leaves GROUP BY ALL),
+verdicts AS (SELECT host, template, (b_block + {PRIOR} * ((t_block + {PRIOR} * base) / (t_label + {PRIOR}))) / (b_label + {PRIOR}) AS purity FROM branches JOIN merged USING (host, parent, branch) JOIN everywhere USING (template), overall)
+SELECT page_id, s.host, path, rule, coalesce(says, CASE WHEN purity >= {BLOCK_AT} THEN 'block' ELSE 'allow' END) AS verdict
+FROM shaped s LEFT JOIN tree t ON t.host = s.host AND t.shape = s.shape LEFT JOIN verdicts v ON v.host = t.host AND v.template = t.template"""
