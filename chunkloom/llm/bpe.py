@@ -20,12 +20,13 @@ is encoded by these table-driven transitions, and decoded by emitting the arcs'
 Defined results. Null text: as empty (no token). Special tokens' strings in a text are their own tokens, as in the
 tokenizer file; texts are normalised (NFC, white space, lower case), split into words and mapped byte by byte to
 symbols. Extra columns are ignored, repeated rows are encoded alike, an empty table gives an empty result. Words are
-memoised up to ``cache_words`` in a process; beyond that the memo starts anew, so memory is bounded.
+memoised up to ``cache_words`` in a process; beyond that the older half goes, so memory is bounded.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -65,10 +66,13 @@ class Automaton:
         self.arcs: dict[tuple[int, int], bool] = {}
         self.dead: set[int] = set()  # tokens whose arc no gadget could add
         self.longest = 1
+        self.reach: dict[str, int] = {}  # longest token that begins with three given symbols
         for rank, (u, v) in enumerate(merges):
             self._gadget(rank, vocab[u], vocab[v], vocab[u + v])
         for t in self.parts:
-            self.longest = max(self.longest, len(self.labels[t].removesuffix(word_end)))
+            label = self.labels[t].removesuffix(word_end)
+            self.longest = max(self.longest, len(label))
+            self.reach[label[:3]] = max(self.reach.get(label[:3], 2), len(label))
 
     def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
         if (u, v) in self.rank or w in self.parts:
@@ -113,20 +117,33 @@ class Automaton:
         whole = vocab.get(text + self.word_end)
         if whole is not None and whole not in dead:
             return [whole]  # the arc from the start to the end
-        state: list[int] = [-1] * (n + 1)
-        came: list[int] = [0] * (n + 1)
-        for i in range(1, n + 1):
-            end = self.word_end if i == n else ""
-            for j in range(max(0, i - self.longest), i):
-                t = vocab.get(text[j:i] + end)
-                if t is not None and t not in dead and (j == 0 or arc(state[j], t)):
-                    state[i], came[i] = t, j
-                    break
-        out = []
-        while n > 0:
-            out.append(state[n])
-            n = came[n]
-        return out[::-1]
+        # Open arcs from the start to a position are the only such path, so a position from which none goes on is done with
+        # for good. The longest open arc is tried first.
+        path: list[int] = []
+        starts: list[int] = []
+        bad = bytearray(n + 1)
+        i, last, reach, known, word_end = 0, -1, self.reach, self.arcs, self.word_end
+        while i < n:
+            for j in range(min(n, i + reach.get(text[i : i + 3], 2)), i, -1):
+                if bad[j]:
+                    continue
+                t = vocab.get(text[i:] + word_end if j == n else text[i:j])
+                if t is None or t in dead:
+                    continue
+                if last >= 0:
+                    open_ = known.get((last, t))
+                    if not (arc(last, t) if open_ is None else open_):
+                        continue
+                path.append(t)
+                starts.append(i)
+                i, last = j, t
+                break
+            else:
+                bad[i] = 1
+                i = starts.pop()
+                path.pop()
+                last = path[-1] if path else -1
+        return path
 
 
 class Codec:
@@ -174,8 +191,9 @@ class Codec:
 
     def _entry(self, w: str | int) -> tuple[int, bytes, bytes]:
         ids = [w] if isinstance(w, int) else self.automaton.encode_word(w)
-        if len(self.memo) >= self.cache_words:
-            self.memo.clear()
+        if len(self.memo) >= self.cache_words:  # the older half goes
+            for old in list(itertools.islice(self.memo, self.cache_words // 2 + 1)):
+                del self.memo[old]
         found = self.memo[w] = (len(ids), " ".join(map(str, ids)).encode(), self.decode(ids).encode("utf-8"))
         return found
 
