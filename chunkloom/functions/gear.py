@@ -28,21 +28,35 @@ def gear_table(path: str | None = None) -> np.ndarray:
     return np.array([int(hashlib.md5(str(b).encode()).hexdigest()[:8], 16) for b in range(256)], dtype=np.uint32)
 
 
-def gear_hashes(data: bytes | memoryview | np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
-    """The hash at every position: sum over k < 32 of table[byte k before] * 2^k, modulo 2^32.
-
-    Five shifted additions instead of a loop over bytes.
-    """
-    h = (gear_table() if table is None else table)[np.frombuffer(data, dtype=np.uint8)]
+def _rolled(values: np.ndarray) -> np.ndarray:
+    """Five shifted additions instead of a loop over positions."""
+    h = values
     for s in (1, 2, 4, 8, 16):
         if len(h) <= s:
             break
-        add = h[:-s] << np.uint32(s)
-        h = h.copy()
-        h[s:] += add
+        nxt = h.copy()
+        nxt[s:] += h[:-s] << np.uint32(s)
+        h = nxt
     return h
 
 
+def gear_hashes(data: bytes | memoryview | np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """The hash at every position: sum over k < 32 of table[byte k before] * 2^k, modulo 2^32."""
+    return _rolled((gear_table() if table is None else table)[np.frombuffer(data, dtype=np.uint8)])
+
+
+def gear_hashes_of(parts: list[bytes], table: np.ndarray | None = None) -> tuple[np.ndarray, list[int]]:
+    """Hashes of several streams in one array, and where each starts in it; 31 unused positions stand between them."""
+    values, starts, at = gear_table() if table is None else table, [], 0
+    for p in parts:
+        starts.append(at)
+        at += len(p) + WINDOW - 1
+    flat = np.zeros(at, dtype=np.uint32)
+    for p, s in zip(parts, starts):
+        flat[s : s + len(p)] = values[np.frombuffer(p, dtype=np.uint8)]
+    return _rolled(flat), starts
+
+
 def gear_at(data: Column, position: Column, table: np.ndarray | None = None) -> Column:
     """Column: the hash of the 32 bytes that end at position (from 0)."""
     values = F.array(*(F.lit(int(x)) for x in (gear_table() if table is None else table)))

@@ -26,27 +26,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chunkloom.config import COMPRESS, ChunkConfig
-from chunkloom.functions.gear import WINDOW, gear_hashes
+from chunkloom.functions.gear import WINDOW, gear_hashes, gear_hashes_of
 
 LONG, INT, TEXT, BINARY = T.LongType(), T.IntegerType(), T.StringType(), T.BinaryType()
+HASHED_AT_ONCE = 1 << 20  # bytes of short streams in one numpy call
 
 
-def select_cuts(n: int, hard: list[int], easy: list[int], backup: list[int], cfg: ChunkConfig) -> list[int]:
-    """The rule above on sorted positions; the last cut is n (none if n is 0)."""
+def select_cuts(end: int, hard: list[int], easy: list[int], backup: list[int], cfg: ChunkConfig, start: int = 0) -> list[int]:
+    """The rule above for the stream in [start, end), on sorted positions; the last cut is end (none if it is empty).
+
+    The lists may hold positions of other streams around it.
+    """
     cuts: list[int] = []
-    p, low, avg, high = 0, cfg.min_size, cfg.avg_size, cfg.max_size
-    while p < n:
-        stop = min(p + avg, n)
+    p, low, avg, high = start, cfg.min_size, cfg.avg_size, cfg.max_size
+    while p < end:
+        stop = p + avg if p + avg < end else end
         k = bisect_left(hard, p + low)
         if k < len(hard) and hard[k] < stop:
             p = hard[k]
         else:
-            stop = min(p + high, n)
+            stop = p + high if p + high < end else end
             k = bisect_left(easy, p + avg)
             if k < len(easy) and easy[k] < stop:
                 p = easy[k]
-            elif n - p < high:
-                p = n
+            elif end - p < high:
+                p = end
             else:
                 k = bisect_left(backup, p + avg)
                 p = backup[k] if k < len(backup) and backup[k] < p + high else p + high
@@ -75,6 +79,37 @@ def cdc_cuts(data: bytes, cfg: ChunkConfig = COMPRESS) -> list[int]:
     return select_cuts(len(data), *positions(gear_hashes(data), cfg), cfg)
 
 
+def groups_of(parts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of parts of about HASHED_AT_ONCE bytes."""
+    first = size = 0
+    for i, p in enumerate(parts):
+        size += len(p)
+        if size >= HASHED_AT_ONCE:
+            yield first, i + 1
+            first, size = i + 1, 0
+    if first < len(parts):
+        yield first, len(parts)
+
+
+def cdc_cuts_of(parts: list[bytes], cfg: ChunkConfig = COMPRESS) -> Iterator[list[int]]:
+    """Cuts of each stream; short ones are hashed together."""
+    for a, b in groups_of(parts):
+        h, starts = gear_hashes_of(parts[a:b])
+        hard, easy, backup = positions(h, cfg)
+        for p, s in zip(parts[a:b], starts):
+            cuts = select_cuts(s + len(p), hard, easy, backup, cfg, s)
+            yield [c - s for c in cuts] if s else cuts
+
+
+def two_stage_cuts_of(parts: list[bytes], cfg: ChunkConfig = COMPRESS) -> Iterator[list[int]]:
+    for a, b in groups_of(parts):
+        h, starts = gear_hashes_of(parts[a:b])
+        at = np.flatnonzero(h < cfg.threshold("medium"))
+        low, high = np.searchsorted(at, starts), np.searchsorted(at, [s + len(p) for p, s in zip(parts[a:b], starts)])
+        for p, s, i, j in zip(parts[a:b], starts, low.tolist(), high.tolist()):
+            yield greedy_cuts(len(p), (at[i:j] - s).tolist(), cfg.min_size, cfg.max_size)
+
+
 def fixed_cuts(data: bytes, size: int) -> list[int]:
     return [*range(size, len(data), size), len(data)] if data else []
 
@@ -103,7 +138,7 @@ def two_stage_cuts(data: bytes, cfg: ChunkConfig = COMPRESS) -> list[int]:
     return greedy_cuts(len(data), np.flatnonzero(h < cfg.threshold("medium")).tolist(), cfg.min_size, cfg.max_size)
 
 
-def chunk_rows(streams: DataFrame, cut: Callable[[bytes], list[int]], *, data_col: str = "data", keep: Sequence[str] = ("stream_id",), with_data: bool = False, digest: bool = True) -> DataFrame:
+def chunk_rows(streams: DataFrame, cut_all: Callable[[list[bytes]], Iterator[list[int]]], *, data_col: str = "data", keep: Sequence[str] = ("stream_id",), with_data: bool = False, digest: bool = True) -> DataFrame:
     """keep, chunk_i, offset, size, hash (md5 in hex) and, if asked for, data of each chunk; null streams have none."""
     kept = list(keep)
     fields = [*streams.select(*kept).schema.fields, T.StructField("chunk_i", LONG), T.StructField("offset", LONG), T.StructField("size", LONG)]
@@ -113,25 +148,28 @@ def chunk_rows(streams: DataFrame, cut: Callable[[bytes], list[int]], *, data_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         md5 = hashlib.md5
         for b in batches:
-            row, number, offset, size, hashes, parts = [], [], [], [], [], []
-            for i, cell in enumerate(b[data_col]):
-                data = cell.as_py()
-                if not data:
-                    continue
-                start = 0
-                for k, end in enumerate(cut(data)):
-                    row.append(i)
-                    number.append(k)
-                    offset.append(start)
-                    size.append(end - start)
-                    part = data[start:end] if digest or with_data else b""
-                    if digest:
-                        hashes.append(md5(part).hexdigest())
-                    if with_data:
-                        parts.append(part)
-                    start = end
-            at = pa.array(row, pa.int64())
-            cols = [*(b[c].take(at) for c in kept), pa.array(number, pa.int64()), pa.array(offset, pa.int64()), pa.array(size, pa.int64())]
+            data = b[data_col].to_pylist()
+            rows = [i for i, d in enumerate(data) if d]
+            full = [data[i] for i in rows]
+            counts, ends, hashes, parts = [], [], [], []
+            for d, cuts in zip(full, cut_all(full)):
+                counts.append(len(cuts))
+                ends += cuts
+                if digest or with_data:
+                    start = 0
+                    for end in cuts:
+                        part = d[start:end]
+                        if digest:
+                            hashes.append(md5(part).hexdigest())
+                        if with_data:
+                            parts.append(part)
+                        start = end
+            n, last = np.array(counts, dtype=np.int64), np.array(ends, dtype=np.int64)
+            first = np.cumsum(n) - n  # of each stream's chunks
+            offset = np.concatenate(([0], last[:-1])) if len(last) else last
+            offset[first] = 0
+            at = pa.array(np.repeat(np.array(rows, dtype=np.int64), n))
+            cols = [*(b[c].take(at) for c in kept), pa.array(np.arange(len(last)) - np.repeat(first, n)), pa.array(offset), pa.array(last - offset)]
             cols += [pa.array(hashes, pa.string())] * digest + [pa.array(parts, pa.binary())] * with_data
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
@@ -139,11 +177,11 @@ def chunk_rows(streams: DataFrame, cut: Callable[[bytes], list[int]], *, data_co
 
 
 def cdc_chunks(streams: DataFrame, cfg: ChunkConfig = COMPRESS, **options) -> DataFrame:
-    return chunk_rows(streams, lambda d: cdc_cuts(d, cfg), **options)
+    return chunk_rows(streams, lambda parts: cdc_cuts_of(parts, cfg), **options)
 
 
 def two_stage_chunks(streams: DataFrame, cfg: ChunkConfig = COMPRESS, **options) -> DataFrame:
-    return chunk_rows(streams, lambda d: two_stage_cuts(d, cfg), **options)
+    return chunk_rows(streams, lambda parts: two_stage_cuts_of(parts, cfg), **options)
 
 
 def fixed_chunks(streams: DataFrame, size: int, *, data_col: str = "data", keep: Sequence[str] = ("stream_id",), with_data: bool = False) -> DataFrame:

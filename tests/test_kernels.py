@@ -64,6 +64,15 @@ def test_two_stage_cuts_respect_sizes():
     assert chunking.two_stage_cuts(b"") == []
 
 
+@pytest.mark.parametrize("size", [1, 3_000, 1 << 20])
+def test_streams_cut_together_as_alone(monkeypatch, size):
+    monkeypatch.setattr(chunking, "HASHED_AT_ONCE", size)
+    parts = [sample(k % 3, n, n) for k, n in enumerate([5_000, 1, 64, 3_000, 2_048, 700, 9_000, 31])]
+    assert list(chunking.cdc_cuts_of(parts)) == [chunking.cdc_cuts(p) for p in parts]
+    assert list(chunking.two_stage_cuts_of(parts)) == [chunking.two_stage_cuts(p) for p in parts]
+    assert list(chunking.cdc_cuts_of([])) == []
+
+
 def test_edits_are_local():
     data = sample(2, 50_000)
     a, b = chunking.cdc_cuts(data), chunking.cdc_cuts(data[:20_000] + b"x" + data[20_000:])
