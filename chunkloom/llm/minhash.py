@@ -6,14 +6,15 @@
    minima with more than ``region`` classes are split by the next minimum, and so on (adaptive depth). Neighbours in the
    order whose longest common prefix reaches their region's depth are candidates: at most ``window`` on either side for each class and tree.
    Orders are range-partitioned, so a region may span tasks and no task holds more than its range.
-3. Candidates' components are cut into blocks of at most ``block`` classes that lie next to each other in a tree's order.
-   Each block is confirmed on full sets, all its classes with one another; a text is sent once. What remains are candidates
-   between blocks whose ends are not connected yet: they are confirmed pair by pair, first the best one between any two
-   components, in the end all.
+3. Candidates' components are groups, cut into blocks of about ``block`` classes. All classes of a group are compared with
+   one another on full sets, a task taking one block or two; only a spanning forest of the links leaves it. Groups of more
+   than ``grid`` classes are compared within their blocks only, and their other candidates whose ends are not connected yet
+   are confirmed pair by pair, first the best one between any two components, in the end all.
 4. Components of confirmed links; each class takes its component's smallest doc_id.
 
 Two documents link if 100 * intersection >= 75 * union, on exact sets. With 24 trees of least depth 3 a pair at the
-threshold meets in no tree with a chance of (1 - 0.75^3)^24 = 2e-6, in regions that go one deeper 1e-4; nearer pairs less.
+threshold meets in no tree with a chance of (1 - 0.75^3)^24 = 2e-6, in regions that go one deeper 1e-4; nearer pairs less. It is
+enough that both get into one group, by whatever candidates.
 
 Defined results. Null and blank texts have the empty set and are linked with nothing; fewer words than a shingle are one
 shingle. Rows with a null doc_id are linked with nothing and have component null. Rows that share a doc_id are one
@@ -39,7 +40,9 @@ PERCENT = 75
 TREES, DEPTH, LEAST_DEPTH = 24, 6, 3
 REGION = 64
 WINDOW = 6  # neighbours on either side in an order
-BLOCK = 48
+BLOCK = 256  # classes of a block
+GRID = 4_096  # classes of a group that are all compared with one another
+COLUMNS = 4_096  # shingles of one matrix product
 SEED = 8_191
 HASHED_AT_ONCE = 1 << 21  # minima computed in one numpy call
 
@@ -92,7 +95,7 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, trees: int = TREES, depth: int = DEPTH, least_depth: int = LEAST_DEPTH, region: int = REGION, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, trees: int = TREES, depth: int = DEPTH, least_depth: int = LEAST_DEPTH, region: int = REGION, window: int = WINDOW, block: int = BLOCK, grid: int = GRID) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     scratch = Scratch(docs.sparkSession, "minhash")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -117,8 +120,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     edges = scratch.table(_forest(classes, trees, depth, least_depth, region, window), "candidates")
     groups = components(edges, scratch, "candidates-cc")
-    texts = _texts(rows, groups, classes, scratch, block)
-    confirmed = _confirm(texts, edges, scratch, words, percent, block)
+    texts = _texts(rows, groups, scratch, block)
+    confirmed = _confirm(texts, edges, groups, scratch, words, percent, block, grid)
 
     # Rows of one doc_id with different texts are one document.
     of_class = linkable.select("doc_id", "digest").join(classes.select("digest", "rep"), "digest").select("doc_id", "rep")
@@ -179,46 +182,88 @@ def _forest(classes: DataFrame, trees: int, depth: int, least: int, region: int,
     return pairs.groupBy("a", "b").agg(F.sum("lcp").alias("weight"))
 
 
-def _texts(rows: DataFrame, groups: DataFrame, classes: DataFrame, scratch: Scratch, block: int) -> DataFrame:
-    """Texts of the classes that have candidates: rep, group, block, place (in the first tree's order), text.
+def _texts(rows: DataFrame, groups: DataFrame, scratch: Scratch, block: int) -> DataFrame:
+    """Texts of the classes that have candidates: rep, group, its size and number of blocks, block, text.
 
-    Group and block are settled on ids, before any text moves. A large group is cut by the leading minimum, which near
-    neighbours share; what shares it in large numbers, as near copies do, is dealt on by a hash of the id. So no block, and no
-    task, grows with a group.
+    Group and block are settled on ids, before any text moves. Blocks are dealt by a hash of the id, so no task grows with a
+    group, whatever its classes have in common.
     """
-    place = classes.select(F.col("rep").alias("id"), F.substring("signature", 1, 6).alias("place"))
     sized = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    cut = F.pmod(F.xxhash64(F.substring("place", 1, 2)), 2 * F.ceil(F.col("size") / F.lit(block)).cast("long"))
-    narrow = groups.join(sized, "component").join(place, "id").withColumn("cut", F.when(F.col("size") <= block, F.lit(0)).otherwise(cut))
-    shared = narrow.groupBy("component", "cut").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("long").alias("parts"))
-    narrow = narrow.join(shared, ["component", "cut"]).withColumn("block", F.col("cut") + (F.pmod(F.xxhash64(F.lit(4), "id"), F.col("parts")) * F.lit(1 << 40)))
-    narrow = narrow.select(F.col("id").alias("doc_id"), F.col("component").alias("group"), "block", "place")
+    blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
+    narrow = groups.join(sized, "component").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64(F.lit(4), "id"), F.col("blocks")).cast("int"))
+    narrow = narrow.select(F.col("id").alias("doc_id"), F.col("component").alias("group"), "size", "blocks", "block")
     # The ids grow with the input: a sort-merge join at every size, never a broadcast that fits small inputs only.
-    out = rows.join(narrow.hint("merge"), "doc_id").select(F.col("doc_id").alias("rep"), "group", "block", "place", "text")
+    out = rows.join(narrow.hint("merge"), "doc_id").select(F.col("doc_id").alias("rep"), "group", "size", "blocks", "block", "text")
     return scratch.table(out, "texts")
 
 
-def _confirm(texts: DataFrame, edges: DataFrame, scratch: Scratch, words: int, percent: int, block: int) -> DataFrame:
-    """Confirmed links (a, b) that connect what the candidates connect."""
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of sorted sets, each of left with each of right, by products of membership matrices."""
+    flat = [np.concatenate(x) if x else np.empty(0, np.uint64) for x in (left, right)]
+    common = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    out = np.zeros((len(left), len(right)), np.int64)
+    rows, cols = [], []
+    for x, f in zip((left, right), flat):
+        at = np.searchsorted(common, f)
+        hit = (at < len(common)) & (common[np.minimum(at, max(0, len(common) - 1))] == f) if len(common) else np.zeros(len(f), bool)
+        rows.append(np.repeat(np.arange(len(x)), [len(s) for s in x])[hit])
+        cols.append(at[hit])
+    for c in range(0, len(common), COLUMNS):
+        m = []
+        for k, x in enumerate((left, right)):
+            here = (cols[k] >= c) & (cols[k] < c + COLUMNS)
+            a = np.zeros((len(x), min(COLUMNS, len(common) - c)), np.float32)
+            a[rows[k][here], cols[k][here] - c] = 1
+            m.append(a)
+        out += (m[0] @ m[1].T).astype(np.int64)  # counts below 2^24 are exact
+    return out
+
+
+def spanning_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between left and right, or within left (right None): positions, right ones behind left's."""
+    other = left if right is None else right
+    n = overlaps(left, other)
+    size, size_ = (np.array([len(s) for s in x], dtype=np.int64) for x in (left, other))
+    hit = (100 * n >= percent * (size[:, None] + size_[None, :] - n)) & (n > 0)
+    shift = 0 if right is None else len(left)
+    group = np.arange(len(left) + (len(other) if shift else 0))
+    out = []
+    for i, j in np.argwhere(hit).tolist():
+        if group[i] != group[j + shift]:
+            out.append((i, j + shift))
+            group[group == group[j + shift]] = group[i]
+    return out
+
+
+def _confirm(texts: DataFrame, edges: DataFrame, groups: DataFrame, scratch: Scratch, words: int, percent: int, block: int, grid: int) -> DataFrame:
+    """Confirmed links (a, b) that connect what the groups' links and candidates connect."""
+    # A block meets itself, and in groups of up to `grid` classes every other block: at most grid / block copies of a text.
+    others = F.when(F.col("size") <= grid, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    met = texts.withColumn("other", F.explode(others)).select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "text")
+
     def check(key: tuple, t: pa.Table) -> pa.Table:
-        reps = t["rep"].to_numpy()
-        order = np.lexsort((reps, np.array(t["place"].to_pylist(), dtype="S6")))
-        at: list[int] = []
-        to: list[int] = []
-        column = t["text"]
-        for start in range(0, len(order), block):  # a block with more than its share is taken in turns
-            mine = order[start : start + block]
-            held = [shingles(column[int(i)].as_py(), words) for i in mine]
-            group = np.arange(len(mine))
-            for j in range(1, len(mine)):
-                for i in range(j):
-                    if group[i] != group[j] and linked(held[i], held[j], percent):
-                        at.append(int(reps[mine[i]]))
-                        to.append(int(reps[mine[j]]))
-                        group[group == group[j]] = group[i]
-        return pa.table({"a": pa.array(at, pa.int64()), "b": pa.array(to, pa.int64())})
-
-    confirmed = scratch.table(texts.groupBy("group", "block").applyInArrow(check, "a long, b long"), "confirmed-0")
+        i, j = key[1].as_py(), key[2].as_py()
+        at, ids = t["block"].to_numpy(), t["rep"].to_numpy()
+        held = [shingles(x.as_py(), words) for x in t["text"]]
+        first, second = np.flatnonzero(at == i), np.flatnonzero(at == j)
+        where, pairs = first, []
+        if i == j:
+            # A block of a large group may hold more than its share: it is taken in parts.
+            cut = [first[k : k + 2 * block] for k in range(0, len(first), 2 * block)]
+            for p in range(len(cut)):
+                for q in range(p, len(cut)):
+                    both = cut[p] if p == q else np.concatenate((cut[p], cut[q]))
+                    found = spanning_links([held[x] for x in cut[p]], None if p == q else [held[x] for x in cut[q]], percent)
+                    pairs += [(both[x], both[y]) for x, y in found]
+        elif len(first) and len(second):
+            where = np.concatenate((first, second))
+            pairs = [(where[x], where[y]) for x, y in spanning_links([held[x] for x in first], [held[x] for x in second], percent)]
+        return pa.table({"a": pa.array([int(ids[x]) for x, _ in pairs], pa.int64()), "b": pa.array([int(ids[y]) for _, y in pairs], pa.int64())})
+
+    confirmed = scratch.table(met.groupBy("group", "i", "j").applyInArrow(check, "a long, b long"), "confirmed-0")
+    large = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > grid).select("component")
+    unsettled = groups.join(large, "component").select(F.col("id").alias("a"))
+    edges = edges.join(unsettled, "a", "left_semi")
     left = edges
     for turn in (1, 2, 3):
         now = components(confirmed, scratch, f"confirmed-cc-{turn}")

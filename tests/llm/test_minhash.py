@@ -48,7 +48,7 @@ def corpus(seed=1):
     return [(3 * i + 1, t) for i, t in enumerate(out)] + [(9_999, None)]
 
 
-@pytest.mark.parametrize("options", [{}, {"block": 5, "region": 8}, {"trees": 40, "block": 3}])
+@pytest.mark.parametrize("options", [{}, {"block": 5, "region": 8}, {"trees": 40, "block": 3, "grid": 6}])
 def test_components_against_brute_force(spark, options):
     rows = corpus()
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA + ", group string")
@@ -77,6 +77,15 @@ def test_repeated_and_null_ids(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_overlaps_against_sets(monkeypatch):
+    monkeypatch.setattr(minhash, "COLUMNS", 7)
+    r = np.random.default_rng(1)
+    sets_ = [np.unique(r.integers(0, 60, r.integers(0, 40)).astype(np.uint64)) for _ in range(20)]
+    got = minhash.overlaps(sets_[:8], sets_[8:])
+    assert got.tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in sets_[8:]] for x in sets_[:8]]
+    assert minhash.overlaps([], sets_).shape == (0, 20) and minhash.spanning_links([sets_[0]], None, 75) == []
+
+
 def test_thresholds_are_exact():
     a = np.arange(100, dtype=np.uint64)
     assert minhash.linked(a, a[:75]) and not minhash.linked(a, a[:74]) and not minhash.linked(a[:0], a[:0])
