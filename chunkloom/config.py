@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 
 @dataclass(frozen=True)
@@ -19,11 +21,9 @@ class ChunkConfig:
         if not 1 <= self.min_size <= self.avg_size <= self.max_size or self.avg_size < 4:
             raise ValueError(f"sizes must not decrease: {self.min_size}, {self.avg_size}, {self.max_size}")
 
-    @property
+    @cached_property
     def bits(self) -> int:
         """log2 of the average size, rounded half away from zero."""
-        import math
-
         return math.floor(math.log2(self.avg_size) + 0.5)
 
     def threshold(self, kind: str) -> int:
@@ -31,7 +31,7 @@ class ChunkConfig:
         extra = {"hard": 1, "medium": 0, "easy": -1, "backup": -2}[kind]
         return 1 << (32 - self.bits - extra)
 
-    @property
+    @cached_property
     def easiest(self) -> int:
         if self.backup:
             return self.threshold("backup")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,14 @@ FEATURE_COEFFICIENTS = (
 SAMPLING_MASK = 0x40030341
 
 
+@lru_cache(maxsize=32)
+def minichunk_config(size: int) -> ChunkConfig:
+    return ChunkConfig(size // 2, size, 2 * size)
+
+
 def minichunk_cuts(data: bytes, size: int, content_defined: bool = True) -> list[int]:
     """Parts of a chunk: fixed blocks, or content-defined ones of half to twice the size."""
-    return cdc_cuts(data, ChunkConfig(size // 2, size, 2 * size)) if content_defined else fixed_cuts(data, size)
+    return cdc_cuts(data, minichunk_config(size)) if content_defined else fixed_cuts(data, size)
 
 
 def simhash_of(hashes: Sequence[int] | np.ndarray) -> int:
