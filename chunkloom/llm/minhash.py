@@ -128,7 +128,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     same = of_class.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high OR low <> doc_id")
     repeated = same.filter("low <> high").select(F.col("low").alias("a"), F.col("high").alias("b"))
     links = confirmed.unionByName(repeated)
-    found = scratch.table(components(links, scratch, "links-cc"), "components")
+    found = components(links, scratch, "links-cc")
     by_class = classes.select("digest", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     # A hot class may hold a third of all rows: a plain join, whose large partitions Spark splits.
     out = known.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
@@ -262,6 +262,8 @@ def _confirm(texts: DataFrame, edges: DataFrame, groups: DataFrame, scratch: Scr
 
     confirmed = scratch.table(met.groupBy("group", "i", "j").applyInArrow(check, "a long, b long"), "confirmed-0")
     large = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > grid).select("component")
+    if large.isEmpty():
+        return confirmed
     unsettled = groups.join(large, "component").select(F.col("id").alias("a"))
     edges = edges.join(unsettled, "a", "left_semi")
     left = edges
