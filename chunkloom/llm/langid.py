@@ -141,12 +141,10 @@ class Judge:
 
 
 def predict_languages(docs: DataFrame, profiles: dict[str, list[int]], *, profile_size: int = PROFILE_SIZE, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """keep (default: the id), lang_pred and score, one row per row of docs."""
+    """keep (default: the id), lang_pred and score, one row per row of docs; kept columns of these names give way to them."""
     from pyspark.sql import types as T
 
-    kept = keep if keep is not None else [id_col]
-    if clash := {"lang_pred", "score", "_text"} & {c.lower() for c in kept}:
-        raise ValueError(f"columns that the prediction adds: {sorted(clash)}")
+    kept = [c for c in (keep if keep is not None else [id_col]) if c.lower() not in ("lang_pred", "score", "_text")]
     rows = docs.select(*kept, F.col(text_col).alias("_text"))
     schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 

@@ -10,8 +10,8 @@ No bucket depends on a key's frequency: a hot source or a group of copies is sca
 holds ``bucket_bytes`` on average and at least one record. Offsets come from one row per bucket.
 
 Defined results. Null texts have size 1 and the crc32 of no bytes; a null doc_id, repeated doc_ids and wholly repeated
-rows are records like others; extra columns travel along (columns called bucket, place, shard or slot would clash and are
-refused); an empty table gives empty shards. The order is a function of seed, table and file splits.
+rows are records like others; extra columns travel along, but those called bucket, place, shard or slot give way to the
+shuffle's; an empty table gives empty shards. The order is a function of seed, table and file splits.
 """
 
 from __future__ import annotations
@@ -31,8 +31,7 @@ SEED = 20_24
 
 def external_shuffle(docs: DataFrame, *, n_shards: int = 16, seed: int = SEED, text_col: str = "text", id_col: str = "doc_id", bucket_bytes: int = BUCKET_BYTES, min_buckets: int = MIN_BUCKETS) -> DataFrame:
     """All columns of docs and bucket, place, shard (int) and slot (long); the records lie written in the shared folder."""
-    if clash := {"bucket", "place", "shard", "slot"} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"columns that the shuffle adds: {sorted(clash)}")
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("bucket", "place", "shard", "slot", "_ordinal")))
     total = docs.agg(F.sum(F.octet_length(text_col)).alias("b")).first()["b"] or 0
     n_buckets = max(min_buckets, -(-total // bucket_bytes))
     ordinal = F.monotonically_increasing_id()  # file split and row in it: tells repeated rows apart

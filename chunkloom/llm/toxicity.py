@@ -267,12 +267,10 @@ def evidence(k: int, n: int, base: float) -> float:
 
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, *, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """keep and score, one row per row of docs."""
+    """keep and score, one row per row of docs; a kept column of that name gives way to it."""
     from pyspark.sql import types as T
 
-    kept = list(keep)
-    if clash := {"score", "_text"} & {c.lower() for c in kept}:
-        raise ValueError(f"columns that the scoring adds: {sorted(clash)}")
+    kept = [c for c in keep if c.lower() not in ("score", "_text")]
     schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("score", T.DoubleType())])
     weights, exceptions, curve = lexicon.weights, lexicon.exceptions, lexicon.curve
 

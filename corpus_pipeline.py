@@ -15,18 +15,25 @@ from chunkloom.llm import langid, minhash, packing, toxicity
 from chunkloom.llm._common import Scratch, read
 
 
+def _masked(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with columns c0, c1, ..., so that none clashes with what an operator adds; and the text's new name."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))), f"c{docs.columns.index('text')}"
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language stay; those without text or letters go."""
     profiles = langid.fit_profiles(docs.filter(~langid.held_out()))
-    said = langid.predict_languages(docs.withColumn("_read", F.col("text")), profiles, text_col="_read", keep=docs.columns)
-    return said.filter("lang_pred <> 'und'").select(*docs.columns)
+    masked, text = _masked(docs)
+    said = langid.predict_languages(masked.withColumn("read", F.col(text)), profiles, text_col="read", keep=masked.columns)
+    return said.filter("lang_pred <> 'und'").select(*masked.columns).toDF(*docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold stay."""
     lexicon = toxicity.fit_lexicon(docs, read(spark, sf_dir, "labels").filter(~toxicity.held_out()))
-    scored = toxicity.score_toxicity(docs, lexicon, keep=docs.columns)
-    return scored.filter(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    masked, text = _masked(docs)
+    scored = toxicity.score_toxicity(masked, lexicon, text_col=text, keep=masked.columns)
+    return scored.filter(F.col("score") < toxicity.THRESHOLD).select(*masked.columns).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

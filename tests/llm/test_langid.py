@@ -81,5 +81,4 @@ def test_tables(spark):
     assert all(0 <= r.score <= 1 for r in got)
     assert [r.lang_pred for r in langid.predict_languages(docs, {}).collect()] == ["und"] * 5
     assert langid.fit_profiles(docs.limit(0)) == {} and langid.predict_languages(docs.limit(0), profiles).count() == 0
-    with pytest.raises(ValueError):
-        langid.predict_languages(docs.withColumn("score", F.lit(1)), profiles, keep=["score"])
+    assert langid.predict_languages(docs.withColumn("score", F.lit(1)), profiles, keep=["doc_id", "score"]).columns == ["doc_id", "lang_pred", "score"]

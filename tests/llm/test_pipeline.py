@@ -34,9 +34,11 @@ def test_stages_against_brute_force(spark, sf_dir):
 def test_odd_documents(spark, sf_dir):
     rows = [(1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, "!!! 123", None, None, None), (None, "bonjour les amis de la maison", "fr", "s", 3), (5, "hello the world of the words", "en", "s", 3), (5, "hello the world of the words", "en", "s", 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    out = docs
+    out = docs.selectExpr("*", "1 AS score", "'x' AS lang_pred", "2 AS c0", "3 AS bin_id")
+    names = out.columns
     for _, stage in corpus_pipeline.STAGES[:3]:
         out = stage(spark, out, sf_dir)
+        assert out.columns == names
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == [(5, rows[4][1]), (None, rows[3][1])]
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:

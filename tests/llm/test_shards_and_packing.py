@@ -3,7 +3,6 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -55,8 +54,8 @@ def test_shard_files_and_query(spark, sf_dir, tmp_path):
 def test_shuffle_of_nothing_and_clashes(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert shard.external_shuffle(df).count() == 0
-    with pytest.raises(ValueError):
-        shard.external_shuffle(df.withColumn("Slot", F.lit(1)))
+    clash = spark.createDataFrame(ROWS, SCHEMA).withColumn("Slot", F.lit(-1)).withColumn("bucket", F.lit("x"))
+    assert sorted(r.slot for r in shard.external_shuffle(clash, n_shards=1).collect()) == list(range(len(ROWS)))
 
 
 @settings(max_examples=200, deadline=None)

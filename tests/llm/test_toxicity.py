@@ -50,6 +50,5 @@ def test_tables(spark):
     assert toxicity.score_toxicity(docs.limit(0), LEX).count() == 0
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.fit_lexicon(docs, none).weights == {}
-    with pytest.raises(ValueError):
-        toxicity.score_toxicity(docs.withColumn("Score", F.lit(1)), LEX, keep=["doc_id", "Score"])
+    assert toxicity.score_toxicity(docs.withColumn("Score", F.lit(1)), LEX, keep=["doc_id", "Score"]).columns == ["doc_id", "score"]
     assert [r.h for r in docs.select(toxicity.held_out().alias("h")).collect()].count(None) == 0
