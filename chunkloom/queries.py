@@ -43,6 +43,11 @@ def streams(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("stream_id"), F.encode("text", "UTF-8").alias("data"), *extra)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly for work that costs far more than moving the bytes: a file's row group may be one task's otherwise."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "stream_id")
+
+
 def as_doc(df: DataFrame) -> DataFrame:
     return df.withColumnRenamed("stream_id", "doc_id")
 
@@ -383,13 +388,13 @@ def vli_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def lz_plan_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instructions of the full plan: duplicates, deltas, match extension, omission."""
-    return as_doc(container.instructions(container.compress(streams(spark, sf_dir))))
+    return as_doc(container.instructions(container.compress(spread(streams(spark, sf_dir)))))
 
 
 @query()
 def container_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of each document's container and the plan's statistics."""
-    c = container.compress(streams(spark, sf_dir))
+    c = container.compress(spread(streams(spark, sf_dir)))
     return as_doc(c.withColumn("container", F.octet_length("container").cast("long")).withColumnRenamed("container", "container_bytes"))
 
 
@@ -397,7 +402,7 @@ def container_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 def roundtrip_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, encoded with all features and decoded again."""
     cfg = PlanConfig(generalized=True, features=True, window=4, try_all=True, exhaustive_adjacency=True)
-    return as_doc(container.decompress(container.compress(streams(spark, sf_dir), cfg), digest_only=True).select("stream_id", "md5"))
+    return as_doc(container.decompress(container.compress(spread(streams(spark, sf_dir)), cfg), digest_only=True).select("stream_id", "md5"))
 
 
 ARCHIVE = 500  # doc_ids whose documents of one source make an archive: so its size does not grow with the source
@@ -561,5 +566,5 @@ def delta_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def chunk_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash and super-features of content-defined chunks, by the kernels that the planner uses."""
-    c = chunking.cdc_chunks(streams(spark, sf_dir), with_data=True)
+    c = chunking.cdc_chunks(spread(streams(spark, sf_dir)), with_data=True)
     return as_doc(resemblance.with_similarity(c).drop("data"))
