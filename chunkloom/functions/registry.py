@@ -55,8 +55,8 @@ def functions() -> dict[str, object]:
         "vli_encode": _scalar("binary")(bits.vli_encode),
         "vli_decode": _scalar("bigint")(lambda data: bits.vli_decode(data)[0]),
         "lz_plan": _scalar(STEPS)(lambda data: encode_stream(data, PlanConfig())[0]),
-        "cdcz_encode": _scalar("binary")(lambda data: container.write_container(data, encode_stream(data, PlanConfig())[0])),
-        "cdcz_decode": _scalar("binary")(lambda data: container.decode_container(data)),
+        "container_encode": _scalar("binary")(lambda data: container.write_container(data, encode_stream(data, PlanConfig())[0])),
+        "container_decode": _scalar("binary")(lambda data: container.decode_container(data)),
     }
 
 

@@ -1,6 +1,6 @@
 """The container: a header, then instructions; read and written stream by stream.
 
-Header: CDCZ, the dictionary's bytes as 8 bytes little-endian (0: without limit), a byte of flags (bit 0: duplicates take room).
+Header: four letters, the dictionary's bytes as 8 bytes little-endian (0: without limit), a byte of flags (bit 0: duplicates take room).
 Body: a type byte (0 COPY, 1 INSERT), the size as variable-length integer, then the bytes (INSERT) or the distance back (COPY).
 """
 
@@ -21,7 +21,7 @@ from chunkloom.functions.bits import vli_decode, vli_encode
 from chunkloom.operators.delta import COPY, INSERT, Step
 from chunkloom.plans.lz import encode_stream
 
-MAGIC = b"CDCZ"
+MAGIC = b"CDCZ"  # fixed value of the format
 STATS = ("chunks", "unique_chunks", "dup_bytes", "delta_chunks", "delta_bytes", "instructions", "extended_forward", "extended_back", "omitted", "saved_bytes", "total_bytes")
 
 

@@ -14,7 +14,7 @@ def test_registered_functions(spark):
     df.createOrReplaceTempView("blobs")
     r = spark.sql(
         "SELECT chunk_cdc(a, 64, 256, 2048) c, chunk_fixed(a, 1000) f, chunk_two_stage(a, 64, 256, 2048) t, gear_hash(a) g, simhash64(a, 16) s, delta_encode(b, a, 16) d, common_prefix(a, b) p, common_suffix(a, b) x,"
-        " cdcz_decode(cdcz_encode(a)) = a ok, vli_decode(vli_encode(300L)) v, xxh64_hex(b) h, xxh3_64(a) k, size(super_features(a)) sf, size(lz_plan(a)) n FROM blobs ORDER BY i"
+        " container_decode(container_encode(a)) = a ok, vli_decode(vli_encode(300L)) v, xxh64_hex(b) h, xxh3_64(a) k, size(super_features(a)) sf, size(lz_plan(a)) n FROM blobs ORDER BY i"
     ).collect()
     assert [c.offset + c.size for c in r[0].c] == chunking.cdc_cuts(data) and [c.size for c in r[0].f] == [1000] * 3
     assert [c.offset + c.size for c in r[0].t] == chunking.two_stage_cuts(data)

@@ -10,7 +10,7 @@ from chunkloom.config import COMPRESS, LARGE, ChunkConfig, PlanConfig, checked
 from chunkloom.functions import bits, gear
 from chunkloom.operators import chunking, delta, resemblance
 from chunkloom.plans.lz import encode_stream
-from chunkloom.sources.container import decode_container, read_container, write_container
+from chunkloom.sources.container import MAGIC, decode_container, read_container, write_container
 
 CONFIGS = [COMPRESS, COMPRESS.with_(normalized=False), COMPRESS.with_(backup=False), COMPRESS.with_(normalized=False, backup=False), LARGE]
 
@@ -163,10 +163,10 @@ def test_repetitive_streams_roundtrip(parts):
 
 
 def test_copies_may_overlap_themselves():
-    assert decode_container(b"CDCZ" + bytes(9) + b"\x01\x02ab" + b"\x00\x05\x02") == b"abababa"
+    assert decode_container(MAGIC + bytes(9) + b"\x01\x02ab" + b"\x00\x05\x02") == b"abababa"
 
 
-@pytest.mark.parametrize("blob", [b"nope", b"CDCZ" + bytes(9) + b"\x02\x01", b"CDCZ" + bytes(9) + b"\x00\x01\x01"])
+@pytest.mark.parametrize("blob", [b"nope", MAGIC + bytes(9) + b"\x02\x01", MAGIC + bytes(9) + b"\x00\x01\x01"])
 def test_broken_containers_are_refused(blob):
     with pytest.raises(ValueError):
         decode_container(blob)
