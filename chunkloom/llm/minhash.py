@@ -5,16 +5,19 @@
 2. Forest: each tree puts the classes in the order of its ``depth`` minima. Regions of a common prefix of ``least_depth``
    minima with more than ``region`` classes are split by the next minimum, and so on (adaptive depth). Neighbours in the
    order whose longest common prefix reaches their region's depth are candidates: at most ``window`` on either side for each class and tree.
-   Orders are range-partitioned, so a region may span tasks and no task holds more than its range.
+   Next neighbours are candidates from ``least_depth`` minima on, so all classes of a common prefix are connected. Orders are
+   range-partitioned, so a region may span tasks and no task holds more than its range; tasks' first and last classes are linked likewise.
 3. Candidates' components are groups, cut into blocks of about ``block`` classes. All classes of a group are compared with
    one another on full sets, a task taking one block or two; only a spanning forest of the links leaves it. Groups of more
-   than ``grid`` classes are compared within their blocks only, and their other candidates whose ends are not connected yet
-   are confirmed pair by pair, first the best one between any two components, in the end all.
+   than ``grid`` classes are compared within their blocks, then their other candidates whose ends are not connected yet are
+   confirmed pair by pair, first the best one between any two components, then all. What these leave is found exactly: two
+   linked sets share one of the rarest 25 % of either's shingles (in any one order), so an equi-join on these, with bounds by sizes and
+   positions, has every linked pair of classes that are not connected yet, and all of its pairs are confirmed.
 4. Components of confirmed links; each class takes its component's smallest doc_id.
 
 Two documents link if 100 * intersection >= 75 * union, on exact sets. With 24 trees of least depth 3 a pair at the
-threshold meets in no tree with a chance of (1 - 0.75^3)^24 = 2e-6, in regions that go one deeper 1e-4; nearer pairs less. It is
-enough that both get into one group, by whatever candidates.
+threshold gets into one group by none of them with a chance of at most (1 - 0.75^3)^24 = 2e-6; nearer pairs less. It is enough that
+both get into one group, by whatever candidates: within a group no link depends on ``window``, ``region`` or ``grid``.
 
 Defined results. Null and blank texts have the empty set and are linked with nothing; fewer words than a shingle are one
 shingle. Rows with a null doc_id are linked with nothing and have component null. Rows that share a doc_id are one
@@ -42,6 +45,8 @@ REGION = 64
 WINDOW = 6  # neighbours on either side in an order
 BLOCK = 256  # classes of a block
 GRID = 4_096  # classes of a group that are all compared with one another
+SAMPLED = 4_096  # classes from which the frequent shingles of large groups are learned; they set an order only
+FREQUENT = 200_000  # frequent shingles that are told apart
 COLUMNS = 4_096  # shingles of one matrix product
 SEED = 8_191
 HASHED_AT_ONCE = 1 << 21  # minima computed in one numpy call
@@ -118,7 +123,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # The signature is a function of the digest, so any of a class's will do.
     classes = scratch.table(linkable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
 
-    edges = scratch.table(_forest(classes, trees, depth, least_depth, region, window), "candidates")
+    edges = _forest(classes, scratch, trees, depth, least_depth, region, window)
     groups = components(edges, scratch, "candidates-cc")
     texts = _texts(rows, groups, scratch, block)
     confirmed = _confirm(texts, edges, groups, scratch, words, percent, block, grid)
@@ -136,8 +141,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 
 
-def _forest(classes: DataFrame, trees: int, depth: int, least: int, region: int, window: int) -> DataFrame:
-    """Candidates (a, b, block order of a and b in the first tree is given by the key later)."""
+def _forest(classes: DataFrame, scratch: Scratch, trees: int, depth: int, least: int, region: int, window: int) -> DataFrame:
+    """Candidates: a, b and their weight, the summed lengths of common prefixes."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = 2 * depth
@@ -158,6 +163,9 @@ def _forest(classes: DataFrame, trees: int, depth: int, least: int, region: int,
             return
         key, rep = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
         n = len(rep)
+        edge = np.unique([0, n - 1])  # two rows of each task, by which its order goes on in the next
+        none = pa.nulls(len(edge), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(rep[edge]), none, none, pa.array([key[k].tobytes() for k in edge], pa.binary())], names=["a", "b", "lcp", "edge"])
         if n < 2:
             return
         # Longest common prefix with the next one, in minima; -1 across trees.
@@ -174,12 +182,16 @@ def _forest(classes: DataFrame, trees: int, depth: int, least: int, region: int,
         for step in range(1, min(window, n - 1) + 1):  # the next one, the one after it, and so on within a region
             if step > 1:
                 shared, need = np.minimum(shared[:-1], lcp[step - 1 :]), np.maximum(need[:-1], wanted[step - 1 :])
-            chosen = shared >= need
+            chosen = shared >= (need if step > 1 else least)
             a, b = rep[:-step][chosen], rep[step:][chosen]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(shared[chosen].astype(np.int64))], names=["a", "b", "lcp"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(shared[chosen].astype(np.int64)), pa.nulls(len(a), pa.binary())], names=["a", "b", "lcp", "edge"])
 
-    pairs = ordered.mapInArrow(neighbours, "a long, b long, lcp long").filter("a <> b")
-    return pairs.groupBy("a", "b").agg(F.sum("lcp").alias("weight"))
+    pairs = ordered.mapInArrow(neighbours, "a long, b long, lcp long, edge binary").filter("edge IS NOT NULL OR a <> b")
+    found = scratch.table(pairs.groupBy("a", "b", "edge").agg(F.sum("lcp").alias("weight")), "candidates")
+    edges = sorted((bytes(r["edge"]), r["a"]) for r in found.filter("edge IS NOT NULL").collect())  # two rows of each task
+    across = [(min(a, b), max(a, b), least) for (k, a), (k_, b) in zip(edges, edges[1:]) if a != b and k[: 1 + 2 * least] == k_[: 1 + 2 * least]]
+    found = found.filter("edge IS NULL").select("a", "b", "weight")
+    return found.unionByName(classes.sparkSession.createDataFrame(across, "a long, b long, weight long")) if across else found
 
 
 def _texts(rows: DataFrame, groups: DataFrame, scratch: Scratch, block: int) -> DataFrame:
@@ -280,12 +292,68 @@ def _confirm(texts: DataFrame, edges: DataFrame, groups: DataFrame, scratch: Scr
             left = left.select("a", "b", "weight").join(chosen, ["a", "b"], "left_anti")
         else:
             chosen = left.select("a", "b")
-        pairs = chosen.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("y")), "b")
+        confirmed = confirmed.unionByName(_pairwise(chosen, texts, scratch, words, percent, f"confirmed-{turn}"))
+    now = components(confirmed, scratch, "confirmed-cc-last")
+    chosen = _sharing_rare(texts.filter(F.col("size") > grid), now, scratch, words, percent)
+    return confirmed.unionByName(_pairwise(chosen, texts, scratch, words, percent, "confirmed-last"))
 
-        def pairwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for p in batches:
-                keep = pa.array([linked(shingles(x.as_py(), words), shingles(y.as_py(), words), percent) for x, y in zip(p["x"], p["y"])], pa.bool_())
-                yield p.select(["a", "b"]).filter(keep)
 
-        confirmed = confirmed.unionByName(scratch.table(pairs.select("a", "b", "x", "y").mapInArrow(pairwise, "a long, b long"), f"confirmed-{turn}"))
-    return confirmed
+def _pairwise(chosen: DataFrame, texts: DataFrame, scratch: Scratch, words: int, percent: int, name: str) -> DataFrame:
+    """The pairs (a, b) of chosen that are links."""
+    pairs = chosen.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("y")), "b")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in batches:
+            keep = pa.array([linked(shingles(x.as_py(), words), shingles(y.as_py(), words), percent) for x, y in zip(p["x"], p["y"])], pa.bool_())
+            yield p.select(["a", "b"]).filter(keep)
+
+    return scratch.table(pairs.select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long"), name)
+
+
+def rarest(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a set, by frequency and hash, one of which it shares with each set that it links to."""
+    n = len(hashes)
+    times = np.zeros(n, np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        times = np.where(frequent[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, times))[: n + 1 + -percent * n // 100]]
+
+
+def _sharing_rare(texts: DataFrame, now: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of a group, not connected in now, that sizes and shared rare shingles do not rule out as links."""
+    share = F.lit(SAMPLED / max(1, texts.count()))
+    sample = texts.filter(F.pmod(F.xxhash64(F.lit(5), "rep"), F.lit(1_000_000)) / F.lit(1e6) < share).select("text")
+
+    def all_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for t in x["text"]:
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), words).view(np.int64))], names=["token"])
+
+    counted = sample.mapInArrow(all_, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
+    top = counted.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()  # bounded; any order would do, this one makes few pairs
+    frequent, counts = np.array([r["token"] for r in top], np.int64).view(np.uint64), np.array([r["n"] for r in top], np.int64)
+    counts, frequent = counts[np.argsort(frequent)], np.sort(frequent)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for group, rep, t in zip(x["group"].to_pylist(), x["rep"].to_pylist(), x["text"]):
+                held = shingles(t.as_py(), words)
+                token = rarest(held, frequent, counts, percent)
+                k = len(token)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, group)), pa.array(np.full(k, rep)), pa.array(token.view(np.int64)), pa.array(np.arange(k)), pa.array(np.full(k, len(held)))], names=["group", "rep", "token", "place", "n"])
+
+    held = scratch.table(texts.select("group", "rep", "text").mapInArrow(prefixes, "group long, rep long, token long, place long, n long"), "rare")
+    of = now.select(F.col("id").alias("rep"), "component")
+    held = held.join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = held.groupBy("group", "token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("group", "token")
+    held = scratch.table(held.join(mixed, ["group", "token"], "left_semi"), "rare-mixed")
+    x, y = held.alias("x"), held.alias("y")
+    small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
+    # At most so many are shared: those before this one, itself, and those behind it.
+    most = F.least("x.place", "y.place") + 1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) - 1
+    met = (F.col("x.group") == F.col("y.group")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component"))
+    met = met & (100 * small >= percent * large) & ((100 + percent) * most >= percent * (small + large))
+    # A frequent shingle is a hot key of a plain join, whose large partitions Spark splits.
+    pairs = x.join(y.hint("merge"), met).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    return scratch.table(pairs.distinct(), "rare-pairs")

@@ -103,3 +103,36 @@ def test_components(spark, monkeypatch, limit):
     got = {x.id: x.component for x in cc.components(df, Scratch(spark, "t")).collect()}
     loops = {x for x in set(a.tolist()) if x not in got}
     assert got == {i: c for i, c in zip(ids.tolist(), root.tolist()) if i not in loops}
+
+
+def test_large_groups_miss_no_link(spark):
+    """A dense region far over window, region and grid, with links that no neighbour in an order shows."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    passage = [word() for _ in range(164)]
+    rows = []
+    for _ in range(120):
+        base = passage + [word() for _ in range(28)]
+        rows.append(" ".join(base))
+        rows.append(" ".join(base[:-25] + [word() for _ in range(25)]))  # just over the threshold, all others just below
+    rows = list(enumerate(rows))
+    r.shuffle(rows)
+    want = brute(rows)
+    assert len({c for _, c, _ in want.values()}) == 120
+    got = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), region=8, window=1, block=8, grid=16).collect()
+    assert {d.doc_id: (d.n_shingles, d.component_id, d.kept) for d in got} == want
+
+
+def test_linked_sets_share_a_rare_shingle():
+    r = random.Random(12)
+    frequent = np.array(sorted(r.sample(range(1000), 200)), np.uint64)
+    counts = np.array([r.randrange(3, 9) for _ in frequent], np.int64)
+    links = 0
+    for _ in range(3000):
+        x = r.sample(range(1000), r.randrange(1, 40))
+        y = list({*r.sample(x, max(1, round(len(x) * r.uniform(0.7, 1)))), *r.sample(range(1000), r.randrange(6))})
+        x, y = (np.array(sorted(z), np.uint64) for z in (x, y))
+        if minhash.linked(x, y):
+            links += 1
+            assert set(minhash.rarest(x, frequent, counts, 75).tolist()) & set(minhash.rarest(y, frequent, counts, 75).tolist())
+    assert links > 300
