@@ -7,7 +7,7 @@ exception phrase. The score is a logistic function of the logarithms of the summ
 a long text counts for less, and what innocent texts hold by chance is not enough. A text without a hit scores 0.
 
 Fit. Terms and weights come from labelled training rows: a sample bounded by ``docs_per_label`` for each label (chosen by
-a hash of doc_id). A term's weight is the smoothed log ratio of its occurrences for each toxic and each other text. It needs more
+a hash of doc_id), in which texts that fold alike and have one label count once, wherever they lie. A term's weight is the smoothed log ratio of its occurrences for each toxic and each other text. It needs more
 evidence in numbers of texts than chance gives any of the words tried, and different *contexts* (the words on both sides), so
 that a group of copies with one label cannot make its own words toxic. The logistic function's three numbers are fitted to
 the sample's sums, held near ``PRIOR`` where the sample is small.
@@ -30,6 +30,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,6 @@ from chunkloom.llm._common import Scratch, fold_of
 
 DOCS_PER_LABEL = 8_000
 MIN_DOCS = 3  # toxic texts that a term needs
-CONTEXT_SHARE = 0.3  # different contexts for each toxic text with the term: copies have far fewer
 MIN_WEIGHT = 2.5  # least log ratio of a term
 MAX_WEIGHT = 10.0
 STEMS = range(4, 9)  # letters of a stem
@@ -175,7 +175,15 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, *, docs_per_label: int = DOC
     sample = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic")
 
     scratch = Scratch(docs.sparkSession, "toxicity")
-    bad, fine = sample.filter("toxic = 1").select("text"), sample.filter("toxic = 0").select("text")
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            folded = [xxhash.xxh3_128_digest(fold(t.as_py()).encode("utf-8", "surrogatepass")) for t in b["text"]]
+            yield pa.RecordBatch.from_arrays([b["text"], b["toxic"], pa.array(folded, pa.binary())], names=["text", "toxic", "digest"])
+
+    sample = scratch.table(sample.mapInArrow(digests, "text string, toxic int, digest binary"), "sample")
+    once = scratch.table(sample.groupBy("toxic", "digest").agg(F.first("text").alias("text")), "once")
+    bad, fine = once.filter("toxic = 1").select("text"), once.filter("toxic = 0").select("text")
     numbers = "term string, docs long, times long"
 
     def counter(wanted: frozenset[str] | None):
@@ -183,7 +191,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, *, docs_per_label: int = DOC
             for b in (x.slice(i, 500) for x in batches for i in range(0, len(x), 500)):
                 times: Counter[str] = Counter()
                 seen: Counter[str] = Counter()
-                for text in set(b["text"].to_pylist()):
+                for text in b["text"].to_pylist():
                     own = Counter(f for w in fold(text).split() for f in terms_of(w) if wanted is None or f in wanted)
                     times.update(own)
                     seen.update(own.keys())
@@ -196,7 +204,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, *, docs_per_label: int = DOC
     tried = counted.count()
     # Bounded by MAX_TRIED rows, and by the sample.
     wanted = {r["term"]: (r["docs"], r["times"]) for r in counted.orderBy(F.desc("docs"), "term").limit(MAX_TRIED).collect()}
-    n_toxic, n_clean = min(counts[1], docs_per_label), max(1, min(counts.get(0, 0), docs_per_label))
+    n_toxic, n_clean = max(1, bad.count()), max(1, fine.count())
     base = n_toxic / (n_toxic + n_clean)
     least = 2 * math.log(max(1.0, tried / CHANCE_TERMS))  # of the G statistic, whose chance is about exp(-G / 2)
     wanted = {f: v for f, v in wanted.items() if evidence(v[0], v[0], base) >= least}
@@ -213,7 +221,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, *, docs_per_label: int = DOC
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x.slice(i, 500) for x in batches for i in range(0, len(x), 500)):
             found = set()
-            for text in set(b["text"].to_pylist()):
+            for text in b["text"].to_pylist():
                 words = fold(text).split()
                 for left, word, right in zip(["", *words], words, [*words[1:], ""]):
                     around = zlib.crc32(f"{left} {right}".encode())
@@ -225,7 +233,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, *, docs_per_label: int = DOC
     for f in list(chosen):
         n, n0 = wanted[f][0], others.get(f, (0, 0))[0]
         k = min(n, different.get(f, 0))
-        if k < MIN_DOCS or k < n * CONTEXT_SHARE or evidence(k, k + n0, base) < least:
+        if k < MIN_DOCS or evidence(k, k + n0, base) < least:
             del chosen[f]
     # A stem is no better than a longer term with nearly all of its texts.
     children: dict[str, int] = {}
@@ -244,7 +252,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, *, docs_per_label: int = DOC
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64()), b["toxic"]], names=["total", "words", "toxic"])
 
     # Three numbers for each text of the bounded sample that has a hit.
-    sums = sample.mapInArrow(weigh, "total double, words long, toxic int").filter("total > 0").orderBy("total", "words", "toxic").toPandas()
+    sums = sample.select("text", "toxic").mapInArrow(weigh, "total double, words long, toxic int").filter("total > 0").orderBy("total", "words", "toxic").toPandas()
     label = sums["toxic"].to_numpy(dtype=float)
     clean_share = min(1.0, docs_per_label / max(1, counts.get(0, 0)))
     toxic_share = min(1.0, docs_per_label / counts[1])

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +45,17 @@ def test_copies_do_not_make_terms(spark):
     assert toxicity.fit_lexicon(docs, labels).weights == {}
 
 
+def test_terms_do_not_depend_on_partitions(spark):
+    """An insult of independent texts, which a copied text of a third of the toxic rows holds too."""
+    r = random.Random(5)
+    words = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(7)) for _ in range(n))
+    toxic = [f"{words(4)} vile {words(4)}" for _ in range(60)] + [f"copied words that are vile {words(6)}"] * 240 + [words(9) for _ in range(420)]
+    docs = spark.createDataFrame(list(enumerate(toxic + [words(9) for _ in range(720)])), "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") < len(toxic)).cast("int").alias("toxic"))
+    few, many = (toxicity.fit_lexicon(docs.repartition(n), labels) for n in (2, 300))
+    assert fold("vile") in few.weights and few.weights == many.weights
+
+
 def test_tables(spark):
     docs = spark.createDataFrame([(1, None, "x"), (None, "idiot", "y"), (2, "idiot", None), (2, "idiot", None), (3, "", "")], "doc_id long, text string, lang string")
     got = toxicity.score_toxicity(docs, LEX, keep=["doc_id", "lang"])
