@@ -112,8 +112,8 @@ def same_base(chunks: DataFrame) -> DataFrame:
 def sharing_features(chunks: DataFrame) -> DataFrame:
     """stream_id, chunk_i, similar_i, shared: earlier chunks of the stream with equal super-features.
 
-    Each chunk meets the latest earlier chunk of each of its features, as an index that keeps the latest entry does, so a
-    common feature makes no pairs of all its chunks.
+    Each chunk meets the latest earlier chunk of each of its features only, as the query's SQL does: older holders are left out,
+    and shared counts the features whose latest holder that chunk is. The planner's own index keeps all holders.
     """
     single = chunks.select("stream_id", "chunk_i", F.posexplode("super_features").alias("k", "sf"))
     latest = F.lag("chunk_i").over(Window.partitionBy("stream_id", "k", "sf").orderBy("chunk_i"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
+from collections import Counter
 
 from chunkloom.config import PlanConfig
 from chunkloom.functions.bits import common_prefix
@@ -95,7 +96,7 @@ def encode_stream(data: bytes, cfg: PlanConfig) -> tuple[list[Step], dict[str, i
     hashes: list[bytes] = []
     lsh: dict[int, int] = {}
     bases: dict[int, int] = {}
-    index: dict[tuple[int, int], int] = {}
+    index: dict[tuple[int, int], dict[int, None]] = {}  # all chunks with a super-feature, but those that a later one matches in all
     unreduced = set()  # chunks that are plain inserts, for walking back
     anchor: int | None = None  # match of the chunk before
     used_before = [0] * (n + 1)  # bytes of first instances before each chunk, where duplicates take no room
@@ -156,10 +157,16 @@ def encode_stream(data: bytes, cfg: PlanConfig) -> tuple[list[Step], dict[str, i
             if cfg.window:
                 candidates += range(max(0, i - cfg.window), i)
             if cfg.features and (f := features(part(i))):
-                for k, value in enumerate(super_features(f)):
-                    if (j := index.get((k, value))) is not None:
+                held = [index.setdefault(key, {}) for key in enumerate(super_features(f))]
+                shared = Counter(j for x in held for j in x)
+                for j, times in shared.items():
+                    if usable(i, j):
                         candidates.append(j)
-                    index[k, value] = i
+                    if times == len(held) or not usable(i, j):  # what is out of reach stays so
+                        for x in held:
+                            x.pop(j, None)
+                for x in held:
+                    x[i] = None
             if cfg.adjacency and anchor is not None:
                 candidates += [j + 1 for j in known.get(hashes[anchor], [])] if cfg.exhaustive_adjacency else [anchor + 1]
             if candidates:

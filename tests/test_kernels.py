@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from chunkloom.config import COMPRESS, LARGE, ChunkConfig, PlanConfig, checked
 from chunkloom.functions import bits, gear
 from chunkloom.operators import chunking, delta, resemblance
+from chunkloom.plans import lz
 from chunkloom.plans.lz import encode_stream
 from chunkloom.sources.container import MAGIC, decode_container, read_container, write_container
 
@@ -177,3 +178,29 @@ def test_simhash_majority_and_ties():
     assert resemblance.simhash_of([0b1100, 0b1010, 0b1001]) == 0b1000
     assert resemblance.simhash_of([1, 0]) == 0
     assert resemblance.simhash_of([2**64 - 1] * 300) == 2**64 - 1
+
+
+def test_older_holders_of_a_super_feature_are_tried(monkeypatch):
+    """Every chunk shares three super-features with every other one: the nearest is not the latest."""
+    r = random.Random(21)
+    first, other = r.randbytes(20_000), r.randbytes(20_000)
+    changed = bytearray(first)
+    for at in range(500, len(changed), 997):
+        changed[at] ^= 0x5A
+    data = first + other + bytes(changed)
+    serial = iter(range(10**6))
+    monkeypatch.setattr(lz, "features", lambda part: [1])
+    monkeypatch.setattr(lz, "super_features", lambda f: [1, 2, 3, 4 + next(serial)])
+    steps, stats = encode_stream(data, PlanConfig(chunks=LARGE, features=True, adjacency=False, adjacency_back=False, extend_forward=False, extend_back=False, max_distance=20))
+    assert stats["delta_chunks"] > 0 and decode_container(write_container(data, steps)) == data
+
+
+def test_chunks_matched_in_all_super_features_leave_the_index(monkeypatch):
+    r = random.Random(22)
+    data = r.randbytes(100_000)
+    tried = []
+    monkeypatch.setattr(lz, "features", lambda part: [1])
+    monkeypatch.setattr(lz, "super_features", lambda f: [1, 2, 3, 4])
+    monkeypatch.setattr(lz, "simhash", lambda part, *_: tried.append(1) or [len(tried)])
+    _, stats = encode_stream(data, PlanConfig(features=True, adjacency=False, adjacency_back=False))
+    assert len(tried) == stats["unique_chunks"] > 100  # each chunk once: only the one before it was left
