@@ -14,8 +14,8 @@ Scale. Codes lie in blocks of a fixed number of rows, queries in groups of a fix
 returns k rows for each of its queries. Equal vectors are one candidate and one query: its smallest ids stand for it, which is
 exact for k neighbours, so copies cost nothing.
 
-Defined results. Null, empty and zero vectors and those with null or non-finite components take no part; vectors of a
-length other than the most common one are not comparable and take no part, either. Fewer candidates than k: all of them.
+Defined results. Null, empty and zero vectors and those with null or non-finite components take no part. Only vectors of
+one length are comparable: each length is searched by itself, with a centre, rotation and blocks of its own. Fewer candidates than k: all of them.
 Ties go to the smaller id. A null id takes no part; repeated ids are separate candidates at the same place, and one query.
 Extra columns are ignored; an empty table gives an empty result.
 """
@@ -86,15 +86,21 @@ def search_block(q: np.ndarray, x: np.ndarray, bits: np.ndarray, norm: np.ndarra
 
 def nearest(vectors: DataFrame, is_query: Column, *, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", eps: float = EPS, block: int = BLOCK, group: int = QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query row's k nearest other rows."""
-    spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "rabitq")
+    spark = vectors.sparkSession
     rows = vectors.withColumn("_query", F.coalesce(is_query, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), "_query")
     rows = rows.filter(F.col("vec_id").isNotNull() & valid(F.col("v"))).withColumn("dims", F.size("v"))
-    common = rows.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dims").first()
-    empty = "query_id long, rank int, vec_id long, score double"
-    if common is None:
-        return spark.createDataFrame([], empty)
-    dims = common["dims"]
-    rows = rows.filter(F.col("dims") == dims).withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(1), "v")})
+    # As many rows as there are lengths of vectors; each length that is asked is searched by itself.
+    found = rows.groupBy("dims").agg(F.max("_query").alias("asked")).filter("asked").orderBy("dims").collect()
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double") if not found else None
+    for r in found:
+        part = _nearest(rows.filter(F.col("dims") == r["dims"]), r["dims"], Scratch(spark, "rabitq"), k, eps, block, group)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _nearest(rows: DataFrame, dims: int, scratch: Scratch, k: int, eps: float, block: int, group: int) -> DataFrame:
+    """nearest for rows (vec_id, v, _query) whose vectors have one length, with at least one query."""
+    rows = rows.withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(1), "v")})
 
     # The k + 1 smallest ids of equal vectors; one of them may be the query itself.
     small = Window.partitionBy("k1", "k2").orderBy("vec_id")
@@ -103,8 +109,6 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = K, id_col: str = "
     asked = rows.filter("_query").select("k1", "k2").distinct().withColumn("asked", F.lit(True))
     table = scratch.table(classes.join(asked, ["k1", "k2"], "left"), "classes")
     n, n_asked = table.agg(F.count(F.lit(1)), F.count("asked")).first()
-    if not n_asked:
-        return spark.createDataFrame([], empty)
 
     spread = F.pmod(F.xxhash64(F.lit(3), "k1"), F.lit(1_000_000)) / F.lit(1e6)
     drawn = table.filter(spread < min(1.0, SAMPLE / n)).select("v").toPandas()["v"].tolist()

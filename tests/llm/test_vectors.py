@@ -108,3 +108,17 @@ def test_estimates_stay_within_bounds():
     true = ((x - centre) / norm[:, None]) @ (q / np.linalg.norm(q))
     bound = rabitq.EPS * np.sqrt((1 - f * f) / (f * f) / 63)
     assert (np.abs(estimate - true) <= bound).mean() > 0.95 and abs((estimate - true).mean()) < 0.01
+
+
+def test_each_vector_length_is_searched(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, r.normal(size=16 if i % 3 else 8).astype(np.float32).tolist(), 0) for i in range(90)]
+    lone = [(90, [1.0, 2.0, 3.0], 0)]  # no other row of its length
+    got = {}
+    for x in rabitq.nearest(spark.createDataFrame(rows + lone, SCHEMA), F.col("vec_id").isin(*range(6), 90), k=4).collect():
+        got.setdefault(x.query_id, {})[x.rank] = x.vec_id
+    assert sorted(got) == list(range(6))
+    for q in range(6):
+        v = np.array(rows[q][1])
+        near = sorted((float(np.linalg.norm(v - np.array(w))), i) for i, w, _ in rows if i != q and len(w) == len(v))
+        assert [got[q][k] for k in range(1, 5)] == [i for _, i in near[:4]]
