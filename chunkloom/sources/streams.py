@@ -6,6 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TRACE_SCHEMA = "offset LONG, size LONG, hash DECIMAL(20,0)"
+SPREAD_BYTES = 64 << 20  # of a small input's files
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df for work that costs much more than moving its rows: a small input is dealt evenly, since its files may be one row group.
+
+    A row group is one task, however many splits a file has. Inputs above ``SPREAD_BYTES`` have many; their rows stay where they are.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
 
 
 def from_text(df: DataFrame, *, id_col: str, text_col: str = "text") -> DataFrame:
