@@ -38,6 +38,30 @@ def test_any_text_as_the_library(library, text):
     same(library, text)
 
 
+def test_every_code_point_between_letters_as_the_library(library):
+    texts = [f"a{chr(i)}b" for i in range(0x110000) if not 0xD800 <= i <= 0xDFFF]
+    codec = bpe.codec(PATH)
+    for s in range(0, len(texts), 20_000):
+        for text, want in zip(texts[s : s + 20_000], library.encode_batch(texts[s : s + 20_000], add_special_tokens=False)):
+            assert codec.encode(text) == want.ids, ascii(text)
+
+
+def test_states_and_rows():
+    """Every pair of tokens: the table's arc says whether BPE leaves the pair alone."""
+    a, r = bpe.codec(PATH).automaton, random.Random(8)
+    tokens = [t for t in a.labels if t not in a.dead]
+    inner = [t for t in tokens if not a.labels[t].endswith("</w>")]
+
+    def spelled(t):
+        return [t] if t not in a.parts else spelled(a.parts[t][0]) + spelled(a.parts[t][1])
+
+    rank = {pair: (n, a.vocab[a.labels[pair[0]] + a.labels[pair[1]]]) for pair, n in a.rank.items()}
+    for _ in range(3_000):
+        x, y = r.choice(inner), r.choice(tokens)
+        assert a.arc(x, y) == (naive(spelled(x) + spelled(y), rank) == [x, y])
+    assert len(a.rows) <= len(a.numbers) + 1 and all(row == sorted(set(row)) for row in a.rows)
+
+
 def test_joined_tokens_as_the_library(library):
     r, tokens = random.Random(5), [t.replace("</w>", "") for t in library.get_vocab()]
     for _ in range(3_000):
