@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TRACE_SCHEMA = "offset LONG, size LONG, hash DECIMAL(20,0)"
-SPREAD_BYTES = 64 << 20  # of a small input's files
+SPREAD_BYTES = 16 << 20  # of a small input's files
 
 
 def spread(df: DataFrame) -> DataFrame:
