@@ -1,21 +1,25 @@
 """Approximate nearest neighbours by randomly rotated one-bit codes.
 
-Index. Vectors are centred and scaled to unit length, turned by a seeded random orthogonal matrix and reduced to the signs
-of their components, packed into bits; beside the bits stand the distance to the centre and the code's inner product with
-the vector, the correction scalar. The centre is the mean of a bounded sample; it changes the bounds' width only. Every
-row is indexed.
+Index. Vectors are dealt to cells by the nearest of a few centres (about one for each ``CELL`` vectors, at most ``CELLS``, fitted on a bounded sample; they
+change costs and the bounds' width only). A vector is taken relative to its cell's centre, scaled to unit length, turned by a
+seeded random orthogonal matrix and reduced to the signs of its components, packed into words of 64 bits; beside the bits stand the
+distance to the centre and the code's inner product with the vector, the correction scalar. Every row is indexed.
 
-Search. The inner product of query and vector is estimated without bias as <query, code> / <vector, code>; its error is
-below eps * sqrt((1 - f^2) / f^2 / (dims - 1)) with f the correction scalar. The estimate gives each candidate a lower
-bound of its distance. A block's first exact distances (of the best estimates) give an upper bound of the k-th distance;
-all candidates whose lower bound does not exceed it are reranked on the original vectors.
+Search. A query's components are rounded to 4 bits and laid out as four bit planes, so that its inner product with a code is four
+ands and population counts of the packed words. From it the inner product with the vector is estimated without bias as
+<query, code> / <vector, code>; its error is below eps standard errors, of which (1 - f^2) / f^2 / (dims - 1) comes from the code with
+correction scalar f and the rest from the rounding. So each candidate has a lower and an upper bound of its distance.
 
-Scale. Codes lie in blocks of a fixed number of rows, queries in groups of a fixed number; a task joins one of each and
-returns k rows for each of its queries. Equal vectors are one candidate and one query: its smallest ids stand for it, which is
-exact for k neighbours, so copies cost nothing.
+1. A query searches its own cell. The k-th smallest upper bound is one of its k-th distance.
+2. It searches every cell that the triangle inequality does not rule out by that bound. Candidates whose lower bound does not
+   exceed the k-th smallest upper bound of all are the survivors.
+3. Only survivors are joined with the original vectors, and reranked.
+
+Scale. Tasks hold a block of a cell's codes (a fixed number) and a group of queries; originals do not move but for survivors. Equal
+vectors are one candidate and one query: its smallest ids stand for it, which is exact for k neighbours, so copies cost nothing.
 
 Defined results. Null, empty and zero vectors and those with null or non-finite components take no part. Only vectors of
-one length are comparable: each length is searched by itself, with a centre, rotation and blocks of its own. Fewer candidates than k: all of them.
+one length are comparable: each length is searched by itself, with centres, rotation and blocks of its own. Fewer candidates than k: all of them.
 Ties go to the smaller id. A null id takes no part; repeated ids are separate candidates at the same place, and one query.
 Extra columns are ignored; an empty table gives an empty result.
 """
@@ -34,8 +38,9 @@ K = 10
 EPS = 2.4  # standard errors of the bound
 BLOCK = 32_768  # codes of a task
 QUERIES = 4_096  # queries of a task
-SAMPLE = 10_000  # vectors that the centre is the mean of
-FIRST = 32  # best estimates that give the first exact distances
+CELL, CELLS = 4_096, 1_024  # vectors for each cell; cells at most
+SAMPLE = 10_000  # vectors that centres are fitted on
+PLANES = 4  # bits of a query's component
 SEED = 77
 
 
@@ -45,7 +50,7 @@ def rotation(dims: int, seed: int = SEED) -> np.ndarray:
 
 
 def encode(x: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed bits, distances to the centre, correction scalars."""
+    """Packed bits, distances to the centre (one, or one for each row), correction scalars."""
     y = x - centre
     norm = np.sqrt((y * y).sum(axis=1))
     y = (y / np.where(norm > 0, norm, 1)[:, None]) @ turn
@@ -58,30 +63,53 @@ def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.sqrt(np.cumsum(d * d, axis=-1)[..., -1])
 
 
-def search_block(q: np.ndarray, x: np.ndarray, bits: np.ndarray, norm: np.ndarray, f: np.ndarray, least: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int, eps: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the positions and distances of its k nearest in the block, ties by the smaller of least."""
-    dims = x.shape[1]
-    signs = (np.unpackbits(bits, axis=1, count=dims).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dims))
+def centres_of(x: np.ndarray, wanted: int, rounds: int = 8) -> np.ndarray:
+    """Centres by Lloyd's method from a seeded start; at least one."""
+    if len(x) <= wanted or wanted < 2:
+        return x.mean(axis=0, keepdims=True)
+    centres = x[np.random.Generator(np.random.PCG64(SEED)).choice(len(x), wanted, replace=False)]
+    for _ in range(rounds):
+        own = nearest_centre(x, centres)
+        n = np.bincount(own, minlength=wanted)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+    return centres
+
+
+def nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((centres * centres).sum(axis=1) - 2 * (x @ centres.T)).argmin(axis=1)
+
+
+def words(bits: np.ndarray) -> np.ndarray:
+    """Packed bits as words of 64, filled up with zeros."""
+    out = np.zeros((len(bits), -(-bits.shape[1] // 8) * 8), np.uint8)
+    out[:, : bits.shape[1]] = bits
+    return out.view(np.uint64)
+
+
+def products(query: np.ndarray, codes: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, float]:
+    """Inner products of a turned query with codes, their components being +-1 / sqrt(dims), and the rounding's variance. ones: each code's bits."""
+    dims, low = len(query), float(query.min())
+    step = (float(query.max()) - low) / ((1 << PLANES) - 1) or 1.0
+    level = np.rint((query - low) / step).astype(np.uint8)
+    dot = np.zeros(len(codes), np.int64)
+    for k in range(PLANES):
+        plane = words(np.packbits((level >> k) & 1)[None, :])
+        dot += np.bitwise_count(codes & plane).sum(axis=1, dtype=np.int64) << k
+    return (2 * (low * ones + step * dot) - float((low + step * level).sum())) / np.sqrt(dims), step * step / 12
+
+
+def bounds(q: np.ndarray, codes: np.ndarray, ones: np.ndarray, norm: np.ndarray, f: np.ndarray, centre: np.ndarray, turn: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of a query's distances to the vectors of packed codes."""
+    y = q - centre
+    away = float(np.sqrt((y * y).sum()))
     f = np.where(f > 0, f, 1)
-    slack = (eps * np.sqrt(np.maximum(0, 1 - f * f) / (f * f) / max(1, dims - 1))).astype(np.float32)
-    out = []
-    for s in range(0, len(q), 64):
-        y = q[s : s + 64] - centre
-        away = np.sqrt((y * y).sum(axis=1))
-        turned = ((y / np.where(away > 0, away, 1)[:, None]) @ turn).astype(np.float32)
-        inner = (turned @ signs.T) / f.astype(np.float32)
-        cross = 2 * away[:, None] * norm[None, :]
-        middle = away[:, None] ** 2 + norm[None, :] ** 2 - cross * inner
-        low = middle - cross * slack
-        for i in range(len(y)):
-            n = min(len(x), max(FIRST, k))
-            first = np.argpartition(middle[i], n - 1)[:n]
-            bound = np.sort(distances(q[s + i], x[first]))[min(k, n) - 1]
-            at = np.union1d(np.flatnonzero(low[i] <= bound * bound + 1e-12), first)
-            d = distances(q[s + i], x[at])
-            order = np.lexsort((least[at], d))[:k]
-            out.append((at[order], d[order]))
-    return out
+    inner, rounding = products((y / (away or 1)) @ turn, codes, ones)
+    slack = eps * np.sqrt((np.maximum(0, 1 - f * f) / max(1, len(q) - 1) + rounding) / (f * f))
+    middle, cross = away * away + norm * norm, 2 * away * norm
+    low, high = (np.sqrt(np.maximum(0, middle - cross * np.clip(inner / f + x, -1, 1))) for x in (slack, -slack))
+    return low, high
 
 
 def nearest(vectors: DataFrame, is_query: Column, *, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", eps: float = EPS, block: int = BLOCK, group: int = QUERIES) -> DataFrame:
@@ -100,6 +128,7 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = K, id_col: str = "
 
 def _nearest(rows: DataFrame, dims: int, scratch: Scratch, k: int, eps: float, block: int, group: int) -> DataFrame:
     """nearest for rows (vec_id, v, _query) whose vectors have one length, with at least one query."""
+    spark = rows.sparkSession
     rows = rows.withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(1), "v")})
 
     # The k + 1 smallest ids of equal vectors; one of them may be the query itself.
@@ -111,49 +140,95 @@ def _nearest(rows: DataFrame, dims: int, scratch: Scratch, k: int, eps: float, b
     n, n_asked = table.agg(F.count(F.lit(1)), F.count("asked")).first()
 
     spread = F.pmod(F.xxhash64(F.lit(3), "k1"), F.lit(1_000_000)) / F.lit(1e6)
-    drawn = table.filter(spread < min(1.0, SAMPLE / n)).select("v").toPandas()["v"].tolist()
-    centre = np.array(drawn, dtype=np.float64).mean(axis=0) if drawn else np.zeros(dims)
+    drawn = table.filter(spread < min(1.0, SAMPLE / n)).select("v").toPandas()["v"].tolist()  # bounded
+    centres = centres_of(np.array(drawn, dtype=np.float64), min(CELLS, n // CELL)) if drawn else np.zeros((1, dims))
     turn = rotation(dims)
 
     def index(batches):
         for b in batches:
-            bits, norm, f = encode(matrix(b["v"], dims), centre, turn)
+            x = matrix(b["v"], dims)
+            cell = nearest_centre(x, centres)
+            bits, norm, f = encode(x, centres[cell], turn)
             code = pa.FixedSizeBinaryArray.from_buffers(pa.binary(bits.shape[1]), len(b), [None, pa.py_buffer(bits.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([b["k1"], b["k2"], b["ids"], b["v"], code, pa.array(norm), pa.array(f)], names=["k1", "k2", "ids", "v", "code", "norm", "f"])
-
+            yield pa.RecordBatch.from_arrays([b["k1"], b["k2"], b["asked"], pa.array(cell, pa.int64()), code, pa.array(norm), pa.array(f)], names=["k1", "k2", "asked", "cell", "code", "norm", "f"])
+
+    codes = scratch.table(table.select("k1", "k2", "v", "asked").mapInArrow(index, "k1 long, k2 long, asked boolean, cell long, code binary, norm double, f double"), "codes")
+    # One row for each cell, at most CELLS.
+    cells = {r["cell"]: r for r in codes.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count("asked").alias("asked"), F.max("norm").alias("radius")).collect()}
+    # Small tables use the cluster, too: their blocks are smaller.
+    block = min(block, max(512, n // 64))
+    blocks = {c: -(-r["n"] // block) for c, r in cells.items()}
     v_type = table.schema["v"].dataType.simpleString()
-    codes = table.select("k1", "k2", "ids", "v").mapInArrow(index, f"k1 long, k2 long, ids array<long>, v {v_type}, code binary, norm double, f double")
-    n_blocks, n_groups = -(-n // block), -(-n_asked // group)
-    # Small tables use the cluster, too: at least so many tasks.
-    n_blocks = max(n_blocks, min(64, -(-n // 512)))
-    none = F.lit(None)
-    candidate = codes.withColumns({"block": F.pmod(F.xxhash64(F.lit(8), "k1", "k2"), F.lit(n_blocks)), "asks": F.lit(False)}).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
-    query = (
-        table.filter("asked").select("k1", "k2", none.cast("array<long>").alias("ids"), "v", none.cast("binary").alias("code"), none.cast("double").alias("norm"), none.cast("double").alias("f"))
-        .withColumns({"group": F.pmod(F.xxhash64(F.lit(9), "k1", "k2"), F.lit(n_groups)).cast("int"), "asks": F.lit(True)})
-        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-    )
-
-    def search(key: tuple, t: pa.Table) -> pa.Table:
-        asks = t["asks"].to_numpy()
-        queries, mine = t.filter(pa.array(asks)), t.filter(pa.array(~asks))
-        out = {c: [] for c in ("k1", "k2", "vec_id", "score")}
-        if len(queries) and len(mine):
-            bits = np.frombuffer(b"".join(mine["code"].to_pylist()), np.uint8).reshape(len(mine), -1)
-            ids = mine["ids"].to_pylist()
-            least = np.array([i[0] for i in ids])
-            found = search_block(matrix(queries["v"], dims), matrix(mine["v"], dims), bits, mine["norm"].to_numpy(), mine["f"].to_numpy(), least, centre, turn, k + 1, eps)
-            for a, b, (at, d) in zip(queries["k1"].to_pylist(), queries["k2"].to_pylist(), found):
-                hits = sorted((x, i) for p, x in zip(at.tolist(), d.tolist()) for i in ids[p])[: k + 1]
-                out["k1"] += [a] * len(hits)
-                out["k2"] += [b] * len(hits)
-                out["score"] += [x for x, _ in hits]
-                out["vec_id"] += [i for _, i in hits]
-        return pa.table({"k1": pa.array(out["k1"], pa.int64()), "k2": pa.array(out["k2"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
-
-    columns = ["group", "block", "asks", "k1", "k2", "ids", "v", "code", "norm", "f"]
-    both = candidate.select(*columns).unionByName(query.select(*columns))
-    hits = both.groupBy("group", "block").applyInArrow(search, "k1 long, k2 long, vec_id long, score double")
+
+    def searched(probes: DataFrame, groups: dict[int, int], name: str) -> DataFrame:
+        """probes: k1, k2, v, bound (may be null) and cell. Bounds of the candidates that may be among a query's k + 1 nearest, itself included."""
+        dealt = spark.createDataFrame([(c, blocks[c], groups[c]) for c in blocks if groups.get(c)], "cell long, blocks long, groups long")
+        many = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+        hashed = lambda seed, c: F.pmod(F.xxhash64(F.lit(seed), "k1", "k2"), F.col(c))
+        none = F.lit(None)
+        mine = codes.join(F.broadcast(dealt), "cell").withColumn("block", hashed(8, "blocks")).withColumn("group", many("groups"))
+        mine = mine.select("cell", "block", "group", "k1", "k2", "code", "norm", "f", none.cast(v_type).alias("v"), none.cast("double").alias("bound"))
+        asks = probes.join(F.broadcast(dealt), "cell").withColumn("group", hashed(9, "groups")).withColumn("block", many("blocks"))
+        asks = asks.select("cell", "block", "group", "k1", "k2", none.cast("binary").alias("code"), none.cast("double").alias("norm"), none.cast("double").alias("f"), "v", "bound")
+
+        def search(key: tuple, t: pa.Table) -> pa.Table:
+            centre = centres[key[0].as_py()]
+            is_code = t["code"].is_valid()
+            have, queries = t.filter(is_code), t.filter(t["v"].is_valid())
+            out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(4)] + [[np.empty(0)] for _ in range(2)]
+            if len(have) and len(queries):
+                packed = words(np.frombuffer(b"".join(have["code"].to_pylist()), np.uint8).reshape(len(have), -1))
+                ones = np.bitwise_count(packed).sum(axis=1, dtype=np.int64)
+                c1, c2, norm, f = (have[c].to_numpy() for c in ("k1", "k2", "norm", "f"))
+                limits = queries["bound"].to_pylist()
+                for i, q in enumerate(matrix(queries["v"], dims)):
+                    low, high = bounds(q, packed, ones, norm, f, centre, turn, eps)
+                    limit = np.partition(high, k)[k] if len(high) > k else np.inf
+                    at = np.flatnonzero(low <= min(limit, np.inf if limits[i] is None else limits[i]) + 1e-12)
+                    for x, y in zip(out, (np.full(len(at), queries["k1"][i].as_py()), np.full(len(at), queries["k2"][i].as_py()), c1[at], c2[at], low[at], high[at])):
+                        x.append(y)
+            return pa.table([pa.array(np.concatenate(x)) for x in out], names=["k1", "k2", "c1", "c2", "low", "high"])
+
+        found = mine.unionByName(asks).groupBy("cell", "block", "group").applyInArrow(search, "k1 long, k2 long, c1 long, c2 long, low double, high double")
+        return scratch.table(found, name)
+
+    def limits(found: DataFrame) -> DataFrame:
+        """The upper bound of each query's distance to the last of k + 1 candidates."""
+        order = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("high", "c1", "c2"))
+        return found.withColumn("place", order).filter(F.col("place") == k + 1).select("k1", "k2", F.col("high").alias("bound"))
+
+    own = table.filter("asked").select("k1", "k2", "v").join(codes.filter("asked").select("k1", "k2", "cell"), ["k1", "k2"])
+    first = searched(own.withColumn("bound", F.lit(None).cast("double")), {c: -(-r["asked"] // group) for c, r in cells.items()}, "first")
+    if len(cells) > 1:
+        radius = {c: r["radius"] for c, r in cells.items()}
+
+        def reach(batches):
+            order = sorted(radius)
+            wide = np.array([radius[c] for c in order])
+            for b in batches:
+                x = matrix(b["v"], dims)
+                bound = np.array([np.inf if y is None else y for y in b["bound"].to_pylist()])
+                for s in range(0, len(x), 256):
+                    away = np.sqrt(((x[s : s + 256, None, :] - centres[None, order, :]) ** 2).sum(axis=2))
+                    row, col = np.nonzero(away - wide <= bound[s : s + 256, None] + 1e-9)
+                    part = b.take(pa.array(row + s))
+                    yield pa.RecordBatch.from_arrays([part["k1"], part["k2"], part["v"], part["bound"], pa.array(np.array(order)[col], pa.int64())], names=["k1", "k2", "v", "bound", "cell"])
+
+        known = own.select("k1", "k2", "v").join(limits(first), ["k1", "k2"], "left")
+        probes = scratch.table(known.mapInArrow(reach, f"k1 long, k2 long, v {v_type}, bound double, cell long"), "probes")
+        asked_of = {r["cell"]: -(-r["n"] // group) for r in probes.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most CELLS rows
+        first = searched(probes, asked_of, "found")
+    left = first.join(limits(first), ["k1", "k2"], "left").filter("bound IS NULL OR low <= bound + 1e-12").select("k1", "k2", "c1", "c2")
+    candidates = table.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "ids", F.col("v").alias("x"))
+    pairs = left.join(candidates, ["c1", "c2"]).join(table.filter("asked").select("k1", "k2", F.col("v").alias("q")), ["k1", "k2"])
+
+    def rerank(batches):
+        for b in batches:
+            d = distances(matrix(b["q"], dims), matrix(b["x"], dims)) if len(b) else np.empty(0)
+            yield pa.RecordBatch.from_arrays([b["k1"], b["k2"], b["ids"], pa.array(d, pa.float64())], names=["k1", "k2", "ids", "score"])
+
+    scored = pairs.select("k1", "k2", "ids", "q", "x").mapInArrow(rerank, "k1 long, k2 long, ids array<long>, score double")
+    hits = scored.select("k1", "k2", F.explode("ids").alias("vec_id"), "score")
     best = Window.partitionBy("k1", "k2").orderBy("score", "vec_id")
     top = scratch.table(hits.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).drop("n"), "top")
     per_query = rows.filter("_query").select(F.col("vec_id").alias("query_id"), "k1", "k2").distinct().join(top, ["k1", "k2"]).filter("query_id <> vec_id")

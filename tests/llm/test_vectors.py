@@ -102,12 +102,35 @@ def test_estimates_stay_within_bounds():
     centre, turn = x.mean(axis=0), rabitq.rotation(64)
     bits, norm, f = rabitq.encode(x, centre, turn)
     assert bits.shape == (2_000, 8)
-    q = r.standard_normal(64) - centre
-    signs = (np.unpackbits(bits, axis=1) * 2.0 - 1) / 8
-    estimate = signs @ ((q / np.linalg.norm(q)) @ turn) / f
-    true = ((x - centre) / norm[:, None]) @ (q / np.linalg.norm(q))
-    bound = rabitq.EPS * np.sqrt((1 - f * f) / (f * f) / 63)
-    assert (np.abs(estimate - true) <= bound).mean() > 0.95 and abs((estimate - true).mean()) < 0.01
+    packed = rabitq.words(bits)
+    ones = np.bitwise_count(packed).sum(axis=1, dtype=np.int64)
+    for q in r.standard_normal((5, 64)):
+        y = (q - centre) @ turn
+        inner, variance = rabitq.products(y / np.linalg.norm(y), packed, ones)
+        signs = (np.unpackbits(bits, axis=1) * 2.0 - 1) / 8
+        assert np.abs(inner - signs @ (y / np.linalg.norm(y))).max() <= 6 * np.sqrt(variance)
+        low, high = rabitq.bounds(q, packed, ones, norm, f, centre, turn, rabitq.EPS)
+        true = np.linalg.norm(x - q, axis=1)
+        assert ((low <= true) & (true <= high)).mean() > 0.95 and abs(((low**2 + high**2) / 2 - true**2).mean()) < 0.02 * (true**2).mean()
+
+
+def test_words_are_filled_up():
+    bits = np.packbits(np.array([[1, 0, 1] * 25]), axis=1)  # 75 bits
+    packed = rabitq.words(bits)
+    assert packed.shape == (1, 2) and int(np.bitwise_count(packed).sum()) == 50
+
+
+def test_search_in_many_cells(spark, monkeypatch):
+    """Several cells, blocks and groups; clashing extra columns, a null id, a query that is copied."""
+    monkeypatch.setattr(rabitq, "CELL", 40)
+    rows = clusters(600, 24) + [(None, [0.1] * 24, 1)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(1) for c in ("k1", "dims", "_query", "cell", "code")})
+    got: dict = {}
+    for r in rabitq.nearest(df, F.col("vec_id") % 20 == 0, block=100, group=7).collect():
+        got.setdefault(r.query_id, set()).add((r.vec_id, r.score))
+    want = brute_search([r for r in rows if r[0] is not None])
+    assert got.keys() == want.keys()
+    assert sum(len({i for _, i in near} & {i for i, _ in got[q]}) for q, near in want.items()) >= 0.97 * 10 * len(want)
 
 
 def test_each_vector_length_is_searched(spark):
