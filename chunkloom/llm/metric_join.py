@@ -4,10 +4,12 @@ Unit vectors with cosine >= c lie within r = sqrt(2 - 2c) of each other, so the
 done for each label by itself.
 
 1. Equal vectors of a label become one class with its number of copies.
-2. Pivots of a label are drawn from a bounded sample and kept well apart, about one for each ``cell`` classes.
+2. Pivots of a label are drawn from a bounded sample and kept well apart, about one for each ``cell`` classes, at most ``PIVOTS``.
    Every class belongs to its nearest pivot's cell. A class x of cell i may link with one of cell j only if
    d(x, p_j)^2 - d(x, p_i)^2 <= 2 r d(p_i, p_j): the triangle inequality sharpened to the bisecting plane. Then x is
-   replicated to j, so every link of a class lies in its own cell.
+   replicated to j, so every link of a class lies in its own cell. A cell that is still large is divided in the same way by pivots of its own, and so
+   on, so pivots grow with the data and each vector meets at most ``PIVOTS`` of them a level. Where a sample shows that replicas would undo the gain,
+   a cell stays whole.
 3. Cells join independently. A cell with more than ``block`` rows is cut into blocks, and pairs of blocks are tasks, so
    no task holds more than two blocks. A task counts links and keeps a spanning forest, never the pairs.
 4. Components of the forests' edges; copies take their class's counts and component.
@@ -22,7 +24,7 @@ Repeated vec_ids are one vertex. Extra columns are ignored; an empty table gives
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +36,11 @@ from chunkloom.llm.components import components
 
 COSINE = 0.98
 CELL = 2_048  # classes for each pivot
-PIVOTS = 256  # of a label at most, and
-ALL_PIVOTS = 8_192  # of all labels together: the bound of what is sent to executors
-SAMPLE = 4_096  # vectors of a label that pivots are drawn from
+PIVOTS = 256  # of a label or cell at most
+GROUPS = 1_024  # labels or cells that one level divides, the largest first; the next level takes the others
+LEVELS = 12  # what is large after so many is joined block by block
+SAMPLED = 8 << 20  # numbers in all vectors of a level's sample: the bound of what the driver sees; pivots are a part of it
+GAIN = 0.7  # a cell is divided if pairs to be compared fall below this share
 BLOCK = 2_048
 EDGE = 1e-9
 
@@ -93,34 +97,27 @@ def metric_join(vectors: DataFrame, *, cosine: float = COSINE, id_col: str = "ve
     # A hot vector's copies meet as partial minima and counts.
     classes = scratch.table(usable.groupBy("k1", "k2", "label", "dims", "v").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies")), "classes")
 
-    pivots = _pivots(classes, cosine, cell)
     radius = float(np.sqrt(2 - 2 * cosine)) + EDGE
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            labels, dims = np.array(b["label"].to_pylist(), dtype=object), b["dims"].to_numpy()
-            for label, d in sorted(set(zip(labels.tolist(), dims.tolist()))):
-                at = np.flatnonzero((labels == label) & (dims == d))
-                part = b.take(pa.array(at))
-                p = pivots.get((label, d))
-                if p is None or len(p) < 2:
-                    where, cells = np.arange(len(at)), np.zeros(len(at), np.int64)
-                    own = np.ones(len(at), bool)
-                else:
-                    near = 2 - 2 * (unit(matrix(part["v"], d)) @ p.T)  # squared distances
-                    first = near.argmin(axis=1)
-                    gap = np.sqrt(np.maximum(0, 2 - 2 * (p @ p.T)))
-                    reach = near - near[np.arange(len(at)), first][:, None] <= 2 * radius * gap[first] + EDGE
-                    reach[np.arange(len(at)), first] = True
-                    where, cells = np.nonzero(reach)
-                    own = cells == first[where]
-                out = part.take(pa.array(where))
-                yield pa.RecordBatch.from_arrays([out["label"], out["dims"], pa.array(cells.astype(np.int64)), pa.array(own), out["rep"], out["copies"], out["v"]], names=["label", "dims", "cell", "own", "rep", "copies", "v"])
-
-    vector_type = classes.schema["v"].dataType.simpleString()
-    cells = scratch.table(classes.select("label", "dims", "rep", "copies", "v").mapInArrow(assign, f"label string, dims int, cell long, own boolean, rep long, copies long, v {vector_type}"), "cells")
+    todo, cells = classes.select("label", "dims", F.lit("").alias("cell"), F.lit(True).alias("own"), "rep", "copies", "v"), None
+    schema = todo.schema
+
+    def among(part: DataFrame, names: Iterable[tuple[str, int, str]], how: str) -> DataFrame:
+        keys = part.sparkSession.createDataFrame(list(names), "label string, dims int, cell string")  # at most GROUPS rows
+        return part.join(F.broadcast(keys), ["label", "dims", "cell"], how)
+
+    for level in range(LEVELS):
+        pivots, whole, more = _pivots(todo, cosine, cell, radius)
+        rest = among(todo, pivots, "left_anti")
+        final = among(rest, whole, "left_semi") if more else rest  # what this level had no room for waits for the next one
+        cells = final if cells is None else cells.unionByName(final)
+        if not pivots and not more:
+            break
+        divided = among(todo, pivots, "left_semi").mapInArrow(_divider(pivots, radius), schema)
+        todo = scratch.table(divided.unionByName(among(rest, whole, "left_anti")) if more else divided, f"level-{level}")
+    else:
+        cells = cells.unionByName(todo)
+    cells = scratch.table(cells, "cells")
     sizes = cells.groupBy("label", "dims", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
-    # Cells are as many as pivots (bounded) and labels with a single cell.
     dealt = cells.join(sizes, ["label", "dims", "cell"]).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("label", "dims", "cell", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "own", "rep", "copies", "v")
 
@@ -160,27 +157,60 @@ def metric_join(vectors: DataFrame, *, cosine: float = COSINE, id_col: str = "ve
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
 
 
-def _pivots(classes: DataFrame, cosine: float, cell: int) -> dict[tuple[str, int], np.ndarray]:
-    """Pivots of the labels with more than one cell's worth of classes: at most ALL_PIVOTS in all."""
-    counts = classes.groupBy("label", "dims").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * cell)
-    large = {(r["label"], r["dims"]): r["n"] for r in counts.orderBy(F.desc("n")).limit(ALL_PIVOTS // 8).collect()}
+def reached(x: np.ndarray, p: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest of pivots p for unit vectors x, and the cells in which each has to be for links within radius."""
+    near = 2 - 2 * (x @ p.T)  # squared distances
+    first = near.argmin(axis=1)
+    gap = np.sqrt(np.maximum(0, 2 - 2 * (p @ p.T)))
+    reach = near - near[np.arange(len(x)), first][:, None] <= 2 * radius * gap[first] + EDGE
+    reach[np.arange(len(x)), first] = True
+    return first, reach
+
+
+def _divider(pivots: dict[tuple[str, int, str], np.ndarray], radius: float):
+    """Rows of the cells with pivots to their new cells; a replica belongs nowhere, and neither do its own replicas."""
+
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = list(zip(b["label"].to_pylist(), b["dims"].to_pylist(), b["cell"].to_pylist()))
+            for key in sorted(set(keys)):
+                part = b.take(pa.array([i for i, k in enumerate(keys) if k == key]))
+                first, reach = reached(unit(matrix(part["v"], key[1])), pivots[key], radius)
+                where, cells = np.nonzero(reach)
+                out = part.take(pa.array(where))
+                own = out["own"].to_numpy(zero_copy_only=False) & (cells == first[where])
+                names = pa.array([f"{key[2]}.{c}" for c in cells.tolist()], pa.string())
+                yield pa.RecordBatch.from_arrays([out["label"], out["dims"], names, pa.array(own), out["rep"], out["copies"], out["v"]], names=["label", "dims", "cell", "own", "rep", "copies", "v"])
+
+    return divide
+
+
+def _pivots(cells: DataFrame, cosine: float, cell: int, radius: float) -> tuple[dict[tuple[str, int, str], np.ndarray], list[tuple[str, int, str]], bool]:
+    """Of the cells with more than two cells' worth of rows: pivots of those to divide, those to leave whole, and whether there are more than GROUPS."""
+    key = ["label", "dims", "cell"]
+    counts = cells.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * cell)
+    large = counts.orderBy(F.desc("n"), *key).limit(GROUPS + 1).collect()
+    left, large = len(large) > GROUPS, large[:GROUPS]
     if not large:
-        return {}
-    # Small labels join as single cells; of large ones a bounded sample is read.
-    share = F.lit(0.0)
-    per_label = min(SAMPLE, 16 * ALL_PIVOTS // len(large))
-    for (label, dims), n in large.items():
-        share = F.when((F.col("label") == label) & (F.col("dims") == dims), F.lit(min(1.0, per_label / n))).otherwise(share)
+        return {}, [], False
+    room = SAMPLED // (len(large) * max(r["dims"] for r in large))  # vectors of each sample
+    shares = [(r["label"], r["dims"], r["cell"], min(1.0, max(2, min(room, 16 * min(PIVOTS, r["n"] // cell))) / r["n"])) for r in large]
+    shares_ = cells.sparkSession.createDataFrame(shares, "label string, dims int, cell string, share double")
     spread = F.pmod(F.xxhash64(F.lit(5), "rep"), F.lit(1_000_000)) / F.lit(1e6)
-    sample: dict[tuple[str, int], list] = {}
-    for r in classes.filter(spread < share).select("label", "dims", "rep", "v").collect():
-        sample.setdefault((r["label"], r["dims"]), []).append((r["rep"], r["v"]))
-    out, left = {}, ALL_PIVOTS
-    apart = 4 * float(np.sqrt(2 - 2 * cosine))
-    for key, drawn in sample.items():
-        x = unit(np.array([v for _, v in sorted(drawn, key=lambda r: r[0])], dtype=np.float64))
-        wanted = min(PIVOTS, left, max(1, large[key] // cell))
-        p = pick_pivots(x[np.random.Generator(np.random.PCG64(len(x))).permutation(len(x))], wanted, apart)
+    drawn = cells.join(F.broadcast(shares_), key).filter(spread < F.col("share")).select(*key, "rep", "v").toArrow().sort_by("rep")
+    names = list(zip(*(drawn[c].to_pylist() for c in key)))
+    out, whole = {}, []
+    for r in large:
+        name = (r["label"], r["dims"], r["cell"])
+        x = drawn.filter(pa.array([k == name for k in names], pa.bool_()))
+        whole.append(name)
+        if len(x) < 2:
+            continue
+        x = unit(matrix(x["v"], r["dims"]))
+        p = pick_pivots(x[np.random.Generator(np.random.PCG64(len(x))).permutation(len(x))], min(PIVOTS, r["n"] // cell), 4 * float(np.sqrt(2 - 2 * cosine)))
         if len(p) > 1:
-            out[key], left = p, left - len(p)
-    return out
+            share = reached(x, p, radius)[1].mean(axis=0)  # of the cell's rows in each new one
+            if (share * share).sum() < GAIN:
+                out[name] = p
+                whole.pop()
+    return out, whole, left

@@ -44,6 +44,18 @@ def test_join_is_exact(spark, cell, block):
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == brute_join(rows) and len(got) == len(rows)
 
 
+@pytest.mark.parametrize("groups", [1, 2, 1_000])
+def test_join_over_several_levels(spark, monkeypatch, groups):
+    """Cells are divided again and again, a few of them at a time."""
+    monkeypatch.setattr(metric_join, "GROUPS", groups)
+    r = np.random.default_rng(9)
+    centres = r.standard_normal((60, 8)) * [4, 4, 2, 2, 1, 1, 0.5, 0.5]
+    x = centres[r.integers(0, 60, 900)] * r.uniform(0.5, 2, (900, 1)) + 0.1 * r.standard_normal((900, 8))
+    rows = [(i, [float(v) for v in x[i].astype(np.float32)], i % 2) for i in range(900)]
+    got = metric_join.metric_join(spark.createDataFrame(rows, SCHEMA), cell=20, block=64).collect()
+    assert {g.vec_id: (g.n_links, g.component_id, g.kept) for g in got} == brute_join(rows)
+
+
 def test_join_of_repeated_and_null_ids(spark):
     v = [1.0, 2.0]
     rows = [(5, v, 1), (5, v, 1), (7, v, 1), (None, v, 1), (9, [2.0, -1.0], 1)]
