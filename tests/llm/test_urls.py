@@ -58,3 +58,25 @@ def test_no_labels_no_rows_repeats(spark):
 def test_plan_is_native(spark, sf_dir, word):
     plan = url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))._jdf.queryExecution().toString()
     assert word not in plan
+
+
+def test_the_tree_has_no_depth_limit(spark):
+    """Labels deep below a common path tell branches apart, and long tails are no trouble."""
+    deep = "/".join(f"d{i}" for i in range(9))
+    rows = [f"http://h{k}.example.org/es/{deep}/{i}" for k in range(3) for i in range(20)] + [f"http://n.net/{x}/{deep}/{i}" for x in ("es", "en") for i in range(5)]
+    rows += [f"http://{h}/de/fr/{deep}/bad/{i}" for h in ("a.com", "b.com") for i in range(20)] + [f"http://b.net/de/fr/{deep}/{x}/{i}" for x in ("bad", "good") for i in range(10)]
+    rows += [f"http://h{k}.org/{x}/{i}" for x in (f"en/{deep}", f"de/fr/{deep}/good") for k in range(3) for i in range(20)]
+    rows += ["http://long.net/" + "x/" * 3_000, "http://long.net/" + "y/" * 3_000]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(rows)], "page_id long, url string")
+    got = {(r.template, r.verdict) for r in url_filter.judge_urls(df).filter("host IN ('n.net', 'b.net')").select("template", "verdict").distinct().collect()}
+    assert got == {(f"/es/{deep}/{{n}}", "block"), (f"/en/{deep}/{{n}}", "allow"), (f"/de/fr/{deep}/bad/{{n}}", "block"), (f"/de/fr/{deep}/good/{{n}}", "allow")}
+
+
+def test_branches_that_look_alike_are_merged(spark):
+    """Branches without a difference fall together with all that lies below; one whose continuation differs stays apart."""
+    rows = [f"http://a.net/{x}/news/{i}" for x in ("red", "green", "blue") for i in range(40)] + [f"http://a.net/about{x}" for x in "abcdefghijklmnopqrstuvwxyz"] + ["http://a.net/feed"] * 60
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(rows)], "page_id long, url string")
+    got = {r.template for r in url_filter.judge_urls(df).select("template").distinct().collect()}
+    assert "/{~}/news/{n}" not in got and {"/red/news/{n}", "/green/news/{n}", "/blue/news/{n}"} <= got  # they go on, the parent's average does not quite
+    only = spark.createDataFrame([(i, u) for i, u in enumerate(rows[:120])], "page_id long, url string")
+    assert {r.template for r in url_filter.judge_urls(only).select("template").distinct().collect()} == {"/{~}/news/{n}"}
