@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where a session names none (tests in local mode) a temporary folder is used.
+    Where a session names none, a local one (as in tests) gets a temporary folder; on a cluster that would be another disk on every machine, so it
+    is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="chunkloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

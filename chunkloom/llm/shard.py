@@ -7,7 +7,8 @@ in the bucket; shard and slot are that position's remainder and quotient, so the
 most (law ``rows``), whatever the sizes of texts or the number of copies.
 
 No bucket depends on a key's frequency: a hot source or a group of copies is scattered like any other record. A bucket
-holds ``bucket_bytes`` on average and at least one record. Offsets come from one row per bucket.
+holds ``bucket_bytes`` on average; there are at most ``MAX_BUCKETS``, so beyond their product (4 TB) buckets grow with the input, to 100 MB at 100 TB. So
+the offsets, one row per bucket, have a proven bound and are broadcast (about 24 MB at most). Tasks of the shuffle grow in number with the input.
 
 Defined results. Null texts have size 1 and the crc32 of no bytes; a null doc_id, repeated doc_ids and wholly repeated
 rows are records like others; extra columns travel along, but those called bucket, place, shard or slot give way to the
@@ -26,6 +27,8 @@ from chunkloom.llm._common import Scratch
 
 BUCKET_BYTES = 4 << 20  # raw bytes of text in a bucket
 MIN_BUCKETS = 128  # so that small tables use the cluster, too
+MAX_BUCKETS = 1 << 20
+TASK_BYTES = 64 << 20  # raw bytes of text that a task of the shuffle takes in
 SEED = 20_24
 
 
@@ -33,7 +36,8 @@ def external_shuffle(docs: DataFrame, *, n_shards: int = 16, seed: int = SEED, t
     """All columns of docs and bucket, place, shard (int) and slot (long); the records lie written in the shared folder."""
     docs = docs.drop(*(c for c in docs.columns if c.lower() in ("bucket", "place", "shard", "slot", "_ordinal")))
     total = docs.agg(F.sum(F.octet_length(text_col)).alias("b")).first()["b"] or 0
-    n_buckets = max(min_buckets, -(-total // bucket_bytes))
+    n_buckets = min(MAX_BUCKETS, max(min_buckets, -(-total // bucket_bytes)))
+    tasks = min(n_buckets, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES)))
     ordinal = F.monotonically_increasing_id()  # file split and row in it: tells repeated rows apart
     dealt = docs.withColumn("_ordinal", ordinal).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col("_ordinal")), F.lit(n_buckets)))
     schema = T.StructType([*docs.schema.fields, T.StructField("bucket", T.LongType()), T.StructField("place", T.LongType())])
@@ -50,8 +54,8 @@ def external_shuffle(docs: DataFrame, *, n_shards: int = 16, seed: int = SEED, t
         return out.append_column("bucket", pa.array(np.full(n, number, dtype=np.int64))).append_column("place", pa.array(np.arange(n, dtype=np.int64)))
 
     scratch = Scratch(docs.sparkSession, "shards")
-    buckets = scratch.table(dealt.groupBy("bucket").applyInArrow(fisher_yates, schema), "buckets")
-    # One row per bucket: bytes of input / bucket_bytes rows in all, summed up in order.
+    buckets = scratch.table(dealt.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(fisher_yates, schema), "buckets")
+    # One row per bucket, at most MAX_BUCKETS, summed up in order.
     counts = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     before = offsets(counts)
     at = F.col("before") + F.col("place")

@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -108,3 +109,62 @@ def test_every_token_is_packed_once(spark):
 def test_packing_wastes_little(spark, sf_dir):
     got = queries.op4_best_fit(spark, sf_dir).filter("bin_id IS NOT NULL").groupBy("bin_id", "capacity").agg(F.sum("n_tokens").alias("n")).agg(F.sum("n").alias("n"), F.sum("capacity").alias("c")).first()
     assert got.n / got.c > 0.97
+
+
+def test_order_against_a_model(spark):
+    """Every record's shard and slot by a plain version: scatter, Fisher-Yates each bucket, deal the whole order round."""
+    df = spark.createDataFrame(ROWS, SCHEMA).repartition(5).cache()
+    got = shard.external_shuffle(df, bucket_bytes=500, min_buckets=4).collect()
+    n_buckets = max(4, -(-sum(len((t or "").encode()) for _, t, _ in ROWS) // 500))
+    place = df.withColumn("o", F.monotonically_increasing_id())
+    place = place.withColumn("b", F.pmod(F.xxhash64(F.lit(shard.SEED), "doc_id", "o"), F.lit(n_buckets))).collect()
+    buckets = defaultdict(list)
+    for r in sorted(place, key=lambda r: r.o):
+        buckets[r.b].append((r.doc_id, r.text, r.source))
+    order = []
+    for b in sorted(buckets):
+        order += [buckets[b][i] for i in np.random.Generator(np.random.PCG64([shard.SEED, b])).permutation(len(buckets[b]))]
+    assert sorted(((r.slot * 16 + r.shard, (r.doc_id, r.text, r.source)) for r in got), key=lambda x: x[0]) == list(enumerate(order))
+
+
+def test_a_text_larger_than_a_bucket_and_few_buckets(spark, monkeypatch):
+    monkeypatch.setattr(shard, "MAX_BUCKETS", 3)
+    rows = [(1, "x" * 100_000, "s")] + [(i, "y", "s") for i in range(2, 60)]
+    got = shard.external_shuffle(spark.createDataFrame(rows, SCHEMA), bucket_bytes=100).collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in got) == Counter(rows) and len({r.bucket for r in got}) <= 3
+
+
+def naive_packing(items, caps, per_sequence=packing.PER_SEQUENCE):
+    """items: (key, size), packed as the docstring says, looking at every open bin: the least room, the one filled last of equals."""
+    caps, bins, out, clock = sorted(caps), [], {}, 0
+    left = sum(s for _, s in items)
+    for key, size in items:
+        clock += 1
+        open_ = [b for b in bins if b["room"] >= size]
+        if open_:
+            best = min(open_, key=lambda b: (b["room"], -b["last"]))
+        else:
+            cap = min((c for c in caps if c >= size), key=lambda c: ((c + per_sequence) / min(c, left), c))
+            best = {"room": cap, "used": 0, "number": len(bins), "last": clock}
+            bins.append(best)
+        out[key] = (best["number"], best["used"])
+        best["room"], best["used"], best["last"] = best["room"] - size, best["used"] + size, clock
+        left -= size
+    return {k: (n, at, min(c for c in caps if c >= bins[n]["used"])) for k, (n, at) in out.items()}
+
+
+def test_packing_query_against_a_naive_one(spark, sf_dir):
+    rows = queries.op4_best_fit(spark, sf_dir).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    pieces = Counter(r.doc_id for r in rows)
+    for i, text in texts.items():
+        n = len([w for w in re.split(r"[ \t\n\x0b\f\r]+", text or "") if w])
+        assert pieces[i] == max(1, -(-n // 4096)) and sum(r.n_tokens for r in rows if r.doc_id == i) == n
+    groups = defaultdict(list)
+    for r in rows:
+        if r.bin_id is not None:
+            groups[r.bin_id >> 32].append(r)
+    for number, held in groups.items():
+        held.sort(key=lambda r: (-r.n_tokens, r.doc_id, r.piece))
+        want = naive_packing([((r.doc_id, r.piece), r.n_tokens) for r in held], packing.CAPACITIES)
+        assert {(r.doc_id, r.piece): (r.bin_id - (number << 32), r.offset, r.capacity) for r in held} == want
