@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkloom.llm._common import fold_of
+from chunkloom.sources.streams import spread
 
 PROFILE_SIZE = 300
 DOCS_PER_LANG = 1_500
@@ -154,7 +155,7 @@ def predict_languages(docs: DataFrame, profiles: dict[str, list[int]], *, profil
             said = [judge(t.as_py()) for t in b["_text"]]
             yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())], names=[*kept, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, schema)
+    return spread(rows).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -36,7 +36,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkloom.llm._common import Scratch
-from chunkloom.llm.components import components, roots
+from chunkloom.llm.components import components
+from chunkloom.sources.streams import spread
 
 WORDS = 5
 PERCENT = 75
@@ -118,7 +119,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     signatures.append(signature(s, a, b).astype(">u2").tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], names=["doc_id", "n_shingles", "digest", "signature"])
 
-    known = scratch.table(rows.mapInArrow(sets, "doc_id long, n_shingles long, digest binary, signature binary"), "sets")
+    known = scratch.table(spread(rows).mapInArrow(sets, "doc_id long, n_shingles long, digest binary, signature binary"), "sets")
     linkable = known.filter("doc_id IS NOT NULL AND n_shingles > 0")
     # The signature is a function of the digest, so any of a class's will do.
     classes = scratch.table(linkable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")

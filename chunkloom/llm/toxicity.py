@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkloom.llm._common import Scratch, fold_of
+from chunkloom.sources.streams import spread
 
 DOCS_PER_LABEL = 8_000
 MIN_DOCS = 3  # toxic texts that a term needs
@@ -42,8 +43,6 @@ MIN_WEIGHT = 2.5  # least log ratio of a term
 MAX_WEIGHT = 10.0
 STEMS = range(4, 9)  # letters of a stem
 CHANCE_TERMS = 0.5  # terms that may pass by chance: the more are tried, the more evidence each needs
-MAX_TRIED = 100_000  # words and stems of most toxic texts that are tried
-MAX_TERMS = 5_000
 PRIOR = (-7.2, 4.4, -0.8)  # of the score: constant, factor of log(1 + weights), factor of log(1 + words / LENGTH_AT)
 HOLD = (0.05, 0.5, 0.5)  # how strongly the fit is held near them
 LENGTH_AT = 200.0  # words from which the length counts
@@ -186,35 +185,36 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, *, docs_per_label: int = DOC
     bad, fine = once.filter("toxic = 1").select("text"), once.filter("toxic = 0").select("text")
     numbers = "term string, docs long, times long"
 
-    def counter(wanted: frozenset[str] | None):
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in (x.slice(i, 500) for x in batches for i in range(0, len(x), 500)):
-                times: Counter[str] = Counter()
-                seen: Counter[str] = Counter()
-                for text in b["text"].to_pylist():
-                    own = Counter(f for w in fold(text).split() for f in terms_of(w) if wanted is None or f in wanted)
-                    times.update(own)
-                    seen.update(own.keys())
-                yield pa.RecordBatch.from_arrays([pa.array(list(times), pa.string()), pa.array([seen[f] for f in times], pa.int64()), pa.array(list(times.values()), pa.int64())], names=["term", "docs", "times"])
-
-        return count
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(i, 500) for x in batches for i in range(0, len(x), 500)):
+            times: Counter[str] = Counter()
+            seen: Counter[str] = Counter()
+            for text in b["text"].to_pylist():
+                own: Counter[str] = Counter()
+                for w, k in Counter(fold(text).split()).items():
+                    for f in terms_of(w):
+                        own[f] += k
+                times.update(own)
+                seen.update(own.keys())
+            yield pa.RecordBatch.from_arrays([pa.array(list(times), pa.string()), pa.array([seen[f] for f in times], pa.int64()), pa.array(list(times.values()), pa.int64())], names=["term", "docs", "times"])
 
     total = lambda df: df.groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("times").alias("times"))
-    counted = scratch.table(total(bad.mapInArrow(counter(None), numbers)).filter(F.col("docs") >= MIN_DOCS), "terms")
+    counted = scratch.table(total(bad.mapInArrow(count, numbers)).filter(F.col("docs") >= MIN_DOCS), "terms")
     tried = counted.count()
-    # Bounded by MAX_TRIED rows, and by the sample.
-    wanted = {r["term"]: (r["docs"], r["times"]) for r in counted.orderBy(F.desc("docs"), "term").limit(MAX_TRIED).collect()}
     n_toxic, n_clean = max(1, bad.count()), max(1, fine.count())
     base = n_toxic / (n_toxic + n_clean)
     least = 2 * math.log(max(1.0, tried / CHANCE_TERMS))  # of the G statistic, whose chance is about exp(-G / 2)
-    wanted = {f: v for f, v in wanted.items() if evidence(v[0], v[0], base) >= least}
-    others = {r["term"]: (r["docs"], r["times"]) for r in total(fine.mapInArrow(counter(frozenset(wanted)), numbers)).collect()} if wanted else {}
+    # Only terms with enough evidence come to the driver, all of them.
+    strong = counted.filter(F.col("docs") * (-2 * math.log(base)) >= least)
+    others_ = total(fine.mapInArrow(count, numbers)).select("term", F.col("docs").alias("docs0"), F.col("times").alias("times0"))
+    both = strong.join(others_, "term", "left").fillna(0, ["docs0", "times0"])
+    ratio_ = F.log((F.col("times") + 0.1) / n_toxic) - F.log((F.col("times0") + 0.1) / n_clean)
+    k, n0, n = F.col("docs"), F.col("docs0"), F.col("docs") + F.col("docs0")
+    g = 2 * k * F.log(k / (n * base)) + F.when(n0 > 0, 2 * n0 * F.log(n0 / (n * (1 - base)))).otherwise(F.lit(0.0))
+    wanted: dict[str, tuple[int, int]] = {}
     chosen: dict[str, float] = {}
-    for f, (n, times) in wanted.items():
-        n0, times0 = others.get(f, (0, 0))
-        ratio = math.log((times + 0.1) / n_toxic) - math.log((times0 + 0.1) / n_clean)
-        if ratio >= MIN_WEIGHT and evidence(n, n + n0, base) >= least:
-            chosen[f] = min(MAX_WEIGHT, ratio)
+    for r in both.withColumns({"ratio": ratio_, "g": g}).filter((F.col("ratio") >= MIN_WEIGHT) & (F.col("g") >= least)).orderBy("term").collect():
+        wanted[r["term"]], chosen[r["term"]] = (r["docs"], r["docs0"]), min(MAX_WEIGHT, r["ratio"])
     if not chosen:
         return Lexicon({}, tuple(exceptions))
 
@@ -231,7 +231,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, *, docs_per_label: int = DOC
     spread_ = bad.mapInArrow(contexts, "term string, around long").groupBy("term").agg(F.count_distinct("around").alias("n"))
     different = {r["term"]: r["n"] for r in spread_.collect()}  # as many rows as chosen
     for f in list(chosen):
-        n, n0 = wanted[f][0], others.get(f, (0, 0))[0]
+        n, n0 = wanted[f]
         k = min(n, different.get(f, 0))
         if k < MIN_DOCS or evidence(k, k + n0, base) < least:
             del chosen[f]
@@ -241,7 +241,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, *, docs_per_label: int = DOC
         for k in range(1 + STEMS[0], len(f)):
             children[f[:k]] = max(children.get(f[:k], 0), wanted[f][0])
     kept = [f for f in chosen if f.endswith(" ") or children.get(f, 0) < 0.95 * wanted[f][0]]
-    best = sorted(kept, key=lambda f: (-wanted[f][0], f))[:MAX_TERMS]
+    best = sorted(kept, key=lambda f: (-wanted[f][0], f))
     lexicon = Lexicon({f: chosen[f] for f in best}, tuple(exceptions))
     weights, phrases = lexicon.weights, lexicon.exceptions
 
@@ -288,4 +288,4 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, *, text_col: str = "text",
             scores = pa.array([lex.score(t.as_py()) for t in b["_text"]], pa.float64())
             yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), scores], names=[*kept, "score"])
 
-    return docs.select(*kept, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return spread(docs.select(*kept, F.col(text_col).alias("_text"))).mapInArrow(run, schema)

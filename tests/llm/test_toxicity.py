@@ -1,6 +1,10 @@
+import math
 import random
+import zlib
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from chunkloom.llm import queries, toxicity
@@ -52,8 +56,61 @@ def test_terms_do_not_depend_on_partitions(spark):
     toxic = [f"{words(4)} vile {words(4)}" for _ in range(60)] + [f"copied words that are vile {words(6)}"] * 240 + [words(9) for _ in range(420)]
     docs = spark.createDataFrame(list(enumerate(toxic + [words(9) for _ in range(720)])), "doc_id long, text string")
     labels = docs.select("doc_id", (F.col("doc_id") < len(toxic)).cast("int").alias("toxic"))
-    few, many = (toxicity.fit_lexicon(docs.repartition(n), labels) for n in (2, 300))
-    assert fold("vile") in few.weights and few.weights == many.weights
+    few, many = (toxicity.fit_lexicon(docs.repartition(n), labels) for n in (1, 300))
+    assert fold("vile") in few.weights and few.weights == many.weights and few.curve == pytest.approx(many.curve)
+
+
+def test_repeated_documents_change_nothing(spark):
+    """The same rows twice under other ids, in 1, 8 and 64 partitions: one lexicon."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    twice = lambda df: df.unionByName(df.withColumn("doc_id", F.col("doc_id") + 1_000_000))
+    found = [toxicity.fit_lexicon(twice(docs).repartition(n), twice(labels)) for n in (1, 8, 64)]
+    assert found[0].weights and all(x.weights == found[0].weights for x in found)
+    assert toxicity.fit_lexicon(docs, labels).weights == found[0].weights
+
+
+def naive_weigh(lexicon, text):
+    """Every term and phrase looked for at every place."""
+    folded = fold(text or "")
+    spared = [(i, i + len(p)) for p in map(fold, lexicon.exceptions) for i in range(len(folded)) if folded.startswith(p, i)]
+    total = 0.0
+    for i, c in enumerate(folded):
+        if c == " ":
+            hits = [(w, i + len(t)) for t, w in lexicon.weights.items() if folded.startswith(t, i)]
+            heaviest = max((w for w, _ in hits), default=0)
+            if hits and not any(a <= i and stop <= b for w, stop in hits if w == heaviest for a, b in spared):
+                total += heaviest
+    return total
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["idiot", "1d10t", "idiotic", "clown", "clowns", "clown fish", "Clown-Fish", "trash", "trash can", "trashy", "vile", "vileness", "vi1e", "the", "x", "!", "0", "class clown", "\u0456diot"]), max_size=12).map(" ".join))
+def test_against_a_naive_matcher(text):
+    total, words = LEX.weigh(text)
+    assert total == pytest.approx(naive_weigh(LEX, text)) and words in (0, len(fold(text).split()))
+
+
+def test_query_against_a_naive_scorer(spark, sf_dir, monkeypatch):
+    """Every document's score from the fitted lexicon, matched naively."""
+    fitted = []
+    real = toxicity.fit_lexicon
+    monkeypatch.setattr(toxicity, "fit_lexicon", lambda *x, **y: fitted.append(real(*x, **y)) or fitted[-1])
+    sf = "/root/testdata/sf0.01"
+    rows = queries.op3_toxicity(spark, sf).collect()
+    lexicon = fitted[0]
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert lexicon.weights and len(rows) == len(texts)
+    for r in rows:
+        total = naive_weigh(lexicon, texts[r.doc_id])
+        z = lexicon.curve[0] + lexicon.curve[1] * math.log1p(total) + lexicon.curve[2] * math.log1p(len(fold(texts[r.doc_id]).split()) / toxicity.LENGTH_AT)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)) if total else 0.0) and r.predicted == (r.score >= 0.3)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "idiot", 5, True)], "doc_id long, text string, predicted int, held_out boolean")
+    assert [(r.doc_id, r.predicted, r.held_out) for r in toxicity.score_toxicity(docs, LEX, keep=docs.columns).collect()] == [(1, 5, True)]
 
 
 def test_tables(spark):
