@@ -12,7 +12,8 @@
    than ``grid`` classes are compared within their blocks, then their other candidates whose ends are not connected yet are
    confirmed pair by pair, first the best one between any two components, then all. What these leave is found exactly: two
    linked sets share one of the rarest 25 % of either's shingles (in any one order), so an equi-join on these, with bounds by sizes and
-   positions, has every linked pair of classes that are not connected yet, and all of its pairs are confirmed.
+   positions, has every linked pair of classes that are not connected yet, and all of its pairs are confirmed. In a dense group, where that join has about as many
+   pairs as there are, all of its blocks of ``LARGE_BLOCK`` classes are compared with one another instead, by products of matrices.
 4. Components of confirmed links; each class takes its component's smallest doc_id.
 
 Two documents link if 100 * intersection >= 75 * union, on exact sets. With 24 trees of least depth 3 a pair at the
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkloom.llm._common import Scratch
@@ -46,6 +47,8 @@ REGION = 64
 WINDOW = 6  # neighbours on either side in an order
 BLOCK = 256  # classes of a block
 GRID = 4_096  # classes of a group that are all compared with one another
+PAIR_COST = 40  # comparisons in a product of blocks that cost as much as one pair by itself
+LARGE_BLOCK, BLOCK_BYTES = 2_048, 32 << 20  # classes of a block of a group beyond the grid, and bytes of text in it
 SAMPLED = 4_096  # classes from which the frequent shingles of large groups are learned; they set an order only
 FREQUENT = 200_000  # frequent shingles that are told apart
 COLUMNS = 4_096  # shingles of one matrix product
@@ -252,28 +255,7 @@ def _confirm(texts: DataFrame, edges: DataFrame, groups: DataFrame, scratch: Scr
     """Confirmed links (a, b) that connect what the groups' links and candidates connect."""
     # A block meets itself, and in groups of up to `grid` classes every other block: at most grid / block copies of a text.
     others = F.when(F.col("size") <= grid, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    met = texts.withColumn("other", F.explode(others)).select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "text")
-
-    def check(key: tuple, t: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
-        at, ids = t["block"].to_numpy(), t["rep"].to_numpy()
-        held = [shingles(x.as_py(), words) for x in t["text"]]
-        first, second = np.flatnonzero(at == i), np.flatnonzero(at == j)
-        where, pairs = first, []
-        if i == j:
-            # A block of a large group may hold more than its share: it is taken in parts.
-            cut = [first[k : k + 2 * block] for k in range(0, len(first), 2 * block)]
-            for p in range(len(cut)):
-                for q in range(p, len(cut)):
-                    both = cut[p] if p == q else np.concatenate((cut[p], cut[q]))
-                    found = spanning_links([held[x] for x in cut[p]], None if p == q else [held[x] for x in cut[q]], percent)
-                    pairs += [(both[x], both[y]) for x, y in found]
-        elif len(first) and len(second):
-            where = np.concatenate((first, second))
-            pairs = [(where[x], where[y]) for x, y in spanning_links([held[x] for x in first], [held[x] for x in second], percent)]
-        return pa.table({"a": pa.array([int(ids[x]) for x, _ in pairs], pa.int64()), "b": pa.array([int(ids[y]) for _, y in pairs], pa.int64())})
-
-    confirmed = scratch.table(met.groupBy("group", "i", "j").applyInArrow(check, "a long, b long"), "confirmed-0")
+    confirmed = scratch.table(_blockwise(texts, others, words, percent, block), "confirmed-0")
     large = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > grid).select("component")
     if large.isEmpty():
         return confirmed
@@ -295,8 +277,40 @@ def _confirm(texts: DataFrame, edges: DataFrame, groups: DataFrame, scratch: Scr
             chosen = left.select("a", "b")
         confirmed = confirmed.unionByName(_pairwise(chosen, texts, scratch, words, percent, f"confirmed-{turn}"))
     now = components(confirmed, scratch, "confirmed-cc-last")
-    chosen = _sharing_rare(texts.filter(F.col("size") > grid), now, scratch, words, percent)
-    return confirmed.unionByName(_pairwise(chosen, texts, scratch, words, percent, "confirmed-last"))
+    chosen, dense = _sharing_rare(texts.filter(F.col("size") > grid), now, scratch, words, percent)
+    confirmed = confirmed.unionByName(_pairwise(chosen, texts, scratch, words, percent, "confirmed-last"))
+    # Where sharing pairs are about as many as all pairs, products of blocks are the cheaper way, by far.
+    sizes = texts.join(dense, "group").groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    sizes = scratch.table(sizes.select("group", F.greatest(F.ceil(F.col("n") / LARGE_BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")), "dense")
+    again = texts.drop("blocks", "block").join(sizes, "group").withColumn("block", F.pmod(F.xxhash64(F.lit(6), "rep"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    return confirmed.unionByName(scratch.table(_blockwise(again, every, words, percent, LARGE_BLOCK), "confirmed-dense"))
+
+
+def _blockwise(texts: DataFrame, others: Column, words: int, percent: int, block: int) -> DataFrame:
+    """Spanning links (a, b) of each pair of blocks (block, one of others) of a group, all of whose sets are compared."""
+    met = texts.withColumn("other", F.explode(others)).select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "text")
+
+    def check(key: tuple, t: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        at, ids = t["block"].to_numpy(), t["rep"].to_numpy()
+        held = [shingles(x.as_py(), words) for x in t["text"]]
+        first, second = np.flatnonzero(at == i), np.flatnonzero(at == j)
+        where, pairs = first, []
+        if i == j:
+            # A block of a large group may hold more than its share: it is taken in parts.
+            cut = [first[k : k + 2 * block] for k in range(0, len(first), 2 * block)]
+            for p in range(len(cut)):
+                for q in range(p, len(cut)):
+                    both = cut[p] if p == q else np.concatenate((cut[p], cut[q]))
+                    found = spanning_links([held[x] for x in cut[p]], None if p == q else [held[x] for x in cut[q]], percent)
+                    pairs += [(both[x], both[y]) for x, y in found]
+        elif len(first) and len(second):
+            where = np.concatenate((first, second))
+            pairs = [(where[x], where[y]) for x, y in spanning_links([held[x] for x in first], [held[x] for x in second], percent)]
+        return pa.table({"a": pa.array([int(ids[x]) for x, _ in pairs], pa.int64()), "b": pa.array([int(ids[y]) for _, y in pairs], pa.int64())})
+
+    return met.groupBy("group", "i", "j").applyInArrow(check, "a long, b long")
 
 
 def _pairwise(chosen: DataFrame, texts: DataFrame, scratch: Scratch, words: int, percent: int, name: str) -> DataFrame:
@@ -321,8 +335,9 @@ def rarest(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent
     return hashes[np.lexsort((hashes, times))[: n + 1 + -percent * n // 100]]
 
 
-def _sharing_rare(texts: DataFrame, now: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of a group, not connected in now, that sizes and shared rare shingles do not rule out as links."""
+def _sharing_rare(texts: DataFrame, now: DataFrame, scratch: Scratch, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of a group, not connected in now, that sizes and shared rare shingles do not rule out as links; and groups of which there are
+    too many to be looked at one by one, whose pairs are left out."""
     share = F.lit(SAMPLED / max(1, texts.count()))
     sample = texts.filter(F.pmod(F.xxhash64(F.lit(5), "rep"), F.lit(1_000_000)) / F.lit(1e6) < share).select("text")
 
@@ -349,6 +364,10 @@ def _sharing_rare(texts: DataFrame, now: DataFrame, scratch: Scratch, words: int
     held = held.join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = held.groupBy("group", "token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("group", "token")
     held = scratch.table(held.join(mixed, ["group", "token"], "left_semi"), "rare-mixed")
+    sharing = held.groupBy("group", "token").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("group").agg(F.sum(F.col("c") * F.col("c")).alias("pairs"))
+    members = held.groupBy("group").agg(F.count_distinct("rep").cast("double").alias("m"))
+    dense = scratch.table(sharing.join(members, "group").filter(F.col("pairs") * PAIR_COST > F.col("m") * F.col("m")).select("group"), "dense-groups")
+    held = held.join(dense, "group", "left_anti")
     x, y = held.alias("x"), held.alias("y")
     small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
     # At most so many are shared: those before this one, itself, and those behind it.
@@ -357,4 +376,4 @@ def _sharing_rare(texts: DataFrame, now: DataFrame, scratch: Scratch, words: int
     met = met & (100 * small >= percent * large) & ((100 + percent) * most >= percent * (small + large))
     # A frequent shingle is a hot key of a plain join, whose large partitions Spark splits.
     pairs = x.join(y.hint("merge"), met).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    return scratch.table(pairs.distinct(), "rare-pairs")
+    return scratch.table(pairs.distinct(), "rare-pairs"), dense

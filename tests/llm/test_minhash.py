@@ -105,7 +105,46 @@ def test_components(spark, monkeypatch, limit):
     assert got == {i: c for i, c in zip(ids.tolist(), root.tolist()) if i not in loops}
 
 
-def test_large_groups_miss_no_link(spark):
+def edited(n, least, most, seed=3, size=200):
+    """n texts of one base with some words replaced."""
+    r = random.Random(seed)
+    base = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(size)]
+    for i in range(n):
+        copy = list(base)
+        for k in r.sample(range(size), r.randint(least, most)):
+            copy[k] = f"x{i}y{k}"
+        yield i, " ".join(copy)
+
+
+def exact_components(rows):
+    """Links by products of membership matrices over all pairs."""
+    held = [minhash.shingles(t) for _, t in rows]
+    size = np.array([len(s) for s in held])
+    a, b = [], []
+    for s in range(0, len(rows), 500):
+        n = minhash.overlaps(held[s : s + 500], held)
+        i, j = np.nonzero(100 * n >= 75 * (size[s : s + 500, None] + size[None, :] - n))
+        a.append(i[i + s < j] + s)
+        b.append(j[i + s < j])
+    ids, root = cc.roots(np.concatenate(a), np.concatenate(b))
+    return {i: i for i, _ in rows} | dict(zip(ids.tolist(), root.tolist())), sum(map(len, a))
+
+
+@pytest.mark.parametrize("partitions", ["8", "64"])
+def test_six_thousand_near_copies(spark, partitions):
+    """One dense group beyond the grid, with the default options: all of its links, whatever the number of partitions."""
+    rows = list(edited(6_000, 5, 7))
+    want, links = exact_components(rows)
+    assert links > 500
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {x.doc_id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert got == want
+
+
+def test_large_groups_miss_no_link(spark, monkeypatch):
     """A dense region far over window, region and grid, with links that no neighbour in an order shows."""
     r = random.Random(11)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
@@ -119,8 +158,11 @@ def test_large_groups_miss_no_link(spark):
     r.shuffle(rows)
     want = brute(rows)
     assert len({c for _, c, _ in want.values()}) == 120
-    got = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), region=8, window=1, block=8, grid=16).collect()
-    assert {d.doc_id: (d.n_shingles, d.component_id, d.kept) for d in got} == want
+    for cost in (0, 40):  # pair by pair, and by blocks
+        monkeypatch.setattr(minhash, "PAIR_COST", cost)
+        monkeypatch.setattr(minhash, "LARGE_BLOCK", 50)
+        got = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), region=8, window=1, block=8, grid=16).collect()
+        assert {d.doc_id: (d.n_shingles, d.component_id, d.kept) for d in got} == want
 
 
 def test_linked_sets_share_a_rare_shingle():
