@@ -22,7 +22,7 @@ are the arcs on the way to its end. Every symbol is looked at once; nothing is t
 Defined results. Null text: as empty (no token). Special tokens' strings in a text are their own tokens, as in the
 tokenizer file; texts are normalised (NFC, white space, lower case), split into words and mapped byte by byte to
 symbols. Letters are those of Unicode 16 and lower case is that of Unicode 17, as in the library, whatever this Python knows. Extra columns are
-ignored, repeated rows are encoded alike, an empty table gives an empty result. Words are
+ignored, repeated rows are encoded alike, an empty table gives an empty result. Runs between blanks are
 memoised up to ``cache_words`` in a process; beyond that the older half goes, so memory is bounded.
 """
 
@@ -46,7 +46,8 @@ from pyspark.sql import types as T
 
 from chunkloom.sources.streams import spread
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
+MEMO_LETTERS = 64  # longer runs between blanks are seldom met again
 
 #: White space as Unicode defines it.
 WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -66,6 +67,8 @@ _NEWER = "".join(f"\\U{a:08x}-\\U{z:08x}" for a, z in NEWER)
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + WHITE + r"\p{L}\p{N}]+")
 #: The same where a text has letters or numbers that the library does not know.
 WORDS_OF_NEWER = regex.compile(r"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{L}--[" + _NEWER + r"]]+|[\p{N}--[" + _NEWER + r"]]|[[^" + WHITE + r"\p{L}\p{N}]||[" + _NEWER + "]]+")
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+_BLANKS = re.compile(f"[{WHITE}]+")
 _MAYBE_NEWER = re.compile(f"[^\x00-{chr(NEWER[0][0] - 1)}]")
 _IS_NEWER = re.compile("[" + "".join(f"{chr(a)}-{chr(z)}" for a, z in NEWER) + "]")
 
@@ -87,12 +90,12 @@ def byte_symbols() -> list[str]:
 class Automaton:
     """The compiled merges of a tokenizer file with word ends."""
 
-    END = "\0"  # stands for the end of a word; no byte's symbol
+    END = "\u0100"  # stands for the end of a word; bytes stand for themselves
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], word_end: str):
         self.vocab, self.word_end = vocab, word_end
         self.labels = {i: t for t, i in vocab.items()}
-        self.symbols = byte_symbols()
+        byte_of = {c: chr(b) for b, c in enumerate(byte_symbols())}
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.born: dict[int, int] = {}  # rank of the gadget that made the token
@@ -107,9 +110,13 @@ class Automaton:
         self._known: dict[bytes, int] = {b"": 0}
         self._ranges: dict[int, tuple[np.ndarray, np.ndarray, list[int]]] = {}
         self.matcher = ahocorasick.Automaton()
+        self.whole: dict[str, int] = {}  # words that are one token
         for label, t in vocab.items():
             if t not in self.dead:
-                spelled = label.removesuffix(word_end) + self.END if label.endswith(word_end) and label != word_end else label
+                ends = label.endswith(word_end) and label != word_end
+                spelled = "".join([byte_of[c] for c in (label.removesuffix(word_end) if ends else label)]) + self.END * ends
+                if ends:
+                    self.whole[spelled[:-1]] = t
                 self.matcher.add_word(spelled, (len(spelled), t, self.place[t]))
         self.matcher.make_automaton()
 
@@ -208,8 +215,11 @@ class Automaton:
         """Tokens of one pre-split word."""
         if not word:
             return []
-        table, rows, numbers, state = self.symbols, self.rows, self.numbers, self.state
-        text = word if word.isascii() and word.isprintable() and " " not in word else "".join([table[b] for b in word.encode("utf-8")])
+        rows, numbers, state = self.rows, self.numbers, self.state
+        text = word if word.isascii() else word.encode("utf-8").decode("latin-1")
+        whole = self.whole.get(text)
+        if whole is not None:
+            return [whole]  # one arc from the start to the end; there is no other path
         n = len(text)
         row: list[list[int] | None] = [None] * (n + 2)  # of the state in which a position is reached
         arcs = [0] * (n + 2)
@@ -244,19 +254,21 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.labels = self.automaton.labels | {i: t for t, i in self.special.items()}
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)))
-        self.cache_words = cache_words
-        self.memo: dict[str, tuple[int, bytes, bytes]] = {}
+        self.memo = Memo(self, cache_words, Memo(self, cache_words))
 
     @staticmethod
     def normalise(text: str) -> str:
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").translate(_LOWER)  # each character by itself: no final sigma
+            text = unicodedata.normalize("NFC", text)
+            if _MAYBE_NEWER.search(text):
+                text = text.translate(_LOWER)
+            text = text.replace("Σ", "σ")  # each character by itself: no final sigma
         return text.lower()
 
     def words(self, text: str) -> Iterator[str | int]:
         """Pre-split words; special tokens as ids."""
         at = 0
-        for m in self.cut.finditer(text):
+        for m in self.cut.finditer(text) if "<" in text else ():
             yield from split_words(self.normalise(text[at : m.start()]))
             yield self.special[m[0]]
             at = m.end()
@@ -264,31 +276,65 @@ class Codec:
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
+        encode_word = self.automaton.encode_word
         for w in self.words(text or ""):
             if isinstance(w, int):
                 out.append(w)
             else:
-                out.extend(self.automaton.encode_word(w))
+                out.extend(encode_word(w))
         return out
 
     def decode(self, ids: list[int]) -> str:
         """Labels of the arcs, joined as the file's missing decoder joins them: by one space."""
         return " ".join([self.labels[i] for i in ids])
 
-    def _entry(self, w: str | int) -> tuple[int, bytes, bytes]:
-        ids = [w] if isinstance(w, int) else self.automaton.encode_word(w)
-        if len(self.memo) >= self.cache_words:  # the older half goes
-            for old in list(itertools.islice(self.memo, self.cache_words // 2 + 1)):
-                del self.memo[old]
-        found = self.memo[w] = (len(ids), " ".join(map(str, ids)).encode(), self.decode(ids).encode("utf-8"))
-        return found
-
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of tokens, sha256 of the ids and of the decoded text."""
-        get, entry = self.memo.get, self._entry
-        found = [get(w) or entry(w) for w in self.words(text or "")]
-        n = sum([e[0] for e in found])
-        return n, hashlib.sha256(b" ".join([e[1] for e in found])).hexdigest(), hashlib.sha256(b" ".join([e[2] for e in found])).hexdigest()
+        # No word crosses white space, and normalisation leaves its places alone: runs between blanks are encoded by themselves.
+        if not text or text.isspace():
+            text = ""
+        elif "<" not in text:  # no special token
+            text = self.normalise(text)
+        if not text:
+            chunks = []
+        elif _SEPARATORS.search(text):  # Python splits at these, the library does not
+            chunks = _BLANKS.sub(" ", text).strip(" ").split(" ")
+        else:
+            chunks = text.split()
+        pairs = list(map(self.memo.__getitem__, chunks))
+        ids, labels = (b" ".join(x) for x in zip(*pairs)) if pairs else (b"", b"")
+        return ids.count(b" ") + bool(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(labels).hexdigest()
+
+
+class Memo(dict):
+    """Joined ids and labels of words, or of runs between blanks (given the words' memo); when it is full, the older half goes."""
+
+    def __init__(self, codec: Codec, size: int, words: Memo | None = None):
+        self.codec, self.size, self.words = codec, size, words
+
+    def __missing__(self, key: str) -> tuple[bytes, bytes]:
+        if len(self) >= self.size:
+            for old in list(itertools.islice(self, self.size // 2 + 1)):
+                del self[old]
+        if self.words is None:
+            ids = self.codec.automaton.encode_word(key)
+            found = " ".join(map(str, ids)).encode(), self.codec.decode(ids).encode("utf-8")
+        else:
+            words = self.words
+            if key.isalpha() and (low := self.codec.normalise(key)).isalpha():  # what Python knows as a letter, the library knows
+                found = words[low]
+            elif "<" in key:
+                ids = self.codec.encode(key)
+                found = " ".join(map(str, ids)).encode(), self.codec.decode(ids).encode("utf-8")
+            elif key[-1] in ",." and (low := self.codec.normalise(key[:-1])).isalpha():
+                (ids, labels), (ids_, labels_) = words[low], words[key[-1]]
+                found = ids + b" " + ids_, labels + b" " + labels_
+            else:
+                parts = [words[w] for w in split_words(self.codec.normalise(key))]
+                found = parts[0] if len(parts) == 1 else tuple(map(b" ".join, zip(*parts)))
+        if len(key) <= MEMO_LETTERS:
+            self[key] = found
+        return found
 
 
 _CODECS: dict[str, Codec] = {}
