@@ -10,12 +10,14 @@ ands and population counts of the packed words. From it the inner product with t
 <query, code> / <vector, code>; its error is below eps standard errors, of which (1 - f^2) / f^2 / (dims - 1) comes from the code with
 correction scalar f and the rest from the rounding. So each candidate has a lower and an upper bound of its distance.
 
-1. A query searches its own cell. The k-th smallest upper bound is one of its k-th distance.
-2. It searches every cell that the triangle inequality does not rule out by that bound. Candidates whose lower bound does not
-   exceed the k-th smallest upper bound of all are the survivors.
-3. Only survivors are joined with the original vectors, and reranked.
-
-Scale. Tasks hold a block of a cell's codes (a fixed number) and a group of queries; originals do not move but for survivors. Equal
+1. A query searches its own cell. The exact distances of a block's ``FIRST`` best estimates bound that of its k-th neighbour; all
+   candidates whose lower bound does not exceed it are reranked on the original vectors.
+2. With the k-th distance so far it searches every other cell that the triangle inequality does not rule out, in the same way; only
+   candidates whose lower bound is below that distance are looked at.
+
+Scale. Tasks hold a block of a cell's codes (a fixed number), their originals and a group of queries. Blocks are dealt once for every ``QUERIES`` queries
+that probe their cell, so originals move once or twice unless there are more queries than that. One bit for each component says little where
+neighbours are hardly nearer than other vectors: on such data a tenth of a block may be reranked, which is why originals lie beside their codes. Equal
 vectors are one candidate and one query: its smallest ids stand for it, which is exact for k neighbours, so copies cost nothing.
 
 Defined results. Null, empty and zero vectors and those with null or non-finite components take no part. Only vectors of
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,10 +38,11 @@ from chunkloom.llm._common import Scratch
 from chunkloom.llm.metric_join import matrix, valid
 
 K = 10
-EPS = 2.4  # standard errors of the bound
+EPS = 2.0  # standard errors of the bounds
 BLOCK = 32_768  # codes of a task
-QUERIES = 4_096  # queries of a task
-CELL, CELLS = 4_096, 1_024  # vectors for each cell; cells at most
+QUERIES = 16_384  # queries of a task
+FIRST = 32  # best estimates that give the first exact distances
+CELL, CELLS = 32_768, 1_024  # vectors for each cell; cells at most
 SAMPLE = 10_000  # vectors that centres are fitted on
 PLANES = 4  # bits of a query's component
 SEED = 77
@@ -101,15 +105,33 @@ def products(query: np.ndarray, codes: np.ndarray, ones: np.ndarray) -> tuple[np
 
 
 def bounds(q: np.ndarray, codes: np.ndarray, ones: np.ndarray, norm: np.ndarray, f: np.ndarray, centre: np.ndarray, turn: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of a query's distances to the vectors of packed codes."""
+    """Lower bounds and estimates of a query's squared distances to the vectors of packed codes."""
     y = q - centre
     away = float(np.sqrt((y * y).sum()))
     f = np.where(f > 0, f, 1)
     inner, rounding = products((y / (away or 1)) @ turn, codes, ones)
     slack = eps * np.sqrt((np.maximum(0, 1 - f * f) / max(1, len(q) - 1) + rounding) / (f * f))
     middle, cross = away * away + norm * norm, 2 * away * norm
-    low, high = (np.sqrt(np.maximum(0, middle - cross * np.clip(inner / f + x, -1, 1))) for x in (slack, -slack))
-    return low, high
+    return middle - cross * np.minimum(inner / f + slack, 1), middle - cross * (inner / f)
+
+
+def search_block(q: np.ndarray, limits: np.ndarray, x: np.ndarray, packed: np.ndarray, norm: np.ndarray, f: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int, eps: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the positions and distances of the vectors of a block that may be among its k nearest within its limit."""
+    ones = np.bitwise_count(packed).sum(axis=1, dtype=np.int64)
+    out = []
+    for y, limit in zip(q, limits):
+        low, middle = bounds(y, packed, ones, norm, f, centre, turn, eps)
+        n = min(len(x), max(FIRST, k))
+        first = np.argpartition(middle, n - 1)[:n]
+        first = first[low[first] <= limit * limit + 1e-12]
+        known = distances(y, x[first])
+        bound = min(limit, np.partition(known, k - 1)[k - 1]) if len(first) >= k else limit
+        at = np.union1d(np.flatnonzero(low <= bound * bound + 1e-12), first)
+        d = distances(y, x[at])
+        last = np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf  # ties of the last one are settled by ids
+        at, d = at[d <= last], d[d <= last]
+        out.append((at, d))
+    return out
 
 
 def nearest(vectors: DataFrame, is_query: Column, *, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", eps: float = EPS, block: int = BLOCK, group: int = QUERIES) -> DataFrame:
@@ -150,87 +172,71 @@ def _nearest(rows: DataFrame, dims: int, scratch: Scratch, k: int, eps: float, b
             cell = nearest_centre(x, centres)
             bits, norm, f = encode(x, centres[cell], turn)
             code = pa.FixedSizeBinaryArray.from_buffers(pa.binary(bits.shape[1]), len(b), [None, pa.py_buffer(bits.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([b["k1"], b["k2"], b["asked"], pa.array(cell, pa.int64()), code, pa.array(norm), pa.array(f)], names=["k1", "k2", "asked", "cell", "code", "norm", "f"])
+            yield pa.RecordBatch.from_arrays([b["k1"], b["k2"], b["ids"], b["v"], b["asked"], pa.array(cell, pa.int64()), code, pa.array(norm), pa.array(f)], names=["k1", "k2", "ids", "v", "asked", "cell", "code", "norm", "f"])
 
-    codes = scratch.table(table.select("k1", "k2", "v", "asked").mapInArrow(index, "k1 long, k2 long, asked boolean, cell long, code binary, norm double, f double"), "codes")
+    v_type = table.schema["v"].dataType.simpleString()
+    codes = scratch.table(table.select("k1", "k2", "ids", "v", "asked").mapInArrow(index, f"k1 long, k2 long, ids array<long>, v {v_type}, asked boolean, cell long, code binary, norm double, f double"), "codes")
     # One row for each cell, at most CELLS.
     cells = {r["cell"]: r for r in codes.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count("asked").alias("asked"), F.max("norm").alias("radius")).collect()}
     # Small tables use the cluster, too: their blocks are smaller.
-    block = min(block, max(512, n // 64))
+    block = min(block, max(2_048, n // 32))
     blocks = {c: -(-r["n"] // block) for c, r in cells.items()}
-    v_type = table.schema["v"].dataType.simpleString()
 
     def searched(probes: DataFrame, groups: dict[int, int], name: str) -> DataFrame:
-        """probes: k1, k2, v, bound (may be null) and cell. Bounds of the candidates that may be among a query's k + 1 nearest, itself included."""
+        """probes: k1, k2, v, bound (may be null) and cell. For each the vectors of the cell's blocks that may be among its k + 1 nearest, itself included."""
         dealt = spark.createDataFrame([(c, blocks[c], groups[c]) for c in blocks if groups.get(c)], "cell long, blocks long, groups long")
         many = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
         hashed = lambda seed, c: F.pmod(F.xxhash64(F.lit(seed), "k1", "k2"), F.col(c))
         none = F.lit(None)
         mine = codes.join(F.broadcast(dealt), "cell").withColumn("block", hashed(8, "blocks")).withColumn("group", many("groups"))
-        mine = mine.select("cell", "block", "group", "k1", "k2", "code", "norm", "f", none.cast(v_type).alias("v"), none.cast("double").alias("bound"))
+        mine = mine.select("cell", "block", "group", "k1", "k2", "v", "ids", "code", "norm", "f", none.cast("double").alias("bound"))
         asks = probes.join(F.broadcast(dealt), "cell").withColumn("group", hashed(9, "groups")).withColumn("block", many("blocks"))
-        asks = asks.select("cell", "block", "group", "k1", "k2", none.cast("binary").alias("code"), none.cast("double").alias("norm"), none.cast("double").alias("f"), "v", "bound")
+        asks = asks.select("cell", "block", "group", "k1", "k2", "v", none.cast("array<long>").alias("ids"), none.cast("binary").alias("code"), none.cast("double").alias("norm"), none.cast("double").alias("f"), "bound")
 
         def search(key: tuple, t: pa.Table) -> pa.Table:
-            centre = centres[key[0].as_py()]
             is_code = t["code"].is_valid()
-            have, queries = t.filter(is_code), t.filter(t["v"].is_valid())
-            out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(4)] + [[np.empty(0)] for _ in range(2)]
+            have, queries = t.filter(is_code), t.filter(pc.invert(is_code))
+            out: dict[str, list] = {c: [] for c in ("k1", "k2", "vec_id", "score")}
             if len(have) and len(queries):
                 packed = words(np.frombuffer(b"".join(have["code"].to_pylist()), np.uint8).reshape(len(have), -1))
-                ones = np.bitwise_count(packed).sum(axis=1, dtype=np.int64)
-                c1, c2, norm, f = (have[c].to_numpy() for c in ("k1", "k2", "norm", "f"))
-                limits = queries["bound"].to_pylist()
-                for i, q in enumerate(matrix(queries["v"], dims)):
-                    low, high = bounds(q, packed, ones, norm, f, centre, turn, eps)
-                    limit = np.partition(high, k)[k] if len(high) > k else np.inf
-                    at = np.flatnonzero(low <= min(limit, np.inf if limits[i] is None else limits[i]) + 1e-12)
-                    for x, y in zip(out, (np.full(len(at), queries["k1"][i].as_py()), np.full(len(at), queries["k2"][i].as_py()), c1[at], c2[at], low[at], high[at])):
-                        x.append(y)
-            return pa.table([pa.array(np.concatenate(x)) for x in out], names=["k1", "k2", "c1", "c2", "low", "high"])
-
-        found = mine.unionByName(asks).groupBy("cell", "block", "group").applyInArrow(search, "k1 long, k2 long, c1 long, c2 long, low double, high double")
+                ids = have["ids"].to_pylist()
+                limits = np.array([np.inf if x is None else x for x in queries["bound"].to_pylist()])
+                found = search_block(matrix(queries["v"], dims), limits, matrix(have["v"], dims), packed, have["norm"].to_numpy(), have["f"].to_numpy(), centres[key[0].as_py()], turn, k + 1, eps)
+                for a, b, (at, d) in zip(queries["k1"].to_pylist(), queries["k2"].to_pylist(), found):
+                    hits = sorted((x, i) for p, x in zip(at.tolist(), d.tolist()) for i in ids[p])[: k + 1]
+                    out["k1"] += [a] * len(hits)
+                    out["k2"] += [b] * len(hits)
+                    out["score"] += [x for x, _ in hits]
+                    out["vec_id"] += [i for _, i in hits]
+            return pa.table([pa.array(out[c], t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=list(out))
+
+        found = mine.unionByName(asks).groupBy("cell", "block", "group").applyInArrow(search, "k1 long, k2 long, vec_id long, score double")
         return scratch.table(found, name)
 
-    def limits(found: DataFrame) -> DataFrame:
-        """The upper bound of each query's distance to the last of k + 1 candidates."""
-        order = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("high", "c1", "c2"))
-        return found.withColumn("place", order).filter(F.col("place") == k + 1).select("k1", "k2", F.col("high").alias("bound"))
-
-    own = table.filter("asked").select("k1", "k2", "v").join(codes.filter("asked").select("k1", "k2", "cell"), ["k1", "k2"])
-    first = searched(own.withColumn("bound", F.lit(None).cast("double")), {c: -(-r["asked"] // group) for c, r in cells.items()}, "first")
+    best = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("score", "vec_id"))
+    own = codes.filter("asked").select("k1", "k2", "v", "cell")
+    hits = searched(own.withColumn("bound", F.lit(None).cast("double")), {c: -(-r["asked"] // group) for c, r in cells.items()}, "own")
     if len(cells) > 1:
-        radius = {c: r["radius"] for c, r in cells.items()}
+        order = sorted(cells)
+        wide = np.array([cells[c]["radius"] for c in order])
+        limits = hits.withColumn("place", best).filter(F.col("place") == k + 1).select("k1", "k2", F.col("score").alias("bound"))
 
         def reach(batches):
-            order = sorted(radius)
-            wide = np.array([radius[c] for c in order])
             for b in batches:
-                x = matrix(b["v"], dims)
+                x, home = matrix(b["v"], dims), b["cell"].to_numpy()
                 bound = np.array([np.inf if y is None else y for y in b["bound"].to_pylist()])
                 for s in range(0, len(x), 256):
-                    away = np.sqrt(((x[s : s + 256, None, :] - centres[None, order, :]) ** 2).sum(axis=2))
-                    row, col = np.nonzero(away - wide <= bound[s : s + 256, None] + 1e-9)
-                    part = b.take(pa.array(row + s))
-                    yield pa.RecordBatch.from_arrays([part["k1"], part["k2"], part["v"], part["bound"], pa.array(np.array(order)[col], pa.int64())], names=["k1", "k2", "v", "bound", "cell"])
-
-        known = own.select("k1", "k2", "v").join(limits(first), ["k1", "k2"], "left")
-        probes = scratch.table(known.mapInArrow(reach, f"k1 long, k2 long, v {v_type}, bound double, cell long"), "probes")
+                    part = x[s : s + 256]
+                    away = np.sqrt(np.maximum(0, (part * part).sum(axis=1)[:, None] - 2 * part @ centres[order].T + (centres[order] ** 2).sum(axis=1)))
+                    row, col = np.nonzero((away - wide <= bound[s : s + 256, None] + 1e-6) & (np.array(order) != home[s : s + 256, None]))
+                    out = b.take(pa.array(row + s))
+                    yield pa.RecordBatch.from_arrays([out["k1"], out["k2"], out["v"], out["bound"], pa.array(np.array(order)[col], pa.int64())], names=["k1", "k2", "v", "bound", "cell"])
+
+        probes = own.join(limits, ["k1", "k2"], "left").select("k1", "k2", "v", "bound", "cell").mapInArrow(reach, f"k1 long, k2 long, v {v_type}, bound double, cell long")
+        probes = scratch.table(probes, "probes")
         asked_of = {r["cell"]: -(-r["n"] // group) for r in probes.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most CELLS rows
-        first = searched(probes, asked_of, "found")
-    left = first.join(limits(first), ["k1", "k2"], "left").filter("bound IS NULL OR low <= bound + 1e-12").select("k1", "k2", "c1", "c2")
-    candidates = table.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "ids", F.col("v").alias("x"))
-    pairs = left.join(candidates, ["c1", "c2"]).join(table.filter("asked").select("k1", "k2", F.col("v").alias("q")), ["k1", "k2"])
-
-    def rerank(batches):
-        for b in batches:
-            d = distances(matrix(b["q"], dims), matrix(b["x"], dims)) if len(b) else np.empty(0)
-            yield pa.RecordBatch.from_arrays([b["k1"], b["k2"], b["ids"], pa.array(d, pa.float64())], names=["k1", "k2", "ids", "score"])
-
-    scored = pairs.select("k1", "k2", "ids", "q", "x").mapInArrow(rerank, "k1 long, k2 long, ids array<long>, score double")
-    hits = scored.select("k1", "k2", F.explode("ids").alias("vec_id"), "score")
-    best = Window.partitionBy("k1", "k2").orderBy("score", "vec_id")
-    top = scratch.table(hits.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).drop("n"), "top")
+        hits = hits.unionByName(searched(probes, asked_of, "others"))
+    top = scratch.table(hits.withColumn("n", best).filter(F.col("n") <= k + 1).drop("n"), "top")
     per_query = rows.filter("_query").select(F.col("vec_id").alias("query_id"), "k1", "k2").distinct().join(top, ["k1", "k2"]).filter("query_id <> vec_id")
     ranked = per_query.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
