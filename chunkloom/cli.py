@@ -1,7 +1,8 @@
 """Command line: compress files, restore them, compare chunkings, look a hash up.
 
-python -m chunkloom.cli compress IN OUT [--dict MIB]    containers of the files of a folder or pattern, as Parquet
-python -m chunkloom.cli decompress IN OUT               the streams again, as Parquet; OUT "hash": digests to the console
+python -m chunkloom.cli compress IN OUT [options]       containers of the files of a folder or pattern (IN "-": of standard input), as Parquet
+python -m chunkloom.cli compress IN OUT --files         the same, each container in a file of its own; OUT "-": one container to standard output
+python -m chunkloom.cli decompress IN OUT [--files]     the streams again, as Parquet; OUT "hash": digests to the console; "-": one stream to standard output
 python -m chunkloom.cli test IN [--two-stage] [--trace-out DIR] [--trace-in DIR]    chunk statistics; traces of one file's chunks
 python -m chunkloom.cli gear IN POSITION                the rolling hash at a position of each file
 """
@@ -16,8 +17,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from chunkloom import ensure_importable
-from chunkloom.config import LARGE, PlanConfig
-from chunkloom.functions.gear import binary_digits, gear_at
+from chunkloom.config import COMPRESS, LARGE, ChunkConfig, PlanConfig, checked
+from chunkloom.functions.gear import binary_digits, gear_at, load_table
 from chunkloom.functions.registry import register
 from chunkloom.operators import chunking, dedup
 from chunkloom.sources import container, streams
@@ -30,9 +31,17 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("source")
     c.add_argument("target")
     c.add_argument("--dict", type=int, default=None, help="MiB that copies may reach back")
+    c.add_argument("--files", action="store_true")
+    c.add_argument("--delta", choices=["none", "shingling", "minichunks"], default="minichunks", help="parts by which similar chunks are matched")
+    c.add_argument("--features", action="store_true", help="find similar chunks by super-features")
+    c.add_argument("--generalized", action="store_true", help="find similar chunks by hamming bases")
+    c.add_argument("--window", type=int, default=0, help="find similar chunks among so many before")
+    c.add_argument("--sizes", type=int, nargs=3, metavar=("MIN", "AVG", "MAX"), help="bytes of a chunk")
+    c.add_argument("--gear", help="file of 256 numbers for the rolling hash")
     d = sub.add_parser("decompress")
     d.add_argument("source")
     d.add_argument("target")
+    d.add_argument("--files", action="store_true")
     t = sub.add_parser("test")
     t.add_argument("source")
     t.add_argument("--two-stage", action="store_true")
@@ -49,16 +58,26 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("chunkloom").getOrCreate()
     ensure_importable(spark)
     if args.command == "decompress":
-        stored = spark.read.parquet(args.source)
-        if args.target == "hash":
+        stored = container.read_container_files(spark, args.source) if args.files else spark.read.parquet(args.source)
+        if args.target == "-":
+            sys.stdout.buffer.write(_only(container.decompress(stored), "data"))
+        elif args.target == "hash":
             container.decompress(stored, digest_only=True).show(100, truncate=False)
         else:
             container.decompress(stored).write.mode("overwrite").parquet(args.target)
         return 0
-    files = streams.from_files(spark, args.source)
+    files = streams.from_reader(spark, sys.stdin.buffer) if args.source == "-" else streams.from_files(spark, args.source)
     if args.command == "compress":
-        cfg = PlanConfig(dictionary=args.dict << 20 if args.dict else None)
-        container.write_containers(container.compress(files, cfg), args.target)
+        chunks = ChunkConfig(*args.sizes) if args.sizes else COMPRESS
+        chunks = checked(chunks.with_(gear=load_table(args.gear)) if args.gear else chunks)
+        cfg = PlanConfig(chunks=chunks, dictionary=args.dict << 20 if args.dict else None, delta=None if args.delta == "none" else args.delta, features=args.features, generalized=args.generalized, window=args.window)
+        made = container.compress(files, cfg)
+        if args.target == "-":
+            sys.stdout.buffer.write(_only(made, "container"))
+        elif args.files:
+            container.write_container_files(made, args.target).write.format("noop").mode("overwrite").save()
+        else:
+            container.write_containers(made, args.target)
     elif args.command == "gear":
         at = F.lit(args.position)
         files.select("stream_id", gear_at(F.col("data"), at).alias("gear")).withColumn("digits", binary_digits(F.col("gear"))).show(100, truncate=False)
@@ -84,5 +103,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     return 0
 
 
+def _only(rows, column: str) -> bytes:
+    """The cell of the only row."""
+    found = rows.select(column).limit(2).collect()
+    if len(found) != 1:
+        raise SystemExit("standard output takes one stream")
+    return bytes(found[0][0])
+
+
 if __name__ == "__main__":
     sys.exit(main())

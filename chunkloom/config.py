@@ -6,6 +6,8 @@ import math
 from dataclasses import dataclass, replace
 from functools import cached_property
 
+import numpy as np
+
 
 @dataclass(frozen=True)
 class ChunkConfig:
@@ -16,10 +18,13 @@ class ChunkConfig:
     max_size: int = 2048
     normalized: bool = True  # a hard condition before the average size, an easy one after it
     backup: bool = True  # a still easier condition instead of a forced cut
+    gear: tuple[int, ...] | None = None  # 256 numbers of another program's rolling hash (functions.gear.load_table); None: the own rule's
 
     def __post_init__(self) -> None:
         if not 1 <= self.min_size <= self.avg_size <= self.max_size or self.avg_size < 4:
             raise ValueError(f"sizes must not decrease: {self.min_size}, {self.avg_size}, {self.max_size}")
+        if self.gear is not None and len(self.gear) != 256:
+            raise ValueError(f"a gear table has 256 numbers, not {len(self.gear)}")
 
     @cached_property
     def bits(self) -> int:
@@ -37,6 +42,10 @@ class ChunkConfig:
             return self.threshold("backup")
         return self.threshold("easy" if self.normalized else "medium")
 
+    @cached_property
+    def table(self) -> np.ndarray | None:
+        return None if self.gear is None else np.array(self.gear, dtype=np.uint32)
+
     def with_(self, **changes) -> ChunkConfig:
         return replace(self, **changes)
 

@@ -97,3 +97,62 @@ def trailing_zeros(x: Column, width: int = 64) -> Column:
 def pad_to(x: Column, alignment: int) -> Column:
     """x rounded up to a multiple."""
     return (F.floor((x + (alignment - 1)) / F.lit(alignment)) * alignment).cast("long")
+
+
+class BitWriter:
+    """Bits into bytes, the lowest bit of a value first and from the lowest bit of a byte on."""
+
+    def __init__(self) -> None:
+        self._value = self._size = 0
+
+    def put(self, value: int, n: int) -> None:
+        """The lowest n bits of value."""
+        self._value |= (value & ((1 << n) - 1)) << self._size
+        self._size += n
+
+    def put_reversed(self, value: int, n: int) -> None:
+        self.put(int(format(value & ((1 << n) - 1), f"0{n}b")[::-1], 2) if n else 0, n)
+
+    def put_vli(self, value: int) -> None:
+        for b in vli_encode(value):
+            self.put(b, 8)
+
+    def fill_byte(self) -> None:
+        self._size = (self._size + 7) & ~7
+
+    def bytes(self) -> bytes:
+        return self._value.to_bytes((self._size + 7) // 8, "little")
+
+
+class BitReader:
+    """Reads what BitWriter wrote. Behind the end there are fewer bits than asked for: see `left`."""
+
+    def __init__(self, data: bytes):
+        self._value, self._end, self.position = int.from_bytes(data, "little"), 8 * len(data), 0
+
+    @property
+    def left(self) -> int:
+        return self._end - self.position
+
+    def peek(self, n: int) -> int:
+        return self._value >> self.position & ((1 << min(n, self.left)) - 1)
+
+    def get(self, n: int) -> int:
+        out = self.peek(n)
+        self.position += min(n, self.left)
+        return out
+
+    def get_reversed(self, n: int) -> int:
+        return int(format(self.get(n), f"0{n}b")[::-1], 2) if n else 0
+
+    def get_vli(self) -> int:
+        value, shift = 0, 0
+        while True:
+            if self.left < 8:
+                raise ValueError("an integer goes on behind the end")
+            b = self.get(8)
+            value += (b & 127) << shift
+            if b < 128:
+                return value
+            shift += 7
+            value += 1 << shift

@@ -28,6 +28,11 @@ def gear_table(path: str | None = None) -> np.ndarray:
     return np.array([int(hashlib.md5(str(b).encode()).hexdigest()[:8], 16) for b in range(256)], dtype=np.uint32)
 
 
+def load_table(path: str) -> tuple[int, ...]:
+    """A table for ChunkConfig.gear, read from a text file."""
+    return tuple(gear_table(path).tolist())
+
+
 def _rolled(values: np.ndarray) -> np.ndarray:
     """Five shifted additions instead of a loop over positions."""
     h = values

@@ -76,7 +76,7 @@ def cdc_cuts(data: bytes, cfg: ChunkConfig = COMPRESS) -> list[int]:
     """Cuts of one stream."""
     if len(data) <= cfg.min_size:
         return [len(data)] if data else []
-    return select_cuts(len(data), *positions(gear_hashes(data), cfg), cfg)
+    return select_cuts(len(data), *positions(gear_hashes(data, cfg.table), cfg), cfg)
 
 
 def groups_of(parts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -94,7 +94,7 @@ def groups_of(parts: list[bytes]) -> Iterator[tuple[int, int]]:
 def cdc_cuts_of(parts: list[bytes], cfg: ChunkConfig = COMPRESS) -> Iterator[list[int]]:
     """Cuts of each stream; short ones are hashed together."""
     for a, b in groups_of(parts):
-        h, starts = gear_hashes_of(parts[a:b])
+        h, starts = gear_hashes_of(parts[a:b], cfg.table)
         hard, easy, backup = positions(h, cfg)
         for p, s in zip(parts[a:b], starts):
             cuts = select_cuts(s + len(p), hard, easy, backup, cfg, s)
@@ -103,7 +103,7 @@ def cdc_cuts_of(parts: list[bytes], cfg: ChunkConfig = COMPRESS) -> Iterator[lis
 
 def two_stage_cuts_of(parts: list[bytes], cfg: ChunkConfig = COMPRESS) -> Iterator[list[int]]:
     for a, b in groups_of(parts):
-        h, starts = gear_hashes_of(parts[a:b])
+        h, starts = gear_hashes_of(parts[a:b], cfg.table)
         at = np.flatnonzero(h < cfg.threshold("medium"))
         low, high = np.searchsorted(at, starts), np.searchsorted(at, [s + len(p) for p, s in zip(parts[a:b], starts)])
         for p, s, i, j in zip(parts[a:b], starts, low.tolist(), high.tolist()):
@@ -134,7 +134,7 @@ def greedy_cuts(n: int, at: list[int], low: int, high: int) -> list[int]:
 
 
 def two_stage_cuts(data: bytes, cfg: ChunkConfig = COMPRESS) -> list[int]:
-    h = gear_hashes(data)
+    h = gear_hashes(data, cfg.table)
     return greedy_cuts(len(data), np.flatnonzero(h < cfg.threshold("medium")).tolist(), cfg.min_size, cfg.max_size)
 
 
@@ -193,8 +193,8 @@ def fixed_chunks(streams: DataFrame, size: int, *, data_col: str = "data", keep:
     return out if with_data else out.drop("data")
 
 
-def cut_candidates(streams: DataFrame, cfg: ChunkConfig = COMPRESS, *, data_col: str = "data", keep: Sequence[str] = ("stream_id",), start_col: str | None = None, lead_col: str | None = None) -> DataFrame:
-    """keep, offset, gear: every position whose hash fulfils the easiest condition.
+def cut_candidates(streams: DataFrame, cfg: ChunkConfig = COMPRESS, *, data_col: str = "data", keep: Sequence[str] = ("stream_id",), start_col: str | None = None, lead_col: str | None = None, mask: int | None = None) -> DataFrame:
+    """keep, offset, gear: every position whose hash fulfils the easiest condition, or with a mask has none of its bits.
 
     With segments: start_col is the offset of the segment's first own byte in the stream, lead_col the number of bytes before it in data that
     belong to the previous segment (up to 31, so that every window is complete).
@@ -212,8 +212,8 @@ def cut_candidates(streams: DataFrame, cfg: ChunkConfig = COMPRESS, *, data_col:
                     continue
                 start = b[start_col][i].as_py() if start_col else 0
                 lead = b[lead_col][i].as_py() if lead_col else 0
-                h = gear_hashes(data)[lead:]
-                at = np.flatnonzero(h < cfg.easiest)
+                h = gear_hashes(data, cfg.table)[lead:]
+                at = np.flatnonzero(h < cfg.easiest if mask is None else (h & np.uint32(mask)) == 0)
                 rows.append(np.full(len(at), i))
                 offsets.append(at + start)
                 gears.append(h[at].astype(np.int64))

@@ -110,14 +110,16 @@ def same_base(chunks: DataFrame) -> DataFrame:
 
 
 def sharing_features(chunks: DataFrame) -> DataFrame:
-    """stream_id, chunk_i, similar_i, shared: earlier chunks of the stream with equal super-features.
+    """stream_id, chunk_i, similar_i, shared: all earlier chunks of the stream with equal super-features, and how many.
 
-    Each chunk meets the latest earlier chunk of each of its features only, as the query's SQL does: older holders are left out,
-    and shared counts the features whose latest holder that chunk is. The planner's own index keeps all holders.
+    As in an index that keeps every holder of a super-feature but drops one when a later chunk matches it in all: a chunk is met up to
+    the next one that equals it there.
     """
-    single = chunks.select("stream_id", "chunk_i", F.posexplode("super_features").alias("k", "sf"))
-    latest = F.lag("chunk_i").over(Window.partitionBy("stream_id", "k", "sf").orderBy("chunk_i"))
-    return single.withColumn("similar_i", latest).filter("similar_i IS NOT NULL").groupBy("stream_id", "chunk_i", "similar_i").agg(F.count(F.lit(1)).alias("shared"))
+    order = Window.partitionBy("stream_id", "super_features").orderBy("chunk_i")
+    single = chunks.withColumn("until", F.lead("chunk_i").over(order)).select("stream_id", "chunk_i", "until", F.posexplode("super_features").alias("k", "sf"))
+    held = single.select("stream_id", "k", "sf", F.col("chunk_i").alias("similar_i"), "until")
+    met = single.drop("until").join(held, ["stream_id", "k", "sf"]).filter((F.col("similar_i") < F.col("chunk_i")) & (F.col("until").isNull() | (F.col("chunk_i") <= F.col("until"))))
+    return met.groupBy("stream_id", "chunk_i", "similar_i").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def after_match(chunks: DataFrame) -> DataFrame:

@@ -11,12 +11,25 @@ from bisect import bisect_left
 from collections import Counter
 
 from chunkloom.config import PlanConfig
-from chunkloom.functions.bits import common_prefix
+from chunkloom.functions.bits import common_prefix, common_suffix
 from chunkloom.operators.chunking import cdc_cuts
 from chunkloom.operators.delta import COPY, INSERT, Step, delta, saving
 from chunkloom.operators.resemblance import features, simhash, super_features
 
 
+def shared_before(data: bytes, a: int, b: int, most: int) -> int:
+    """Bytes, at most so many, that agree before two places."""
+    done, step = 0, 64
+    while done < most:
+        n = min(step, most - done)
+        same = common_suffix(data[a - done - n : a - done], data[b - done - n : b - done])
+        done += same
+        if same < n:
+            break
+        step *= 4
+    return done
+
+
 class Plan:
     """Instructions (type, source offset, size) that cover a stream's prefix; sources are offsets in the stream."""
 
@@ -38,7 +51,7 @@ class Plan:
             # The copy before may go on into this one, where that swallows it or nothing grows back.
             _, at, n = steps[-1]
             ahead = min(common_prefix(self.data[at + n : at + n + size], self.data[start : start + size]), size)
-            if ahead == size or ahead and kind == INSERT:
+            if ahead == size or ahead and (kind == INSERT or not cfg.extend_back or shared_before(self.data, source, start, min(n, source - earliest)) < n):
                 steps[-1] = (COPY, at, n + ahead)
                 if kind == INSERT:
                     self.extended_forward += ahead
@@ -50,9 +63,7 @@ class Plan:
                 k, at, n = steps[-1]
                 # Compare backwards from both places, not before what may be read.
                 reach = min(n, source - earliest)
-                grown = 0
-                while grown < reach and self.data[source - grown - 1] == self.data[start - grown - 1]:
-                    grown += 1
+                grown = shared_before(self.data, source, start, reach)
                 if grown == n:
                     steps.pop()
                 elif k == INSERT and grown:

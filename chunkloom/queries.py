@@ -12,6 +12,7 @@ from chunkloom.config import COMPRESS, LARGE, ChunkConfig, PlanConfig
 from chunkloom.functions import bits, gear
 from chunkloom.operators import chunking, dedup, delta, resemblance
 from chunkloom.sources import container
+from chunkloom.sources import streams as sources
 from chunkloom.sources.streams import compare_traces, from_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,7 +40,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def streams(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     """stream_id, data and more columns of documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs = sources.spread(table(spark, sf_dir, "documents"))
     return docs.select(F.col("doc_id").alias("stream_id"), F.encode("text", "UTF-8").alias("data"), *extra)
 
 
@@ -481,8 +482,8 @@ FEATURES_SQL = "WITH " + BYTES_SQL + f"sampled AS MATERIALIZED (SELECT doc_id, (
 
 def features_of_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """16 features of each fixed chunk that has a sampled position, with built-in functions."""
-    at = chunking.cut_candidates(streams(spark, sf_dir), COMPRESS.with_(avg_size=4, min_size=1))  # every position below 2^32
-    sampled = at.filter(F.col("gear").bitwiseAND(F.lit(resemblance.SAMPLING_MASK)) == 0).withColumn("chunk_i", F.floor(F.col("offset") / BLOCK).cast("long"))
+    at = chunking.cut_candidates(spread(streams(spark, sf_dir)), mask=resemblance.SAMPLING_MASK)  # about one position in 128
+    sampled = at.withColumn("chunk_i", F.floor(F.col("offset") / BLOCK).cast("long"))
     return sampled.groupBy("stream_id", "chunk_i").agg(*(F.max((F.col("gear") * m + a).bitwiseAND(F.lit(4294967295))).alias(f"f{k}") for k, (m, a) in enumerate(resemblance.FEATURE_COEFFICIENTS)))
 
 
@@ -506,8 +507,9 @@ def super_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     SUPER_SQL + """, single AS (SELECT doc_id, chunk_i, unnest([0, 1, 2, 3]) AS k, unnest([sf0, sf1, sf2, sf3]) AS sf FROM sf),
-met AS (SELECT *, lag(chunk_i) OVER (PARTITION BY doc_id, k, sf ORDER BY chunk_i) AS similar_i FROM single)
-SELECT doc_id, chunk_i, similar_i, count(*) AS shared FROM met WHERE similar_i IS NOT NULL GROUP BY ALL"""
+held AS (SELECT doc_id, chunk_i AS similar_i, lead(chunk_i) OVER (PARTITION BY doc_id, sf0, sf1, sf2, sf3 ORDER BY chunk_i) AS until FROM sf)
+SELECT x.doc_id, x.chunk_i, y.chunk_i AS similar_i, count(*) AS shared FROM single x JOIN single y ON x.doc_id = y.doc_id AND x.k = y.k AND x.sf = y.sf AND y.chunk_i < x.chunk_i
+JOIN held h ON h.doc_id = y.doc_id AND h.similar_i = y.chunk_i AND (until IS NULL OR x.chunk_i <= until) GROUP BY ALL"""
 )
 def superfeature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = super_features_of_blocks(spark, sf_dir).select("stream_id", "chunk_i", F.array("sf0", "sf1", "sf2", "sf3").alias("super_features"))

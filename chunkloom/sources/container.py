@@ -7,12 +7,14 @@ Body: a type byte (0 COPY, 1 INSERT), the size as variable-length integer, then
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
+import tempfile
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,3 +146,36 @@ def decompress(containers: DataFrame, *, keep: Sequence[str] = ("stream_id",), d
 def write_containers(containers: DataFrame, path: str) -> None:
     """Parquet of stream_id and container; containers are whole cells, so each can be written to a file of its own by any reader."""
     containers.select("stream_id", "container", F.octet_length("container").alias("bytes")).write.mode("overwrite").parquet(path)
+
+
+def write_container_files(containers: DataFrame, folder: str) -> DataFrame:
+    """Each container as a file of its own in a folder that all executors share, named by a digest of its stream_id; stream_id, file and bytes.
+
+    A file appears whole under its name or not at all, so a task that is run again does no harm.
+    """
+    schema = T.StructType([containers.schema["stream_id"], T.StructField("file", T.StringType()), T.StructField("bytes", T.LongType())])
+    os.makedirs(folder, exist_ok=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, sizes = [], []
+            for stream, cell in zip(b["stream_id"].to_pylist(), b["container"]):
+                blob = cell.as_py()
+                if blob is None:
+                    names.append(None)
+                    sizes.append(None)
+                    continue
+                name = os.path.join(folder, hashlib.md5(str(stream).encode()).hexdigest() + ".cdc")
+                with tempfile.NamedTemporaryFile(dir=folder, delete=False) as f:
+                    f.write(blob)
+                os.replace(f.name, name)
+                names.append(name)
+                sizes.append(len(blob))
+            yield pa.RecordBatch.from_arrays([b["stream_id"], pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["stream_id", "file", "bytes"])
+
+    return containers.select("stream_id", "container").mapInArrow(run, schema)
+
+
+def read_container_files(spark: SparkSession, path: str) -> DataFrame:
+    """stream_id (the path) and container of container files."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("stream_id"), F.col("content").alias("container"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TRACE_SCHEMA = "offset LONG, size LONG, hash DECIMAL(20,0)"
@@ -28,6 +28,12 @@ def from_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("stream_id"), F.col("content").alias("data"), F.col("length").alias("n_bytes"))
 
 
+def from_reader(spark: SparkSession, reader, *, name: str = "-") -> DataFrame:
+    """stream_id, data, n_bytes of one byte stream, such as standard input: read to its end on the driver, so it has to fit there."""
+    data = reader.read()
+    return spark.createDataFrame([(name, bytearray(data), len(data))], "stream_id string, data binary, n_bytes long")
+
+
 def read_trace(spark: SparkSession, path: str) -> DataFrame:
     """Chunk trace: one line `offset size hash` for each chunk, the hash an unsigned 64-bit number."""
     return spark.read.schema(TRACE_SCHEMA).option("sep", " ").csv(path)
@@ -39,6 +45,21 @@ def write_trace(chunks: DataFrame, path: str, *, stream_id=None) -> None:
     one.select("offset", "size", F.col("hash").cast("decimal(20,0)").alias("hash")).orderBy("offset").write.mode("overwrite").option("sep", " ").csv(path)
 
 
+def trace_differences(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """Position by position: place, and offset, size and hash of both, where the traces of one stream differ; null where one has ended.
+
+    Chunks of a stream have different offsets, so a place is the number of chunks that start before: rows are numbered by ranges of offsets.
+    """
+    def placed(trace: DataFrame, side: str) -> DataFrame:
+        page = trace.withColumn("page", F.floor(F.col("offset") / (1 << 26)))  # one row for each 64 MiB of the stream
+        before = page.groupBy("page").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        inside = F.row_number().over(Window.partitionBy("page").orderBy("offset"))
+        return page.withColumn("inside", inside).join(before.drop("n"), "page").select((F.col("before") + F.col("inside") - 1).alias("place"), F.struct("offset", "size", "hash").alias(side))
+
+    both = placed(expected, "expected").join(placed(actual, "actual"), "place", "full_outer")
+    return both.filter(~F.col("expected").eqNullSafe(F.col("actual"))).select("place", "expected", "actual")
+
+
 def compare_traces(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Rows of either trace that the other lacks, with side and count; empty if they agree."""
     left, right = expected.exceptAll(actual).withColumn("side", F.lit("expected")), actual.exceptAll(expected).withColumn("side", F.lit("actual"))

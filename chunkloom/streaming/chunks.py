@@ -41,7 +41,7 @@ class Chunker:
 
     def _cut(self, last: bool) -> Iterator[tuple[int, int, int, str, bool]]:
         lead = len(self.before)
-        h = gear_hashes(self.before + self.tail)[lead:] if self.tail else np.empty(0, np.uint32)
+        h = gear_hashes(self.before + self.tail, self.cfg.table)[lead:] if self.tail else np.empty(0, np.uint32)
         cuts = select_cuts(len(self.tail), *positions(h, self.cfg), self.cfg)
         start = 0
         for end in cuts:
@@ -73,9 +73,10 @@ def chunk_stream(parts: DataFrame, cfg: ChunkConfig = COMPRESS, dictionary: int
         rows = []
         for pdf in batches:
             for r in pdf.sort_values("seg_idx").itertuples():
-                rows += [(key[0], *c) for c in chunker.push(int(r.seg_idx), bytes(r.data), bool(r.is_last))]
-        if chunker.done:
-            chunker.seen = {}
+                rows += [(key[0], *c) for c in chunker.push(int(r.seg_idx), b"" if r.data is None else bytes(r.data), bool(r.is_last))]
+        if chunker.done:  # what is left says that the stream has ended, so late repetitions of its segments are known
+            chunker = Chunker(cfg, dictionary)
+            chunker.done = True
         state.update((pickle.dumps(chunker),))
         yield pd.DataFrame(rows, columns=["stream_id", "chunk_i", "offset", "size", "hash", "is_duplicate"])
 

@@ -1,11 +1,15 @@
+import io
 import os
 import random
+from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from chunkloom import cli
 from chunkloom.functions.registry import register
 from chunkloom.operators import chunking, resemblance
+from chunkloom.sources import container, streams
 
 
 def test_registered_functions(spark):
@@ -40,3 +44,52 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["gear", str(source), "40"], spark) == 0
     assert "DER" in capsys.readouterr().out
     assert spark.read.parquet(out).select(F.sum("bytes")).first()[0] < 110_000
+
+
+def test_container_files_and_standard_streams(spark, tmp_path, capsysbinary, monkeypatch):
+    data = os.urandom(30_000) * 2
+    source, files, back = tmp_path / "in.bin", str(tmp_path / "files"), str(tmp_path / "back")
+    source.write_bytes(data)
+    assert cli.main(["compress", str(source), files, "--files", "--delta", "shingling", "--features", "--sizes", "128", "512", "4096"], spark) == 0
+    assert len(os.listdir(files)) == 1 and cli.main(["decompress", files, back, "--files"], spark) == 0
+    assert spark.read.parquet(back).first().data == data
+    monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(data)))
+    capsysbinary.readouterr()
+    assert cli.main(["compress", "-", "-", "--delta", "none"], spark) == 0
+    blob = capsysbinary.readouterr().out
+    assert len(blob) < 32_000 and container.decode_container(blob) == data
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "x.cdc").write_bytes(blob)
+    assert cli.main(["decompress", str(tmp_path / "one"), "-", "--files"], spark) == 0
+    assert capsysbinary.readouterr().out == data
+    with pytest.raises(ValueError):
+        cli.main(["compress", str(source), files, "--sizes", "1", "512", "4096"], spark)
+
+
+def test_traces_by_position(spark):
+    a = [(0, 5, 1), (5, 7, 2), (12, 4, 3)]
+    frame = lambda rows: spark.createDataFrame([(o, s, Decimal(h)) for o, s, h in rows], streams.TRACE_SCHEMA)
+    assert streams.trace_differences(frame(a), frame(a)).count() == 0
+    got = streams.trace_differences(frame(a), frame([(0, 5, 1), (5, 9, 4)])).orderBy("place").collect()
+    assert [(r.place, r.expected.offset, r.actual and r.actual.size) for r in got] == [(1, 5, 9), (2, 12, None)]
+
+
+def test_super_features_meet_all_holders(spark):
+    """Against the planner's index: every holder, but those that a later chunk matches in all four."""
+    r = random.Random(2)
+    rows = [(1, i, [r.randrange(3) for _ in range(4)]) for i in range(60)]
+    index, want = {}, {}
+    for _, i, sf in rows:
+        counts = {}
+        for key in enumerate(sf):
+            for j in index.get(key, []):
+                counts[j] = counts.get(j, 0) + 1
+        for j, n in counts.items():
+            want[i, j] = n
+            if n == 4:
+                for key in enumerate(sf):
+                    index[key].remove(j)
+        for key in enumerate(sf):
+            index.setdefault(key, []).append(i)
+    got = resemblance.sharing_features(spark.createDataFrame(rows, "stream_id long, chunk_i long, super_features array<long>")).collect()
+    assert {(x.chunk_i, x.similar_i): x.shared for x in got} == want

@@ -12,6 +12,7 @@ from chunkloom.operators import chunking, delta, resemblance
 from chunkloom.plans import lz
 from chunkloom.plans.lz import encode_stream
 from chunkloom.sources.container import MAGIC, decode_container, read_container, write_container
+from chunkloom.streaming.chunks import Chunker
 
 CONFIGS = [COMPRESS, COMPRESS.with_(normalized=False), COMPRESS.with_(backup=False), COMPRESS.with_(normalized=False, backup=False), LARGE]
 
@@ -204,3 +205,69 @@ def test_chunks_matched_in_all_super_features_leave_the_index(monkeypatch):
     monkeypatch.setattr(lz, "simhash", lambda part, *_: tried.append(1) or [len(tried)])
     _, stats = encode_stream(data, PlanConfig(features=True, adjacency=False, adjacency_back=False))
     assert len(tried) == stats["unique_chunks"] > 100  # each chunk once: only the one before it was left
+
+
+def test_another_gear_table(spark, tmp_path):
+    """Cuts of every kind follow the table that the configuration brings."""
+    r = random.Random(31)
+    numbers = [r.getrandbits(32) for _ in range(256)]
+    (tmp_path / "gear.txt").write_text(", ".join(map(str, numbers)))
+    cfg = COMPRESS.with_(gear=gear.load_table(str(tmp_path / "gear.txt")))
+    data = r.randbytes(60_000)
+
+    def hash_at(i):
+        return sum(numbers[data[i - k]] << k for k in range(min(32, i + 1))) & 0xFFFFFFFF
+
+    cuts = chunking.cdc_cuts(data, cfg)
+    assert cuts != chunking.cdc_cuts(data) and all(c == len(data) or c - b == cfg.max_size or hash_at(c) < cfg.easiest for b, c in zip([0, *cuts], cuts))
+    df = spark.createDataFrame([(1, data)], "stream_id long, data binary")
+    assert [x.offset + x.size for x in chunking.cdc_chunks(df, cfg).orderBy("offset").collect()] == cuts
+    assert [x.offset + x.size for x in chunking.cuts_of_segments(chunking.segments(df, 7_000), cfg).orderBy("offset").collect()] == cuts
+    chunker = Chunker(cfg, None)
+    assert [c[1] + c[2] for i in range(0, 60_000, 7_000) for c in chunker.push(i // 7_000, data[i : i + 7_000], i + 7_000 >= 60_000)] == cuts
+    assert decode_container(write_container(data, encode_stream(data, PlanConfig(chunks=cfg))[0])) == data
+    with pytest.raises(ValueError):
+        COMPRESS.with_(gear=(1, 2))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2**63 - 1), st.integers(0, 63)), max_size=30))
+def test_bits_written_are_read(items):
+    w = bits.BitWriter()
+    for v, n in items:
+        w.put(v, n)
+        w.put_reversed(v, n)
+        w.fill_byte()
+        w.put_vli(v)
+    r = bits.BitReader(w.bytes())
+    for v, n in items:
+        low = v & ((1 << n) - 1)
+        assert r.peek(n) == low and r.get(n) == low and r.get_reversed(n) == low
+        r.get(-r.position % 8)
+        assert r.get_vli() == v
+    assert r.left == 0 and r.get(5) == 0
+    with pytest.raises(ValueError):
+        r.get_vli()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.binary(max_size=40), st.integers(0, 40), st.integers(0, 40), st.integers(0, 400))
+def test_bytes_shared_before_two_places(part, a, b, most):
+    data = part * 9
+    a, b = min(a * 7, len(data)), min(b * 9, len(data))
+    most = min(most, a, b)
+    want = next((k for k in range(most) if data[a - 1 - k] != data[b - 1 - k]), most)
+    assert lz.shared_before(data, a, b, most) == want
+
+
+def test_a_copy_goes_on_into_the_next_one():
+    """The copy before takes what it can of a copy that cannot grow back over it."""
+    head, tail = b"0123456789abcdefghij", b"KLMNOPQRSTUVWXYZ"
+    data = head + b"KLM" + b"#" * 9 + tail + b"*" * 5 + head + tail
+    plan = lz.Plan(data, PlanConfig(omit_below=0))
+    at = len(data) - len(head + tail)
+    plan.add("INSERT", 0, at)
+    plan.add("COPY", 0, len(head))
+    plan.add("COPY", data.index(tail), len(tail))
+    assert plan.steps == [("INSERT", 0, at), ("COPY", 0, len(head) + 3), ("COPY", data.index(tail) + 3, len(tail) - 3)]
+    assert decode_container(write_container(data, plan.steps)) == data
