@@ -38,6 +38,20 @@ class Plan:
         self.steps: list[Step] = []
         self.end = 0
         self.extended_forward = self.extended_back = self.omitted = 0
+        self.copied = 0  # bytes that copies make, which is what the plan saves
+
+    def _push(self, step: Step) -> None:
+        self.steps.append(step)
+        self.copied += step[2] if step[0] == COPY else 0
+
+    def _pop(self) -> Step:
+        step = self.steps.pop()
+        self.copied -= step[2] if step[0] == COPY else 0
+        return step
+
+    def _swap(self, step: Step) -> None:
+        self._pop()
+        self._push(step)
 
     def add(self, kind: str, source: int, size: int, earliest: int = 0) -> None:
         """Append an instruction for the next `size` bytes; copies read from `earliest` on."""
@@ -45,14 +59,14 @@ class Plan:
         self.end += size
         if steps and steps[-1][0] == kind and steps[-1][1] + steps[-1][2] == source:
             k, at, n = steps[-1]
-            steps[-1] = (k, at, n + size)
+            self._swap((k, at, n + size))
             return
         if steps and steps[-1][0] == COPY and cfg.extend_forward:
             # The copy before may go on into this one, where that swallows it or nothing grows back.
             _, at, n = steps[-1]
             ahead = min(common_prefix(self.data[at + n : at + n + size], self.data[start : start + size]), size)
             if ahead == size or ahead and (kind == INSERT or not cfg.extend_back or shared_before(self.data, source, start, min(n, source - earliest)) < n):
-                steps[-1] = (COPY, at, n + ahead)
+                self._swap((COPY, at, n + ahead))
                 if kind == INSERT:
                     self.extended_forward += ahead
                 source, size, start = source + ahead, size - ahead, start + ahead
@@ -65,9 +79,9 @@ class Plan:
                 reach = min(n, source - earliest)
                 grown = shared_before(self.data, source, start, reach)
                 if grown == n:
-                    steps.pop()
+                    self._pop()
                 elif k == INSERT and grown:
-                    steps[-1] = (k, at, n - grown)
+                    self._swap((k, at, n - grown))
                 else:
                     break
                 if k == INSERT:
@@ -76,21 +90,21 @@ class Plan:
                 if grown < n:
                     break
         if kind == INSERT and steps and steps[-1][0] == COPY and steps[-1][2] < cfg.omit_below:
-            n = steps.pop()[2]
+            n = self._pop()[2]
             self.omitted += n
             source, size = start - n, size + n
             if steps and steps[-1][0] == INSERT and steps[-1][1] + steps[-1][2] == source:
-                k, at, n = steps.pop()
+                k, at, n = self._pop()
                 source, size = at, size + n
-        steps.append((kind, source, size))
+        self._push((kind, source, size))
 
     def take_back(self, size: int) -> None:
         """Forget the instructions of the last `size` bytes."""
         self.end -= size
         while size:
-            kind, at, n = self.steps.pop()
+            kind, at, n = self._pop()
             if n > size:
-                self.steps.append((kind, at, n - size))
+                self._push((kind, at, n - size))
             size -= min(n, size)
 
 
@@ -100,7 +114,7 @@ def encode_stream(data: bytes, cfg: PlanConfig) -> tuple[list[Step], dict[str, i
     starts = [0, *cuts[:-1]]
     n = len(cuts)
     plan = Plan(data, cfg)
-    stats = dict.fromkeys(("chunks", "unique_chunks", "dup_bytes", "delta_chunks", "delta_bytes"), 0)
+    stats = dict.fromkeys(("chunks", "unique_chunks", "dup_bytes", "deduped_bytes", "delta_chunks", "delta_bytes"), 0)
     stats["chunks"] = n
     part = lambda i: data[starts[i] : cuts[i]]
     known: dict[bytes, list[int]] = {}
@@ -151,8 +165,10 @@ def encode_stream(data: bytes, cfg: PlanConfig) -> tuple[list[Step], dict[str, i
         used_before[i + 1] = used_before[i] + (size if fresh else 0)
         if match is not None:
             known[digest].append(i)
+            before = plan.copied
             plan.add(COPY, starts[match], size, earliest)
             stats["dup_bytes"] += size
+            stats["deduped_bytes"] += max(0, min(size, plan.copied - before))  # what is left of it: a short copy may have been dropped
             back = anchor is None and cfg.adjacency_back and cfg.delta is not None
             anchor = match
             if back:

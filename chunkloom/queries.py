@@ -399,6 +399,23 @@ def container_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_doc(c.withColumn("container", F.octet_length("container").cast("long")).withColumnRenamed("container", "container_bytes"))
 
 
+@query("SELECT doc_id, octet_length(encode(text))::BIGINT AS covered, true AS gapless, true AS reads_back FROM documents WHERE text IS NOT NULL AND text <> ''")
+def lz_plan_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document's plan: the bytes that it covers, without gap or overlap, and whether copies read what was there before."""
+    i = lz_plan_full(spark, sf_dir)
+    gapless = (F.min("out_offset") == 0) & (F.max(F.col("out_offset") + F.col("size")) == F.sum("size")) & (F.count_distinct("out_offset") == F.count(F.lit(1)))
+    return i.groupBy("doc_id").agg(F.sum("size").alias("covered"), gapless.alias("gapless"), F.bool_and((F.col("type") == "INSERT") | (F.col("src_offset") < F.col("out_offset"))).alias("reads_back"))
+
+
+@query("SELECT doc_id, octet_length(encode(text))::BIGINT AS total_bytes, true AS adds_up, true AS bounded FROM documents WHERE text IS NOT NULL")
+def container_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document's container: literals and copies add up to its bytes, and its size is the literals' and at most 12 bytes an instruction."""
+    c = container.compress(spread(streams(spark, sf_dir))).filter("container IS NOT NULL")
+    size, literal = F.octet_length("container") - 13, F.col("total_bytes") - F.col("saved_bytes")
+    bounded = (size >= literal) & (size <= literal + 12 * F.col("instructions"))
+    return as_doc(c.select("stream_id", "total_bytes", ((literal >= 0) & (F.col("deduped_bytes") <= F.col("dup_bytes")) & (F.col("deduped_bytes") <= F.col("saved_bytes"))).alias("adds_up"), bounded.alias("bounded")))
+
+
 @query("SELECT doc_id, md5(encode(text)) AS md5 FROM documents")
 def roundtrip_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, encoded with all features and decoded again."""
@@ -565,6 +582,18 @@ def delta_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_doc(delta.delta_pairs(n).withColumn("parts", F.lit("minichunks")).unionByName(delta.delta_pairs(n, content_defined=False).withColumn("parts", F.lit("shingling"))))
 
 
+@query(FIXED + """ SELECT doc_id, chunk_i, parts, true AS restored, true AS within FROM fixed, (VALUES ('minichunks'), ('shingling')) v(parts) WHERE chunk_i > 0""")
+def delta_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deltas of each chunk against the one before it give the chunk back, and save what both ends share at least and the chunk at most."""
+    n = neighbours(spark, sf_dir)
+    out = None
+    for parts in ("minichunks", "shingling"):
+        d = delta.delta_pairs(n, content_defined=parts == "minichunks").withColumn("parts", F.lit(parts))
+        out = d if out is None else out.unionByName(d)
+    sizes = fixed(spark, sf_dir).select("stream_id", "chunk_i", "size")
+    return as_doc(out.join(sizes, ["stream_id", "chunk_i"]).select("stream_id", "chunk_i", "parts", "restored", F.col("saved").between(0, F.col("size")).alias("within")))
+
+
 @query()
 def chunk_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash and super-features of content-defined chunks, by the kernels that the planner uses."""

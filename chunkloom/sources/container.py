@@ -24,7 +24,7 @@ from chunkloom.operators.delta import COPY, INSERT, Step
 from chunkloom.plans.lz import encode_stream
 
 MAGIC = b"CDCZ"  # fixed value of the format
-STATS = ("chunks", "unique_chunks", "dup_bytes", "delta_chunks", "delta_bytes", "instructions", "extended_forward", "extended_back", "omitted", "saved_bytes", "total_bytes")
+STATS = ("chunks", "unique_chunks", "dup_bytes", "deduped_bytes", "delta_chunks", "delta_bytes", "instructions", "extended_forward", "extended_back", "omitted", "saved_bytes", "total_bytes")
 
 
 def write_container(data: bytes, steps: Sequence[Step], dictionary: int | None = None, lz77: bool = True) -> bytes:
