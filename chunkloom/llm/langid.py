@@ -52,25 +52,42 @@ def _grams(points: np.ndarray, start: int, stop: int) -> np.ndarray:
     return np.concatenate((one[one != BLANK], two, three))
 
 
+def _points(text: str) -> Iterator[np.ndarray]:
+    """Code points of a lower-cased text by slices, what is no letter as one blank between words, and a blank before the first word."""
+    last, started = BLANK, False
+    for i in range(0, len(text), SLICE):
+        points = np.frombuffer(text[i : i + SLICE].encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        points = np.where(_letters()[points], points, BLANK)
+        before = np.concatenate(([last], points[:-1]))
+        kept = points[(points != BLANK) | (before != BLANK)]
+        last = int(points[-1])
+        if len(kept):
+            yield kept if started else np.concatenate(([BLANK], kept))
+            started = True
+
+
 def count_grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-gram keys in ascending order, and their counts."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-    points = np.where(_letters()[points], points, BLANK)
-    keep = np.ones(len(points), dtype=bool)
-    keep[1:] = (points[1:] != BLANK) | (points[:-1] != BLANK)  # one blank between words
-    points = points[keep]
-    points = points[int(points[0] == BLANK) :] if len(points) else points
-    points = points[: len(points) - 1] if len(points) and points[-1] == BLANK else points
-    if not len(points):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    points = np.concatenate(([BLANK], points, [BLANK]))
-    if len(points) <= SLICE:
-        return np.unique(_grams(points, 0, len(points)), return_counts=True)
-    keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-    for i in range(0, len(points), SLICE):  # each n-gram starts in one slice
-        k, n = np.unique(_grams(points, i, min(i + SLICE, len(points))), return_counts=True)
-        keys, where = np.unique(np.concatenate((keys, k)), return_inverse=True)
-        counts = np.bincount(where, np.concatenate((counts, n)), len(keys)).astype(np.int64)
+    """Distinct n-gram keys in ascending order, and their counts. Besides the text only a slice of it is held at a time."""
+    keys, counts, rest = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(points: np.ndarray, stop: int) -> None:
+        nonlocal keys, counts
+        k, n = np.unique(_grams(points, 0, stop), return_counts=True)
+        if len(keys):
+            k, where = np.unique(np.concatenate((keys, k)), return_inverse=True)
+            n = np.bincount(where, np.concatenate((counts, n)), len(k)).astype(np.int64)
+        keys, counts = k, n
+
+    pieces = _points(text.lower())
+    piece = next(pieces, None)
+    while piece is not None:
+        rest, piece = np.concatenate((rest, piece)), next(pieces, None)
+        if piece is not None and len(rest) > 2:  # n-grams that begin with the last two points go on in the next slice
+            add(rest, len(rest) - 2)
+            rest = rest[-2:]
+    if len(rest):
+        rest = rest if rest[-1] == BLANK else np.concatenate((rest, [BLANK]))
+        add(rest, len(rest))
     return keys, counts
 
 

@@ -122,3 +122,10 @@ def test_tables(spark):
     assert toxicity.fit_lexicon(docs, none).weights == {}
     assert toxicity.score_toxicity(docs.withColumn("Score", F.lit(1)), LEX, keep=["doc_id", "Score"]).columns == ["doc_id", "score"]
     assert [r.h for r in docs.select(toxicity.held_out().alias("h")).collect()].count(None) == 0
+
+
+def test_very_long_texts_through_spark(spark):
+    """The only insult stands at the end of megabytes of innocent words."""
+    rows = [(1, "fine words " * 300_000 + "idiot"), (2, "fine words " * 300_000), (3, "idiot " * 300_000)]
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), LEX).collect()}
+    assert 0 < got[1] < got[3] and got[2] == 0 and got[3] > 0.9
