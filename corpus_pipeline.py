@@ -21,7 +21,7 @@ def _masked(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a known language stay; those without text or letters go."""
+    """Documents of a known language stay; those without text or letters go. Repeated rows are judged alike, each by itself; a null doc_id is no hindrance. An empty table stays empty."""
     profiles = langid.fit_profiles(docs.filter(~langid.held_out()))
     masked, text = _masked(docs)
     said = langid.predict_languages(masked.withColumn("read", F.col(text)), profiles, text_col="read", keep=masked.columns)
@@ -29,7 +29,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold stay."""
+    """Documents that score below the threshold stay, those without text among them. Repeated rows are judged alike, each by itself; a null doc_id is never a
+    training row. With no toxic label, or an empty table, everything stays."""
     lexicon = toxicity.fit_lexicon(docs, read(spark, sf_dir, "labels").filter(~toxicity.held_out()))
     masked, text = _masked(docs)
     scored = toxicity.score_toxicity(masked, lexicon, text_col=text, keep=masked.columns)
@@ -52,7 +53,8 @@ def _repeats(docs: DataFrame) -> bool:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its place in a training sequence."""
+    """Every piece of every document with its place in a training sequence. Repeated rows and ids are separate items; documents without words have one row
+    without a bin. An empty table gives an empty result."""
     return packing.pack(docs)
 
 
