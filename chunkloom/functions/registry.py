@@ -34,7 +34,7 @@ def _scalar(result: str):
         def run(*columns: pd.Series) -> pd.Series:
             return pd.Series([None if any(v is None for v in row) else f(*row) for row in zip(*columns)], dtype=object)
 
-        return F.pandas_udf(run, T.DataType.fromDDL(result), F.PandasUDFType.SCALAR)
+        return F.pandas_udf(run, T.DataType.fromDDL(result))
 
     return make
 
