@@ -153,16 +153,18 @@ def _forest(classes: DataFrame, scratch: Scratch, trees: int, depth: int, least:
         for x in batches:
             for i in range(0, len(x), 1_000):
                 part = x.slice(i, 1_000)
-                reps, signatures = part["rep"].to_numpy(zero_copy_only=False), part["signature"].to_pylist()
-                key = [bytes([t]) + s[t * width : (t + 1) * width] for s in signatures for t in range(trees)]
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(np.repeat(reps, trees))], names=["key", "rep"])
+                key = np.empty((len(part), trees, 1 + width), np.uint8)  # the tree, then its minima
+                key[:, :, 0] = np.arange(trees)
+                key[:, :, 1:] = np.frombuffer(b"".join(part["signature"].to_pylist()), np.uint8).reshape(-1, trees, width)
+                fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(1 + width), len(part) * trees, [None, pa.py_buffer(key.tobytes())])
+                yield pa.RecordBatch.from_arrays([fixed.cast(pa.binary()), pa.array(np.repeat(part["rep"].to_numpy(zero_copy_only=False), trees))], names=["key", "rep"])
 
     ordered = classes.select("rep", "signature").mapInArrow(keys, "key binary, rep long")
     n = max(64, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = ordered.repartitionByRange(n, "key", "rep").sortWithinPartitions("key", "rep")
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(np.array([np.frombuffer(k, np.uint8) for k in x["key"].to_pylist()]), x["rep"].to_numpy(zero_copy_only=False)) for x in batches if len(x)]
+        got = [(np.frombuffer(b"".join(x["key"].to_pylist()), np.uint8).reshape(len(x), -1), x["rep"].to_numpy(zero_copy_only=False)) for x in batches if len(x)]
         if not got:
             return
         key, rep = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
