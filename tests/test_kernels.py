@@ -156,6 +156,27 @@ def test_streams_roundtrip(cfg):
     assert len(write_container(a + a, encode_stream(a + a, PlanConfig())[0])) < 1.05 * len(a)
 
 
+def test_savings_of_duplicates_are_those_of_the_whole_plan():
+    """A short copy of a duplicate may be dropped by what follows it; what is counted is what the plan copies in the end."""
+    words = ["Is", "heinon", "oubleon", "an", "the.", "Anntan", "rely.", "Esblely"]
+    dropped = " ".join(w for w in words for _ in range(28)).encode()
+    a, b = sample(2, 6_000, 1), sample(2, 3_000, 2)
+    for cfg in PLANS:
+        for data in (dropped, a[:2_000] * 4, a + b + a, b"a" * 5_000, dropped + a + dropped):
+            steps, stats = encode_stream(data, cfg)
+            cuts, seen, duplicate = chunking.cdc_cuts(data, cfg.chunks), set(), bytearray(len(data))
+            for x, y in zip([0, *cuts], cuts):
+                if data[x:y] in seen:
+                    duplicate[x:y] = b"\x01" * (y - x)
+                seen.add(data[x:y])
+            copied = b"".join((b"\x01" if kind == delta.COPY else b"\x00") * n for kind, _, n in steps)
+            if cfg.dictionary is None:
+                assert stats["deduped_bytes"] == sum(x & y for x, y in zip(duplicate, copied))
+            assert stats["deduped_bytes"] <= stats["dup_bytes"] and stats["deduped_bytes"] <= stats["saved_bytes"]
+    stats = encode_stream(dropped, PlanConfig())[1]
+    assert (stats["dup_bytes"], stats["deduped_bytes"], stats["saved_bytes"]) == (70, 0, 0)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from([b"abc" * 200, b"xyz" * 333, b"\x00" * 500, b"Q" * 70, b"hello world " * 90]), max_size=12))
 def test_repetitive_streams_roundtrip(parts):
