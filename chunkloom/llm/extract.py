@@ -13,10 +13,12 @@
    the standard (menus, footers, asides) and what cannot repeat because it differs on each page (forms, reader comments,
    lists of related pages) go by markup alone, and an article's own slot stays.
 4. In the slots that stay, covered text goes and unique runs stay: without an article, lines that stand on two different pages and prose that stands on a
-   share of the host's different pages; in an article, runs on half of its bundle's different pages (of 20 at least) that are not the
+   share of the host's different pages; in an article, runs on half of its host's different pages (of 20 at least) that are not the
    better part of the article itself. Articles that are copied to other pages therefore stay whole.
-5. What a large host's pages repeat across bundles is found by hashes of runs of ``RUN`` tokens: those that touch text without an article are
-   counted over all text of the host's different pages, so each bundle knows on how many of them a position stands.
+5. All counts are the host's, so the results do not depend on ``bundle_bytes``: where a host has several bundles, its different pages are dealt into as
+   many classes by their digests, and what the classes count adds up. For evidence each class is told which runs of its doubtful text others have. In an
+   article only runs matter that half of the pages hold: each class takes the runs of a quarter of its pages from a suffix array of its own, and where their sum does
+   not decide, the run is counted exactly. Runs that touch other text that stays are all counted exactly, by their hashes, over all text of the host.
 
 The kept blocks are joined in page order by a blank line; character references are decoded once, white space in a block is
 one blank.
@@ -60,6 +62,8 @@ HOST_BOUND, ALL_BOUND = 2.0, 1.2  # of a slot's evidence in its host, and in oth
 NEUTRAL, BESIDE, HINTED, NAMED, ARTICLE = -0.5, 1.3, 1.3, 4.0, -4.0  # priors as log odds of boilerplate
 NEVER = float("inf")
 SLOT_PARTS = 2  # outermost elements that make a slot
+CLASS_SHARE = 0.25  # of a class's pages from which it reports a run; below ARTICLE_SHARE
+SEEN = 1 << 18  # pages that a task remembers in order to send copies once
 
 #: Elements that are not main text by their meaning (a header only outside of articles).
 BOILERPLATE = frozenset("nav footer aside menu dialog header".split())
@@ -205,11 +209,8 @@ class Runs(NamedTuple):
     starts: np.ndarray  # of the streams
 
 
-def suffix_array(tokens: np.ndarray, ends: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Suffixes in order (each up to its stream's end, ties by place), the common prefix of each with the next, ranks by `run` tokens and their order.
-
-    Prefixes are the whole ones where `run` tokens agree; suffixes that share less come in order of these tokens only.
-    """
+def ranked(tokens: np.ndarray, ends: np.ndarray, run: int) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
+    """Ranks of the suffixes (each up to its stream's end) by their first tokens, 1, ... `run` of them; and the suffixes in order of the last ranks, ties by place."""
     n = len(tokens)
     every = np.arange(n)
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1
@@ -227,8 +228,19 @@ def suffix_array(tokens: np.ndarray, ends: np.ndarray, run: int) -> tuple[np.nda
         rank = np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
         width = reach
         levels.append((width, rank))
+    return levels, np.argsort(rank, kind="stable")
+
+
+def suffix_array(tokens: np.ndarray, ends: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes in order (each up to its stream's end, ties by place), the common prefix of each with the next, ranks by `run` tokens and their order.
+
+    Prefixes are the whole ones where `run` tokens agree; suffixes that share less come in order of these tokens only.
+    """
+    n = len(tokens)
+    every = np.arange(n)
+    levels, order = ranked(tokens, ends, run)
+    width, rank = levels[-1]
     coarse = rank
-    order = np.argsort(coarse, kind="stable")
     first = np.concatenate(([True], rank[order][1:] != rank[order][:-1]))
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(first, every, 0)) + 1  # a group's rank is its place, so groups can be sorted by themselves
@@ -293,15 +305,8 @@ def _covered(streams: list[np.ndarray], run: int) -> Runs:
     owner = np.repeat(np.arange(len(streams)), np.diff(starts))
     ends = np.repeat(starts[1:], np.diff(starts))
     suffixes, lcp, coarse, order = suffix_array(tokens, ends, run)
-    # Different pages that share `run` tokens.
-    r, o = coarse[order], owner[order]
-    new_run = np.concatenate(([True], r[1:] != r[:-1]))
-    new_page = new_run | np.concatenate(([True], o[1:] != o[:-1]))
-    group = np.cumsum(new_run) - 1
-    count = np.zeros(n, np.int64)
-    count[order] = np.bincount(group, new_page).astype(np.int64)[group]
-    whole = np.arange(n) + run <= ends
-    count[~whole | (count < 2)] = 0
+    count = _sharing(coarse, order, owner, ends, run)
+    count[count < 2] = 0
     # The longest prefix that a suffix shares with one of another page: least common prefix up to the next owner, on either side.
     o = owner[suffixes]
     segment = np.concatenate(([0], np.cumsum(o[1:] != o[:-1])))
@@ -318,6 +323,33 @@ def _covered(streams: list[np.ndarray], run: int) -> Runs:
     return Runs(pages, _painted(n, start, reach[start]), starts)
 
 
+def _sharing(coarse: np.ndarray, order: np.ndarray, owner: np.ndarray, ends: np.ndarray, run: int) -> np.ndarray:
+    """Of each position: different pages that hold the `run` tokens from there on (0: its stream ends before)."""
+    r, o = coarse[order], owner[order]
+    new_run = np.concatenate(([True], r[1:] != r[:-1]))
+    new_page = new_run | np.concatenate(([True], o[1:] != o[:-1]))
+    group = np.cumsum(new_run) - 1
+    count = np.zeros(len(order), np.int64)
+    count[order] = np.bincount(group, new_page).astype(np.int64)[group]
+    count[np.arange(len(order)) + run > ends] = 0
+    return count
+
+
+def usual_in_class(streams: list[np.ndarray], run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """Marks of the runs that stand on CLASS_SHARE of a class's different pages, and on how many of them."""
+    size = [len(x) for x in streams]
+    if sum(size) < run:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    tokens = np.concatenate(streams)
+    ends = np.repeat(np.cumsum(size), size)
+    levels, order = ranked(tokens, ends, run)  # the suffix array as far as it matters here
+    coarse = levels[-1][1]
+    count = _sharing(coarse, order, np.repeat(np.arange(len(streams)), size), ends, run)
+    at = np.flatnonzero(count >= max(1, CLASS_SHARE * len(streams)))
+    at = at[np.unique(coarse[at], return_index=True)[1]]
+    return marks(tokens, run)[at], count[at]
+
+
 def _painted(n: int, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """At each of n positions the largest size of the intervals [start, start + size) that cover it."""
     out = np.zeros(n, np.int64)
@@ -333,54 +365,67 @@ def _painted(n: int, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
+def _tokens(text: str) -> np.ndarray:
+    """A number from 1 to 2^32 - 1 for each word of a text whose words one blank parts, by the word's bytes."""
+    a = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    blanks = np.flatnonzero(a == 32)
+    starts = np.concatenate(([0], blanks + 1))
+    place = np.arange(len(a)) - np.repeat(starts, np.diff(np.append(starts, len(a))))
+    x = (a.astype(np.uint64) + np.uint64(1)) * _POWERS[place & 4095]
+    if len(a) > 4096:  # else no word is as long
+        x *= (2 * (place >> 12) + 1).astype(np.uint64)
+    x[blanks] = 0
+    h = np.add.reduceat(x, starts)
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h >> np.uint64(32)) % np.uint64(0xFFFFFFFF)).astype(np.int64) + 1
+
+
+_POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64))
+
+
 def _stream(page: Page) -> np.ndarray:
     """Tokens of all blocks, with a mark (0) at each edge."""
-    marks: list[int] = []
-    for b in page.blocks:
-        marks.append(0)
-        marks.extend([zlib.crc32(w.encode("utf-8", "surrogatepass")) + 1 for w in b.text.split(" ")])
-    marks.append(0)
-    return np.array(marks, dtype=np.int64)
+    if not page.blocks:
+        return np.zeros(1, np.int64)
+    edges = np.cumsum([0] + [b.text.count(" ") + 1 for b in page.blocks])
+    return np.insert(_tokens(" ".join([b.text for b in page.blocks])), edges, 0)
 
 
 def _digest(page: Page) -> int:
     return xxhash.xxh3_64_intdigest("\0".join([b.text for b in page.blocks]).encode("utf-8", "surrogatepass")) >> 1
 
 
-def _open_blocks(page: Page) -> list[tuple[int, int]]:
-    """Start in the stream and words of the blocks of a page without an article that no markup speaks of."""
-    out, at = [], 0
-    for b in page.blocks:
-        words = b.text.count(" ") + 1
-        if b.prior == NEUTRAL:
-            out.append((at + 1, words))
-        at += 1 + words
-    return out
+def marks(s: np.ndarray, run: int = RUN) -> np.ndarray:
+    """A 64-bit hash of each `run` tokens."""
+    n = max(0, len(s) - run + 1)
+    x = (s.astype(np.uint64) & np.uint64(0xFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = np.zeros(n, np.uint64)
+    for k in range(run):
+        h = (h ^ h >> np.uint64(31)) * np.uint64(0x94D049BB133111EB) + x[k : k + n]
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ h >> np.uint64(27)).view(np.int64)
 
 
-def open_runs(source: str | None, run: int = RUN) -> tuple[int, list[tuple[int, int]]]:
-    """The page's digest, and position and hash of each run that touches text which only repetition can rule out."""
-    page = parse(source)
-    found = _open_blocks(page)
-    s = _stream(page)
-    if not found or len(s) < run:
-        return _digest(page), []
-    touched = np.zeros(len(s), bool)
-    for at, words in found:
-        touched[max(0, at - run + 1) : at + words] = True
-    where = np.flatnonzero(touched[: len(s) - run + 1])
-    return _digest(page), [(int(i), _mark(s, i, run)) for i in where]
-
-
-def all_runs(source: str | None, run: int = RUN) -> tuple[int, list[int]]:
-    """The page's digest and the different hashes of all of its runs."""
-    page = parse(source)
-    s = _stream(page)
-    return _digest(page), list({_mark(s, i, run) for i in range(len(s) - run + 1)})
+def _cover(n: int, starts: np.ndarray, run: int) -> np.ndarray:
+    """Whether each of n positions lies in one of the runs of `run` tokens from starts on."""
+    edges = np.zeros(n + run + 1, np.int64)
+    np.add.at(edges, starts, 1)
+    np.add.at(edges, starts + run, -1)
+    return np.cumsum(edges)[:n] > 0
 
 
-def _mark(s: np.ndarray, i: int, run: int) -> int:
-    return xxhash.xxh3_64_intdigest(s[i : i + run].tobytes()) - (1 << 63)
+def open_runs(page: Page, dropped: set[tuple[str, float]], run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """Position and mark of each run that touches text which stays unless it repeats; dropped: slots that are boilerplate."""
+    s = _stream(page)
+    touched, at = np.zeros(len(s), bool), 0
+    for b in page.blocks:
+        words = b.text.count(" ") + 1
+        if b.prior not in (NEVER, NAMED, ARTICLE) and (b.slot, b.prior) not in dropped:
+            touched[max(0, at + 2 - run) : at + 1 + words] = True
+        at += 1 + words
+    where = np.flatnonzero(touched[: max(0, len(s) - run + 1)])
+    return where, marks(s, run)[where]
 
 
 class Doubtful(NamedTuple):
@@ -397,7 +442,7 @@ def doubtful(page: Page, run: int = RUN) -> Doubtful:
     slots: list[tuple[str, float, int]] = []
     for b in page.blocks:
         if b.prior not in (NEVER, NAMED, ARTICLE):
-            words = [zlib.crc32(w.encode("utf-8", "surrogatepass")) + 1 for w in b.text.split(" ")]
+            words = _tokens(b.text).tolist()
             slots.append((b.slot, b.prior, len(words)))
             tokens += [0, *words]
             if len(words) < run:
@@ -405,15 +450,32 @@ def doubtful(page: Page, run: int = RUN) -> Doubtful:
     return Doubtful(_digest(page), np.array([*tokens, 0] if tokens else [], np.int64), slots)
 
 
-def evidence(pages: list[Doubtful], run: int = RUN) -> dict[tuple[str, float], tuple[int, float, float]]:
-    """Of one host's pages by slot and prior: different pages that have it, the sum of their covered shares, the log likelihood ratio of boilerplate."""
-    once = list({p.digest: p for p in pages}.values())
-    expected = CHANCE + (1 - 2 * CHANCE) * (len(once) - 1) / (len(once) - 1 + SEEN_AT)
+def different_pages(pages: list[Doubtful]) -> list[Doubtful]:
+    """One of the pages of each digest, whatever their order: copies may have other markup."""
+    once: dict[int, tuple] = {}
+    for p in pages:
+        key = (p.slots, p.tokens.tobytes())
+        if p.digest not in once or key < once[p.digest][0]:
+            once[p.digest] = key, p
+    return [p for _, (_, p) in sorted(once.items())]
+
+
+def evidence(pages: list[Doubtful], run: int = RUN, repeated: np.ndarray | None = None, host_pages: int = 0) -> dict[tuple[str, float], tuple[int, float, float]]:
+    """Of one host's pages by slot and prior: different pages that have it, the sum of their covered shares, the log likelihood ratio of boilerplate.
+
+    Of a class of a host: repeated, marks of runs that its other classes have, too; host_pages, different pages of all classes.
+    """
+    once = different_pages(pages)
+    others = max(len(once), host_pages) - 1
+    expected = CHANCE + (1 - 2 * CHANCE) * others / (others + SEEN_AT)
     hit, miss = math.log(expected / CHANCE), math.log((1 - expected) / (1 - CHANCE))
     runs = covered([p.tokens for p in once], [p.digest for p in once], run)
     out: dict[tuple[str, float], tuple[int, float, float]] = {}
     for p, start in zip(once, runs.starts.tolist()):
-        repeats = np.concatenate(([0], np.cumsum(runs.pages[start : start + len(p.tokens)] > 1))).tolist()
+        repeat = runs.pages[start : start + len(p.tokens)] > 1
+        if repeated is not None and len(repeated):
+            repeat = repeat | _cover(len(repeat), np.flatnonzero(np.isin(marks(p.tokens, run), repeated)), run)
+        repeats = np.concatenate(([0], np.cumsum(repeat))).tolist()
         of: dict[tuple[str, float], list[int]] = {}
         at = 0
         for slot, prior, words in p.slots:
@@ -428,44 +490,55 @@ def evidence(pages: list[Doubtful], run: int = RUN) -> dict[tuple[str, float], t
     return out
 
 
+def _stretches(flags: np.ndarray) -> np.ndarray:
+    """At each position the length of the stretch of set flags that it lies in (0: not set)."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
+    out, size = np.zeros(len(flags), np.int64), edges[1::2] - edges[::2]
+    out[flags] = np.repeat(size, size)
+    return out
+
+
 class Bundle:
-    """Pages of one host with what they repeat."""
+    """Pages of one host with what they repeat; whole: all pages that the host has."""
 
-    def __init__(self, sources: list[str | None], run: int = RUN):
-        self.run = run
+    def __init__(self, sources: list[str | None], run: int = RUN, whole: bool = True):
+        self.run, self.whole = run, whole
         self.pages = [parse(s) for s in sources]
-        streams = [_stream(p) for p in self.pages]
         self.digests = [_digest(p) for p in self.pages]
-        self.runs = covered(streams, self.digests, run)
-        self.different = len(set(self.digests))
-
-    def texts(self, dropped: set[tuple[str, float]], known: dict[int, list[tuple[int, int]]] | None = None, host_pages: int = 0) -> list[str]:
-        """Main texts. dropped: slots that are boilerplate; known: by page digest, starts of runs that the whole host repeats and on how
-        many different pages; host_pages: of how many."""
-        different = max(1, self.different, host_pages)
-        usual = max(ARTICLE_PAGES, ARTICLE_SHARE * self.different)
+        if whole:
+            self.runs = covered([_stream(p) for p in self.pages], self.digests, run)
+
+    def texts(self, dropped: set[tuple[str, float]], known: dict[int, list[tuple[int, int]]] | None = None, host_pages: int = 0, usual_marks: np.ndarray | None = None) -> list[str]:
+        """Main texts. dropped: slots that are boilerplate. What a part of a host is told: known, by page digest, starts of runs that the host repeats and on how
+        many different pages; host_pages, of how many; usual_marks, of runs that count as boilerplate in articles."""
+        different = len(set(self.digests)) if self.whole else host_pages
+        usual = max(ARTICLE_PAGES, ARTICLE_SHARE * different)
         texts = []
-        for p, digest, start in zip(self.pages, self.digests, self.runs.starts.tolist()):
-            pages = self.runs.pages
-            for i, n in (known or {}).get(digest, ()):
-                np.maximum(pages[start + i : start + i + self.run], n, out=pages[start + i : start + i + self.run])
-            article = 0
-            if self.different >= ARTICLE_PAGES and p.has_zone:
-                article = sum(b.text.count(" ") + 1 for b in p.blocks if b.prior == ARTICLE)
-            kept, at = [], start
-            for b in p.blocks:
-                words = b.text.count(" ") + 1
-                here = pages[at + 1 : at + 1 + words]
-                length = self.runs.length[at + 1 : at + 1 + words]
-                at += 1 + words
+        for k, (p, digest) in enumerate(zip(self.pages, self.digests)):
+            words = [b.text.count(" ") + 1 for b in p.blocks]
+            if self.whole:
+                pages = self.runs.pages[self.runs.starts[k] : self.runs.starts[k + 1]]
+                often = pages >= usual
+            else:
+                size = sum(words) + len(words) + 1
+                pages, often = np.zeros(size, np.int64), np.zeros(size, bool)
+                for i, n in (known or {}).get(digest, ()):
+                    np.maximum(pages[i : i + self.run], n, out=pages[i : i + self.run])
+                if usual_marks is not None and len(usual_marks) and any(b.prior == ARTICLE for b in p.blocks):
+                    often = _cover(size, np.flatnonzero(np.isin(marks(_stream(p), self.run), usual_marks)), self.run)
+            starts = [1 + x for x in np.cumsum([0] + [1 + n for n in words]).tolist()]
+            article = sum(n for b, n in zip(p.blocks, words) if b.prior == ARTICLE)
+            often &= 2 * _stretches(often) <= article  # what is the better part of the article stays
+            kept = []
+            for b, at, n in zip(p.blocks, starts, words):
                 if b.prior in (NEVER, NAMED) or (b.slot, b.prior) in dropped:
                     continue
                 text = b.text
                 if b.prior == ARTICLE:
-                    gone = (here >= usual) & (2 * length <= article) if article else None
+                    gone = often[at : at + n]
                 else:
-                    gone = here >= (max(2, PROSE_SHARE * different) if words >= PROSE_WORDS else 2)
-                if gone is not None and gone.any():
+                    gone = pages[at : at + n] >= (max(2, PROSE_SHARE * different) if n >= PROSE_WORDS else 2)
+                if gone.any():
                     if gone.mean() >= COVERED:
                         continue
                     text = " ".join([w for w, g in zip(text.split(" "), gone.tolist()) if not g])
@@ -479,7 +552,7 @@ def is_boilerplate(prior, host, others, pages, share):
     bound = lambda x, most: F.greatest(F.least(x, F.lit(most)), F.lit(-most))
     odds = prior + bound(host, HOST_BOUND) + bound(others, ALL_BOUND)
     # Where no markup speaks against it, most of the slot's text must repeat: else its covered lines go one by one.
-    return (odds > 0) & ((prior > 0) | (share >= 0.5 * pages))
+    return (F.round(odds, 9) > 0) & ((prior > 0) | (F.round(share - 0.5 * pages, 6) >= 0))  # rounded: sums depend on their order
 
 
 def extract_bundle(sources: list[str | None], run: int = RUN) -> list[str]:
@@ -487,7 +560,7 @@ def extract_bundle(sources: list[str | None], run: int = RUN) -> list[str]:
     bundle = Bundle(sources, run)
     bound = lambda x, most: max(-most, min(most, x))
     found = evidence([d for d in map(doubtful, bundle.pages) if d.slots], run).items()
-    return bundle.texts({key for key, (n, c, llr) in found if key[1] + bound(llr, HOST_BOUND) > 0 and (key[1] > 0 or c >= 0.5 * n)})
+    return bundle.texts({key for key, (n, c, llr) in found if round(key[1] + bound(llr, HOST_BOUND), 9) > 0 and (key[1] > 0 or round(c - 0.5 * n, 6) >= 0)})
 
 
 def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
@@ -501,84 +574,168 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
     dealt = rows.withColumn("spread", spread).join(large, "host", "left").withColumn("bundle", F.pmod("spread", F.coalesce("bundles", F.lit(1))))
     schema = T.StructType([pages.select(F.col(id_col).alias("page_id")).schema[0], T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (x.slice(i, 500) for x in batches for i in range(0, len(x), 500)):
-            row, digest, place, mark = [], [], [], []
-            for i, source in enumerate(b["html"]):
-                d, found = open_runs(source.as_py(), run)
-                for at, h in [(-1, None), *found]:  # a row for the page itself
-                    row.append(i)
-                    digest.append(d)
-                    place.append(at)
-                    mark.append(h)
-            where = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([b["host"].take(where), b["bundle"].take(where), pa.array(digest, pa.int64()), pa.array(place, pa.int64()), pa.array(mark, pa.int64())], names=["host", "bundle", "digest", "place", "mark"])
+    def sliced(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+        for b in (x.slice(i, size) for x in batches for i in range(0, len(x), size)):
+            yield b, b["host"].to_pylist()
 
-    def all_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (x.slice(i, 100) for x in batches for i in range(0, len(x), 100)):
-            found = [all_runs(source.as_py(), run) for source in b["html"]]
-            many = [len(marks) for _, marks in found]
-            host = b["host"].take(pa.array(np.repeat(np.arange(len(found)), many)))
-            yield pa.RecordBatch.from_arrays([host, pa.array(np.repeat(np.array([d for d, _ in found], np.int64), many)), pa.array([h for _, marks in found for h in marks], pa.int64())], names=["host", "digest", "mark"])
+    def first(seen: set, key: tuple) -> bool:
+        """Whether the task meets the page for the first time, as far as it remembers; what reads its rows takes copies once, too."""
+        if key in seen:
+            return False
+        if len(seen) >= SEEN:
+            seen.clear()
+        seen.add(key)
+        return True
 
     def doubts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (x.slice(i, 500) for x in batches for i in range(0, len(x), 500)):
-            found = [doubtful(parse(source.as_py()), run) for source in b["html"]]
-            cols = [b["host"], b["bundle"], pa.array([d.digest for d in found], pa.int64()), pa.array([d.tokens.astype("<u4").tobytes() for d in found], pa.binary())]
-            cols += [pa.array([[x[k] for x in d.slots] for d in found], pa.list_(t)) for k, t in enumerate((pa.string(), pa.float64(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["host", "bundle", "digest", "tokens", "slots", "priors", "words"])
-
-    def weigh(key: tuple, t: pa.Table) -> pa.Table:
+        seen: set = set()
+        for b, hosts in sliced(batches, 500):
+            rows = []
+            for h, source in zip(hosts, b["html"]):
+                page = parse(source.as_py())
+                d = doubtful(page, run)
+                tokens = d.tokens.astype("<u4").tobytes()
+                zone = any(x.prior == ARTICLE for x in page.blocks)
+                if first(seen, (h, d.digest, zone, xxhash.xxh3_128_digest(tokens + repr(d.slots).encode("utf-8", "surrogatepass")))):
+                    rows.append((h, d.digest, zone, tokens, *([x[k] for x in d.slots] for k in range(3))))
+            types = (pa.string(), pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.list_(pa.int32()))
+            cols = list(zip(*rows)) if rows else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["host", "digest", "zone", "tokens", "slots", "priors", "words"])
+
+    def read_doubts(t: pa.Table) -> list[Doubtful]:
         lists = [t[c].to_pylist() for c in ("slots", "priors", "words")]
-        found = evidence([Doubtful(d, np.frombuffer(x, "<u4").astype(np.int64), list(zip(*of))) for d, x, *of in zip(t["digest"].to_pylist(), t["tokens"].to_pylist(), *lists)], run)
+        return [Doubtful(d, np.frombuffer(x, "<u4").astype(np.int64), list(zip(*of))) for d, x, *of in zip(t["digest"].to_pylist(), t["tokens"].to_pylist(), *lists)]
+
+    def tally(key: tuple, t: pa.Table) -> pa.Table:
+        """Marks of a class's doubtful text, and whether two of its pages have them."""
+        found = [np.unique(marks(p.tokens, run)) for p in different_pages(read_doubts(t))]
+        mark, n = np.unique(np.concatenate(found), return_counts=True)
+        return pa.table({"host": pa.array([key[0].as_py()] * len(mark), pa.string()), "class": pa.array(np.full(len(mark), key[1].as_py()), pa.int64()), "mark": mark, "alone": n == 1})
+
+    def weigh(key: tuple, t: pa.Table, k: pa.Table) -> pa.Table:
+        host_pages = max((x for x in k["host_pages"].to_pylist() if x is not None), default=0)
+        found = evidence(read_doubts(t), run, k["mark"].drop_null().to_numpy(), host_pages) if len(t) else {}
         n = len(found)
         cols = [pa.array([key[0].as_py()] * n, pa.string()), pa.array([k for k, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())]
         cols += [pa.array([v[k] for v in found.values()], pa.float64()) for k in range(3)]
         return pa.Table.from_arrays(cols, names=["host", "slot", "prior", "pages", "share", "llr"])
 
+    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for b, hosts in sliced(batches, 500):
+            rows = []
+            for h, n, source in zip(hosts, b["bundles"].to_pylist(), b["html"]):
+                page = parse(source.as_py())
+                digest = _digest(page)
+                if first(seen, (h, digest)):
+                    rows.append((h, digest % n, digest, _stream(page).astype("<u4").tobytes()))
+            cols = list(zip(*rows)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.binary()))], names=["host", "class", "digest", "tokens"])
+
+    def usual(key: tuple, t: pa.Table) -> pa.Table:
+        once = dict(zip(t["digest"].to_pylist(), t["tokens"].to_pylist()))
+        mark, n = usual_in_class([np.frombuffer(x, "<u4").astype(np.int64) for x in once.values()], run)
+        return pa.table({"host": pa.array([key[0].as_py()] * len(mark), pa.string()), "class": pa.array(np.full(len(mark), key[1].as_py()), pa.int64()), "mark": mark, "n": n})
+
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, _ in sliced(batches, 500):
+            row, digest, place, mark = [], [], [], []
+            for i, (source, gone) in enumerate(zip(b["html"], b["gone"])):
+                page = parse(source.as_py())
+                at, found = open_runs(page, {(x["slot"], x["prior"]) for x in gone.as_py() or ()}, run)
+                row.append(np.full(len(at), i))
+                digest.append(np.full(len(at), _digest(page)))
+                place.append(at)
+                mark.append(found)
+            where, *cols = (pa.array(np.concatenate(x), pa.int64()) for x in (row, digest, place, mark))
+            yield pa.RecordBatch.from_arrays([b["host"].take(where), b["bundle"].take(where), *cols], names=["host", "bundle", "digest", "place", "mark"])
+
+    def all_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for b, hosts in sliced(batches, 100):
+            row, digest, mark = [[np.zeros(0, np.int64)] for _ in range(3)]
+            for i, (h, source) in enumerate(zip(hosts, b["html"])):
+                page = parse(source.as_py())
+                d = _digest(page)
+                if first(seen, (h, d)):
+                    found = np.unique(marks(_stream(page), run))
+                    row.append(np.full(len(found), i))
+                    digest.append(np.full(len(found), d))
+                    mark.append(found)
+            where, *cols = (pa.array(np.concatenate(x), pa.int64()) for x in (row, digest, mark))
+            yield pa.RecordBatch.from_arrays([b["host"].take(where), *cols], names=["host", "digest", "mark"])
+
     # Of pages that an article or the markup settles, little more than a digest is sent.
-    sent = dealt.select("host", "bundle", "html").mapInArrow(doubts, "host string, bundle long, digest long, tokens binary, slots array<string>, priors array<double>, words array<int>")
-    sent = scratch.table(sent, "doubts")
-    open_ = F.max(F.exists("priors", lambda x: x == NEUTRAL))
-    # Only hosts of several bundles need this, and of these the ones with text that no markup speaks of.
-    hosts = scratch.table(sent.join(large, "host", "left_semi").groupBy("host").agg(F.count_distinct("digest").alias("host_pages"), open_.alias("asks")), "hosts")
-    asks = hosts.filter("asks")
-    split = dealt.join(asks, "host", "left_semi").select("host", "bundle", "html").mapInArrow(runs, "host string, bundle long, digest long, place long, mark long")
-    split = scratch.table(split, "runs")
-    asked = split.filter("place >= 0")
-    # What a host asks of is counted over all text of its pages, as within a bundle.
-    everywhere = rows.join(asks, "host", "left_semi").select("host", "html").mapInArrow(all_, "host string, digest long, mark long")
-    everywhere = everywhere.join(asked.select("host", "mark").distinct(), ["host", "mark"], "left_semi").distinct()
-    repeated = everywhere.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # A run that all pages of a hot host hold is a hot key of a plain join, whose large partitions Spark splits.
-    known = asked.join(repeated, ["host", "mark"]).select("host", "bundle", "digest", "place", "n").distinct()
-    slots = sent.filter("size(slots) > 0").groupBy("host", "bundle").applyInArrow(weigh, "host string, slot string, prior double, pages double, share double, llr double")
+    sent = rows.select("host", "html").mapInArrow(doubts, "host string, digest long, zone boolean, tokens binary, slots array<string>, priors array<double>, words array<int>")
+    sent = scratch.table(sent, "doubts").join(large, "host", "left").withColumn("class", F.pmod("digest", F.coalesce("bundles", F.lit(1))))
+    several = sent.filter("bundles IS NOT NULL")
+    # Different pages of the classes of large hosts, and up to how many of them hold a run that the class does not report.
+    classes = several.groupBy("host", "class").agg(F.count_distinct("digest").alias("pages"), F.max("zone").alias("zone"))
+    classes = scratch.table(classes.withColumn("unsaid", F.ceil(F.greatest(F.lit(1.0), CLASS_SHARE * F.col("pages"))).cast("long") - 1), "classes")
+    hosts = classes.groupBy("host").agg(F.sum("pages").alias("host_pages"), F.sum("unsaid").alias("all_unsaid"), F.max("zone").alias("zone"))
+
+    # Evidence: what other classes repeat is told to those that hold it once.
+    doubted = sent.filter("size(slots) > 0")
+    apart = scratch.table(doubted.filter("bundles IS NOT NULL").groupBy("host", "class").applyInArrow(tally, "host string, class long, mark long, alone boolean"), "tally")
+    shared = apart.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    doubted_pages = doubted.filter("bundles IS NOT NULL").groupBy("host").agg(F.count_distinct("digest").alias("host_pages"))
+    hints = apart.filter("alone").drop("alone").join(shared, ["host", "mark"]).select("host", "class", "mark")
+    hints = hints.unionByName(classes.select("host", "class").join(doubted_pages, "host"), allowMissingColumns=True)
+    slots = doubted.select("host", "class", "digest", "tokens", "slots", "priors", "words").groupBy("host", "class").cogroup(hints.groupBy("host", "class"))
+    slots = slots.applyInArrow(weigh, "host string, slot string, prior double, pages double, share double, llr double")
     sums = [F.sum(c).alias(c) for c in ("pages", "share", "llr")]
     per_host = scratch.table(slots.groupBy("host", "slot", "prior").agg(*sums), "slots")
     overall = per_host.groupBy("slot", "prior").agg(F.sum("llr").alias("all_llr"))
     verdicts = per_host.join(overall, ["slot", "prior"]).filter(is_boilerplate(F.col("prior"), F.col("llr"), F.col("all_llr") - F.col("llr"), F.col("pages"), F.col("share")))
-    bundles = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("bundles", F.lit(1).cast("long")) - 1))
-    dropped = verdicts.select("host", "slot", "prior").join(large, "host", "left").withColumn("bundle", bundles)
-    # One table of what a bundle is told: runs that its host repeats elsewhere, slots that go, and the host's number of different pages.
-    told = (
-        known.select("host", "bundle", "digest", "place", "n")
-        .unionByName(dropped.select("host", "bundle", "slot", "prior"), allowMissingColumns=True)
-        .unionByName(asks.join(large, "host").withColumn("bundle", bundles).select("host", "bundle", "host_pages"), allowMissingColumns=True)
-    )
+    verdicts = scratch.table(verdicts.select("host", "slot", "prior"), "verdicts")
+
+    # In articles: runs that are on enough pages by what the classes report, and runs of which that is open.
+    zoned = large.join(hosts.filter("zone").select("host"), "host", "left_semi")
+    reported = rows.select("host", "html").join(zoned, "host").select("host", "bundles", "html").mapInArrow(streams, "host string, class long, digest long, tokens binary")
+    reported = scratch.table(reported.groupBy("host", "class").applyInArrow(usual, "host string, class long, mark long, n long"), "usual")
+    reported = reported.join(classes, ["host", "class"]).groupBy("host", "mark").agg(F.sum("n").alias("n"), F.sum("unsaid").alias("unsaid")).join(hosts, "host")
+    needed = F.greatest(F.lit(float(ARTICLE_PAGES)), ARTICLE_SHARE * F.col("host_pages"))
+    reported = scratch.table(reported.select("host", "mark", "n", needed.alias("needed"), (F.col("n") + F.col("all_unsaid") - F.col("unsaid")).alias("most")).filter("most >= needed"), "reported")
+    unclear = reported.filter("n < needed")
+
+    # Of other text that stays in hosts of several bundles, every run is counted over all text of the host's pages, as within a bundle.
+    kinds = several.select("host", F.explode(F.arrays_zip("slots", "priors")).alias("x")).select("host", F.col("x.slots").alias("slot"), F.col("x.priors").alias("prior")).distinct()
+    gone = verdicts.groupBy("host").agg(F.collect_list(F.struct("slot", "prior")).alias("gone"))
+    asks = scratch.table(kinds.join(verdicts, ["host", "slot", "prior"], "left_anti").select("host").distinct().join(gone, "host", "left"), "asks")
+    asked = dealt.join(asks, "host").select("host", "bundle", "html", "gone").mapInArrow(asking, "host string, bundle long, digest long, place long, mark long")
+    asked = scratch.table(asked, "asked")
+    counted_hosts = asks.select("host").union(unclear.select("host")).distinct()
+    everywhere = rows.join(counted_hosts, "host", "left_semi").select("host", "html").mapInArrow(all_, "host string, digest long, mark long")
+    counted = asked.select("host", "mark").union(unclear.select("host", "mark")).distinct()
+    everywhere = everywhere.join(counted, ["host", "mark"], "left_semi").distinct()
+    repeated = scratch.table(everywhere.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated")
+    # A run that all pages of a hot host hold is a hot key of a plain join, whose large partitions Spark splits.
+    known = asked.join(repeated, ["host", "mark"]).select("host", "bundle", "digest", "place", "n").distinct()
+    often = reported.filter("n >= needed").select("host", "mark").union(unclear.drop("n").join(repeated, ["host", "mark"]).filter("n >= needed").select("host", "mark"))
+
+    def of_bundles(df: DataFrame) -> DataFrame:
+        """df, whose rows have a host, for each of the host's bundles."""
+        return df.join(large, "host", "left").withColumn("bundle", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("bundles", F.lit(1).cast("long")) - 1))).drop("bundles")
+
+    # One table of what a bundle is told: slots that go, and in a host of several ones its number of different pages and the runs that it repeats.
+    told = known.unionByName(of_bundles(verdicts), allowMissingColumns=True)
+    told = told.unionByName(of_bundles(often), allowMissingColumns=True).unionByName(of_bundles(hosts.select("host", "host_pages")), allowMissingColumns=True)
 
     def bundle(key: tuple, t: pa.Table, k: pa.Table) -> pa.Table:
         texts: list[str] = []
         if len(t):
             by_page: dict[int, list[tuple[int, int]]] = {}
-            gone, host_pages = set(), 0
+            gone, host_pages, often = set(), 0, []
             for x in k.to_pylist():
                 if x["slot"] is not None:
                     gone.add((x["slot"], x["prior"]))
                 elif x["digest"] is not None:
                     by_page.setdefault(x["digest"], []).append((x["place"], x["n"]))
+                elif x["mark"] is not None:
+                    often.append(x["mark"])
                 elif x["host_pages"] is not None:
                     host_pages = x["host_pages"]
-            texts = Bundle(t["html"].to_pylist(), run).texts(gone, by_page, host_pages)
+            texts = Bundle(t["html"].to_pylist(), run, whole=not host_pages).texts(gone, by_page, host_pages, np.array(often, np.int64))
         return pa.table({"page_id": t["page_id"], "url": t["url"], "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())})
 
     grouped = dealt.select("host", "bundle", "page_id", "url", "html").groupBy("host", "bundle")

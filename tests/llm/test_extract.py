@@ -179,3 +179,36 @@ def test_one_bundle_and_many_agree(spark):
     one, many = ({x.page_id: x.text for x in extract.extract_main_text(df, bundle_bytes=b).collect()} for b in (1 << 30, 3_000))
     assert one == many and len(one) == len(pages)
     assert not any(prose in x for x in one.values()) and passage in one[len(pages) - 2] and passage not in one[len(pages) - 1]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_results_do_not_depend_on_bundles(spark, seed):
+    """Lines in about half of a host's articles, slots whose text few pages share, short prose that some pages share, and copies with other markup."""
+    r = random.Random(seed)
+    words = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    lines, side, prose = [words(12) for _ in range(8)], [words(9) for _ in range(40)], [words(30) for _ in range(3)]
+    pages = []
+    for i in range(90):
+        inner = "".join(f"<p>{x}</p>" for k, x in enumerate(lines) if r.random() < 0.3 + 0.06 * k)
+        body = f"<article><p>{words(120)}</p>{inner}</article>" + (f"<div class=promo>{r.choice(side)}</div>" if i % 2 else f"<div class=extra>{words(9) if i % 4 else r.choice(side)}</div>")
+        pages += [body] * r.choice([1, 1, 1, 6]) + [body.replace("promo", "social").replace("extra", "more")] * (i % 5 == 0)
+    pages += [f"<div>{r.choice(side)}</div><div>{words(40)}</div><div>{r.choice(prose)}</div>" for _ in range(30)]
+    r.shuffle(pages)
+    df = spark.createDataFrame([(i, "http://a.example/x", p) for i, p in enumerate(pages)], "page_id long, url string, html string").repartition(4)
+    whole = dict(enumerate(extract.extract_bundle(pages)))
+    for size in (1 << 30, 50_000, 10_000, 2_000):
+        assert {x.page_id: x.text for x in extract.extract_main_text(df, bundle_bytes=size).collect()} == whole
+    assert any(lines[7] in p and lines[7] not in whole[i] for i, p in enumerate(pages)) and any(lines[0] in x for x in whole.values())
+
+
+def test_runs_of_a_class():
+    r = np.random.default_rng(5)
+    for _ in range(20):
+        streams = [r.integers(0, 3, r.integers(0, 30)) for _ in range(r.integers(1, 12))]
+        owners: dict[int, set] = {}
+        for k, s in enumerate(streams):
+            for m in extract.marks(s, 4).tolist():
+                owners.setdefault(m, set()).add(k)
+        assert len(owners) == len({tuple(s[i : i + 4]) for s in streams for i in range(len(s) - 3)})
+        got = dict(zip(*(x.tolist() for x in extract.usual_in_class(streams, 4))))
+        assert got == {m: len(o) for m, o in owners.items() if len(o) >= max(1, extract.CLASS_SHARE * len(streams))}
